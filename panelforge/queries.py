@@ -1,0 +1,4 @@
+"""Registered queries and their SQL twins."""
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
