@@ -1,0 +1 @@
+"""Streaming: the panel has no streaming operators; a new year replaces its partition (sources.publish.write_panel)."""
