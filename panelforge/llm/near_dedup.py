@@ -60,9 +60,10 @@ class Shingler:
             return np.zeros(0, np.uint64)
         if len(cache) > MAX_CACHED:
             cache.clear()
-        for w in set(found) - cache.keys():
-            cache[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([cache[w] for w in found], np.uint64)
+        for w in found:
+            if w not in cache:
+                cache[w] = int.from_bytes(xxhash.xxh3_64_digest(w), "big", signed=True)
+        h = np.fromiter(map(cache.__getitem__, found), np.int64, len(found)).view(np.uint64)
         k = min(self.words, len(h))
         out = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):

@@ -23,16 +23,12 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 
 RULES = ("dot", "norm")
-#: Characters where Python's classes differ from the vocabulary file's pattern, or may: such text takes the plain way.
-_ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|[^\x00-ɏ]")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-MAX_CACHED = 400_000
 ROWS_PER_BUCKET = 20_000
 MAX_BROADCAST_ROWS = 100_000
 
 
 class ByteTokenizer:
-    """Ids of a byte-level vocabulary file as little-endian 32-bit bytes, with a cache of the ids of pre-tokens."""
+    """Ids of a byte-level vocabulary file as little-endian 32-bit bytes."""
 
     def __init__(self, spec: str) -> None:
         import tiktoken
@@ -52,20 +48,9 @@ class ByteTokenizer:
         self.plain = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = {k: np.array([v], "<u4").tobytes() for k, v in special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.cache: dict[str, bytes] = {}
 
     def words(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return np.array(self.plain.encode_ordinary(text), "<u4").tobytes()
-        found, cache = _PIECES.findall(text), self.cache
-        try:
-            return b"".join([cache[w] for w in found])
-        except KeyError:
-            if len(cache) > MAX_CACHED:
-                cache.clear()
-            for w in set(found) - cache.keys():
-                cache[w] = np.array(self.plain.encode_ordinary(w), "<u4").tobytes()
-            return b"".join([cache[w] for w in found])
+        return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         parts = self.split.split(text) if self.split and "<|" in text else [text]
