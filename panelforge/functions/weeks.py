@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CALENDARS = ("jan4", "iso", "day_of_year")
@@ -57,27 +57,29 @@ def _text(reading: Column) -> Column:
     return F.when(reading.isNotNull(), F.format_string("%04d%02d", reading["y"], reading["w"]))
 
 
-def parse_week(c: Column, preferred_year: Column | None = None) -> Column:
-    """Week text to YYYYWW, or null.
+def parse_week(df: DataFrame, column: str, name: str, preferred_year: Column | None = None) -> DataFrame:
+    """df with the week text of a column as YYYYWW, or null, under ``name``.
 
     Anything from a dot on is cut and other signs but digits are dropped. Six digits may be YYYYWW or WWYYYY, five YYYYW
     or WYYYY. With both readings valid, the one in the preferred year wins, then the one closest to it within a year
-    (the smaller week if equally close), then the week-first reading.
+    (the smaller week if equally close), then the week-first reading of six and the year-first reading of five digits.
+    The steps stand in projections of their own, so that no step's expression is repeated inside the next.
     """
-    digits = F.regexp_replace(F.substring_index(F.trim(F.coalesce(c.cast("string"), F.lit(""))), ".", 1), "[^0-9]", "")
-    n = F.length(digits)
-    year_first = F.when(n == 6, _reading(_number(digits, 1, 4), _number(digits, 5, 2), YEARS)).when(n == 5, _reading(_number(digits, 1, 4), _number(digits, 5, 1), YEARS))
-    week_first = F.when(n == 6, _reading(_number(digits, 3, 4), _number(digits, 1, 2), YEARS)).when(n == 5, _reading(_number(digits, 2, 4), _number(digits, 1, 1), YEARS))
-    # A padded week comes back as written only from six digits; five digits fall back to the year-first reading.
-    neither = F.when(n == 6, F.coalesce(week_first, year_first)).otherwise(F.coalesce(year_first, week_first))
-    if preferred_year is None:
-        return _text(neither)
-    off = [F.abs(r["y"] - preferred_year) for r in (year_first, week_first)]
-    far = F.lit(9999)
-    a, b = (F.coalesce(x, far) for x in off)
-    second_wins = (b < a) | (b == a) & (week_first["w"] < year_first["w"]) & (a > 0)
-    near = F.when(F.least(a, b) <= 1, F.when(second_wins, week_first).otherwise(year_first))
-    return _text(F.coalesce(near, neither))
+    digits = F.regexp_replace(F.substring_index(F.trim(F.coalesce(F.col(column).cast("string"), F.lit(""))), ".", 1), "[^0-9]", "")
+    out = df.withColumn("__g", digits).withColumn("__n", F.length("__g"))
+    six, five, g = F.col("__n") == 6, F.col("__n") == 5, F.col("__g")
+    number = lambda a, m, b, n: F.when(six, _number(g, a, m)).when(five, _number(g, b, n))
+    out = out.withColumns({"__y1": number(1, 4, 1, 4), "__w1": number(5, 2, 5, 1), "__y2": number(3, 4, 2, 4), "__w2": number(1, 2, 1, 1), "__p": F.lit(None).cast("int") if preferred_year is None else preferred_year})
+    # How far a valid reading's year is from the preferred one; far without a preference, null if not valid.
+    off = lambda k: F.when(F.col(f"__y{k}").between(*YEARS) & F.col(f"__w{k}").between(*WEEKS), F.coalesce(F.abs(F.col(f"__y{k}") - F.col("__p")), F.lit(9999)))
+    out = out.withColumns({"__o1": off(1), "__o2": off(2)})
+    o1, o2 = F.col("__o1"), F.col("__o2")
+    near = F.least(o1, o2) <= 1
+    earlier = (o1 > 0) & (F.col("__w2") < F.col("__w1"))
+    second = F.when(o1.isNull() | o2.isNull(), o1.isNull()).when(near & (o1 != o2), o2 < o1).when(near, earlier).otherwise(six)
+    out = out.withColumn("__s", second)
+    week = F.format_string("%04d%02d", F.when(F.col("__s"), F.col("__y2")).otherwise(F.col("__y1")), F.when(F.col("__s"), F.col("__w2")).otherwise(F.col("__w1")))
+    return out.withColumn(name, F.when(o1.isNotNull() | o2.isNotNull(), week)).drop("__g", "__n", "__y1", "__w1", "__y2", "__w2", "__p", "__o1", "__o2", "__s")
 
 
 def parse_week_six(c: Column) -> Column:
@@ -104,21 +106,27 @@ def six_digits(c: Column) -> Column:
     return F.when(c.rlike(r"^\d{6}$"), c)
 
 
-def derive_week(fields: list[tuple[str, Column, Column]], dates: list[tuple[str, Column]], source_year: Column, calendar: str = "jan4", order: list[str] | None = None) -> tuple[Column, Column]:
-    """Week and the name of where it comes from, by precedence.
+def derive_week(df: DataFrame, fields: list[tuple[str, str, str]], dates: list[tuple[str, str]], source_year: str, calendar: str = "jan4", order: list[str] | None = None, names: tuple[str, str] = ("week", "week_origin")) -> DataFrame:
+    """df with a week and the name of where it comes from, by precedence.
 
-    fields: (name, week text, its date); dates: (name, date). A field's week is read with the year of its date preferred,
-    or the source year; a date's week by the calendar, named with the suffix ``_week``. A week counts only if its year is
-    within one of the source year. order: names in another precedence (default: all fields, then all dates).
+    fields: (name, week text column, date column); dates: (name, date column). A field's week is read with the year of
+    its date preferred, or the source year; a date's week by the calendar, named with the suffix ``_week``. A week counts
+    only if its year is within one of the source year. order: names in another precedence (default: all fields, then all
+    dates).
     """
-    found = {}
+    out, found = df, []
     for name, text, day in fields:
-        found[name] = (parse_week(text, F.coalesce(F.year(day), source_year)), name)
+        out = parse_week(out, text, f"__week_{name}", F.coalesce(F.year(day), F.col(source_year)))
+        found.append(name)
     for name, day in dates:
-        found[f"{name}_week"] = (F.when(day.isNotNull(), week_of(day, calendar)), f"{name}_week")
-    picks = [F.when(F.abs(F.substring(w, 1, 4).try_cast("int") - source_year) <= 1, F.struct(w.alias("w"), F.lit(tag).alias("t"))) for w, tag in (found[k] for k in (order or found))]
-    best = F.coalesce(*picks)
-    return best["w"], best["t"]
+        out = out.withColumn(f"__week_{name}_week", F.when(F.col(day).isNotNull(), week_of(F.col(day), calendar)))
+        found.append(f"{name}_week")
+    fits = {n: F.when(F.abs(F.substring(f"__week_{n}", 1, 4).try_cast("int") - F.col(source_year)) <= 1, F.col(f"__week_{n}")) for n in found}
+    out = out.withColumns({f"__fit_{n}": c for n, c in fits.items()})
+    ranked = order or found
+    origin = F.coalesce(*[F.when(F.col(f"__fit_{n}").isNotNull(), F.lit(n)) for n in ranked])
+    out = out.withColumns({names[0]: F.coalesce(*[F.col(f"__fit_{n}") for n in ranked]), names[1]: origin})
+    return out.drop(*[f"__week_{n}" for n in found], *[f"__fit_{n}" for n in found])
 
 
 def season(number: Column) -> tuple[Column, Column]:

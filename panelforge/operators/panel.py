@@ -42,13 +42,15 @@ def merge_weighted(rows: DataFrame, key: str, weight: str, features: list[str],
     rows = rows if normalized is None else rows.withColumn(key, normalized)
     known = lambda c: F.when(F.col(c).isNotNull(), F.col(weight))
     means = [F.try_divide(F.sum(F.col(c) * F.col(weight)), F.sum(known(c))).alias(c) for c in features]
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(weight).alias(weight), *means)
+    # The check on an aggregate stays above the grouping, where the normaliser has been evaluated once.
+    out = rows.groupBy(key).agg(F.sum(weight).alias(weight), *means, F.max(key).alias("__key"))
+    return out.where(F.col("__key").isNotNull()).drop("__key")
 
 
 def merge_losses(rows: DataFrame, normalized: Column, weight: str) -> DataFrame:
     """Rows and volume that a key's normaliser drops."""
-    lost = rows.where(normalized.isNull())
-    return lost.agg(F.count(F.lit(1)).alias("dropped_rows"), F.coalesce(F.sum(weight), F.lit(0)).cast("long").alias("dropped_volume"))
+    lost = rows.select(normalized.isNull().alias("lost"), weight)
+    return lost.agg(F.count_if("lost").alias("dropped_rows"), F.coalesce(F.sum(F.when(F.col("lost"), F.col(weight))), F.lit(0)).cast("long").alias("dropped_volume"))
 
 
 def classified(records: DataFrame, reasons: list[tuple[str, Column]]) -> DataFrame:
