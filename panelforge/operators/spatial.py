@@ -68,6 +68,6 @@ def nearest_values(mapping: DataFrame, readings: DataFrame) -> DataFrame:
 def inverse_distance(places: DataFrame, sites: DataFrame, readings: DataFrame, periods: list[str], values: list[str], within_km: float = 50, power: float = 2) -> DataFrame:
     """Mean of the readings of all sites within a distance, weighted by 1 / distance ** power (a metre at least)."""
     w = F.lit(1.0) / F.pow(F.greatest("km", F.lit(0.001)), F.lit(float(power)))
-    rows = pairs(places, sites, within_km).withColumn("w", w).join(readings, "site")
-    means = [F.try_divide(F.sum(F.col(v) * F.col("w")), F.sum(F.when(F.col(v).isNotNull(), F.col("w")))).alias(v) for v in values]
+    rows = pairs(places, sites, within_km).withColumn("__w", w).join(readings, "site")
+    means = [F.try_divide(F.sum(F.col(v) * F.col("__w")), F.sum(F.when(F.col(v).isNotNull(), F.col("__w")))).alias(v) for v in values]
     return rows.groupBy("place", *periods).agg(*means)

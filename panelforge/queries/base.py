@@ -52,9 +52,9 @@ union all select '5300108', '530010', 'CAPITAL', 'DF', 'CO'
 #: Hourly readings: one an event; some are unknown.
 READINGS = """
 select event_id, cast(user_id as int) as station, cast(ts as date) as day,
-  case when event_id % 10 = 0 then null else value * 1.0137 end as rain,
-  case when event_id % 7 = 0 then null else value * 0.2371 + cast(user_id % 20 as double) end as temp,
-  value * 0.2371 - 3.0 as temp_lo, value * 0.2371 + 5.0 as temp_hi, cast(event_id % 101 as double) as humidity
+  case when event_id % 10 = 0 then null else value * 1.013713917 end as rain,
+  case when event_id % 7 = 0 then null else value * 0.237139171 + cast(user_id % 20 as double) end as temp,
+  value * 0.237139171 - 3.0 as temp_lo, value * 0.237139171 + 5.0 as temp_hi, cast(event_id % 101 as double) as humidity
 from {events}
 """
 

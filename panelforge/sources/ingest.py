@@ -46,7 +46,7 @@ def read_station_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     Lines with fewer than five fields or a first field that is no date are left out, numbers have a decimal comma, -9999
     is unknown. Metadata: one row a file.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", F.lit("ISO-8859-1")).alias("text"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "ISO-8859-1").alias("text"))
     lines = files.select("file", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line"))
     pair = F.split("line", ";", 2)
     head = lines.where(F.col("pos") < HEADER_LINES).select("file", F.upper(F.trim(F.regexp_replace(F.get(pair, 0), ":", ""))).alias("key"), F.trim(F.get(pair, 1)).alias("value"))
