@@ -8,7 +8,7 @@ each skip pairs already known to be connected:
 1. each text with the bucket head that it meets most often,
 2. each text with all its bucket heads,
 3. in buckets that still hold several components, all pairs across components whose signatures are close enough,
-   compared block by block inside tasks (only close pairs become rows).
+   compared block by block inside tasks (only links that join components become rows).
 
 Components come from alternating large-star and small-star rounds with union-find inside each task. Nothing that grows
 with the corpus reaches the driver.
@@ -20,7 +20,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,7 +33,7 @@ ROWS = PLACES // BANDS
 #: Standard errors below the threshold at which a signature estimate rules a pair out.
 SLACK = 4.0
 BLOCK_ELEMENTS = 200_000
-BLOCK_MEMBERS = 1024
+BLOCK_MEMBERS = 512
 MAX_CACHED = 500_000
 MAX_BROADCAST_IDS = 200_000
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -144,13 +143,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                small, large = (u, v) if len(u) <= len(v) else (v, u)
-                at = np.searchsorted(large, small)
-                shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(100 * shared >= percent * (len(u) + len(v) - shared))
+            pairs = zip(batch.column(2), batch.column(3), strict=True)
+            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in pairs]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -232,38 +226,104 @@ def with_component(rows: DataFrame, groups: DataFrame, id_col: str, name: str) -
     return rows.join(found, rows[id_col] == found["__id"], "left").withColumn(name, F.coalesce("__c", id_col)).drop("__id", "__c")
 
 
-def unresolved_pairs(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Close pairs across components in buckets that hold several; members: key, band, id, component.
+def blocks_of(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Rows (key, i, j) to compare: members of buckets with several components, cut into blocks of about BLOCK_MEMBERS.
 
-    Buckets are cut into blocks of about BLOCK_MEMBERS; a task compares two blocks. A pair is given by the first band
-    that it shares, so it comes once.
+    members: key, band, id, component. Each member goes to the pairs of blocks that its own takes part in.
     """
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("blocks"))
     rows = members.join(mixed, "key").join(sigs.select("id", "sig", "n"), "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "band", "id", "component", "sig", "n", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        band, i, j = int(g["band"].iloc[0]), int(g["i"].iloc[0]), int(g["j"].iloc[0])
-        sig = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(-1, PLACES)
-        part, ids, n, own = g["component"].to_numpy(), g["id"].to_numpy(), g["n"].to_numpy(), g["own"].to_numpy()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = []
-        for r in left:
-            to = right[right > r] if i == j else right
-            to = to[(part[to] != part[r]) & (np.minimum(n[to], n[r]) * 100 >= np.maximum(n[to], n[r]) * percent)]
-            if not len(to):
-                continue
-            to = to[close_enough(sig[to], sig[r], percent)]
-            if band and len(to):
-                earlier = (sig[to, : band * ROWS] == sig[r, : band * ROWS]).reshape(len(to), band, ROWS).all(axis=2).any(axis=1)
-                to = to[~earlier]
-            found += [(ids[r], x) for x in ids[to]]
-        return pd.DataFrame(found, columns=["a", "b"]).astype(ids.dtype)
-
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id", "component", "n", "sig")
+
+
+def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of the rows that agree in the first three columns (key, i, j), from batches sorted by them."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        keys = np.column_stack([table.column(k).to_numpy() for k in range(3)])
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            yield table.slice(start, end - start)
+        held = table.slice(cuts[-1])
+    if held is not None:
+        yield held
+
+
+def close_partners(g: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of the first block: rows of the second that may link with it, and how alike the signatures are.
+
+    Only pairs of different components and fitting sizes count, and of these those that share no earlier band.
+    """
+    i, j, band = (g.column(k)[0].as_py() for k in ("i", "j", "band"))
+    sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), "<u2").reshape(-1, PLACES)
+    part, n, own = g.column("component").to_numpy(), g.column("n").to_numpy(), g.column("own").to_numpy()
+    right = np.flatnonzero(own == j)
+    for r in np.flatnonzero(own == i):
+        to = right[right > r] if i == j else right
+        to = to[(part[to] != part[r]) & (np.minimum(n[to], n[r]) * 100 >= np.maximum(n[to], n[r]) * percent)]
+        to = to[close_enough(sig[to], sig[r], percent)] if len(to) else to
+        if band and len(to):
+            to = to[~(sig[to, : band * ROWS] == sig[r, : band * ROWS]).reshape(len(to), band, ROWS).all(axis=2).any(axis=1)]
+        if len(to):
+            yield int(r), to, (sig[to] == sig[r]).mean(axis=1)
+
+
+def similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    small, large = (u, v) if len(u) <= len(v) else (v, u)
+    at = np.searchsorted(large, small)
+    shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * shared >= percent * (len(u) + len(v) - shared)
+
+
+def links_across(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between the components of a bucket, as few as connect what is linked there.
+
+    Members without a close partner in another component go first. The others' full sets join them, and each task
+    confirms its close pairs, the closest first, until their components are joined. Rows out are at most rows in.
+    """
     kind = members.schema["id"].dataType.simpleString()
-    return rows.groupBy("key", "i", "j").applyInPandas(run, f"a {kind}, b {kind}")
+    columns = f"key bigint, i int, j int, own int, band int, id {kind}, component {kind}, n bigint, sig binary"
+    order = ["key", "i", "j"]
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in in_groups(batches):
+            found = [np.append(to, r) for r, to, _ in close_partners(g, percent)]
+            if found:
+                yield from g.take(pa.array(np.unique(np.concatenate(found)))).combine_chunks().to_batches()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in in_groups(batches):
+            part, ids = g.column("component").to_pylist(), g.column("id").to_pylist()
+            items = [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column("items")]
+            parent = {p: p for p in part}
+            links = []
+
+            def root(x, parent=parent):
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for r, to, likeness in close_partners(g, percent):
+                for t in to[np.argsort(-likeness)].tolist():
+                    a, b = root(part[r]), root(part[t])
+                    if a != b and similar(items[r], items[t], percent):
+                        parent[max(a, b)] = min(a, b)
+                        links.append((ids[r], ids[t]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], g.schema.field("id").type) for k in (0, 1)], names=["a", "b"])
+
+    rows = blocks_of(members, sigs).repartition(*order).sortWithinPartitions(*order).mapInArrow(candidates, columns)
+    rows = rows.join(sets, "id").select(*order, "own", "band", "id", "component", "n", "sig", "items")
+    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(confirm, f"a {kind}, b {kind}")
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -302,7 +362,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text_col
     groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
 
     placed = with_component(members.select("key", "band", "id"), groups, "id", "component")
-    links = confirmed(unresolved_pairs(placed, close, percent), sets, percent)
+    links = links_across(placed, close, sets, percent)
     groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
 
     by_head = cut_lineage(with_component(heads, groups, "head", "component_id").select("same", "component_id"))
