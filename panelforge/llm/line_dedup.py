@@ -39,7 +39,7 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, text_col: s
     removed too. Existing columns named n_lines and n_removed are replaced.
     """
     bad = spread_lines(docs, min_sites, text_col, site_col)
-    lines = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("l")).where(F.trim("l") != "").select("id", F.xxhash64("l").alias("line")).distinct()
+    lines = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("l")).where(F.trim("l") != "").select("id", F.xxhash64("l").alias("line"))
     hits = lines.join(bad, "line").groupBy("id").agg(F.collect_set("line").alias("__bad"))  # at most a document's lines
     out = docs.drop("n_lines", "n_removed").withColumn("__id", F.col(id_col))
     out = out.join(hits, out["__id"].eqNullSafe(hits["id"]), "left")
