@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Group of a column by its name: exact names first, then prefixes.
+#: Groups of columns by prefix of their names.
 FEATURE_GROUPS = (("prop_raca_", "proporcao_demografica"), ("prop_sexo_", "proporcao_demografica"), ("prop_gestante", "proporcao_demografica"), ("prop_", "proporcao_clinica"), ("qt_", "volume"), ("notificacoes_", "temporal"), ("week_of_year_", "temporal"), ("is_zero_", "temporal"), ("indice_", "indice_composto"), ("label_", "label_auxiliar"))
 
 
