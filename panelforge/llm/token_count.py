@@ -15,6 +15,7 @@ Two deterministic transducers stand in for the tokenizer of a ``word_bpe`` vocab
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -233,6 +234,7 @@ class CompiledTokenizer:
         self.words = WordMachine(model["vocab"], model["merges"], model["end_of_word_suffix"])
         special = sorted((t["content"] for t in conf["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.mark = os.path.commonprefix(special)  # a cheap test that rules most texts out
         self.library = None
 
     def normalize(self, text: str) -> str:
@@ -246,7 +248,7 @@ class CompiledTokenizer:
 
     def pieces(self, text: str) -> tuple[list[str], int]:
         """Normalised parts between special strings, long ones cut at spaces, and the number of special strings."""
-        parts = self.special.split(text) if self.special and "<|" in text else [text]
+        parts = self.special.split(text) if self.special and self.mark in text else [text]
         out = []
         for part in map(self.normalize, parts):
             at = 0
