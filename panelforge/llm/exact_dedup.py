@@ -63,7 +63,8 @@ def find_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     # Length and head hash only rule texts out: the same for equal texts, and cheap to compute twice.
     n, head = F.length(text).alias("n"), F.xxhash64(lower_ascii(F.substring(text, 1, HEAD_CHARS))).alias("head")
     base = cut_lineage(docs.select(F.col(id_col).alias("id"), F.sha2(lower_ascii(text).cast("binary"), 256).alias("sha"), n, head))
-    shared = base.groupBy("n", "head").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("n", "head")
+    # A table of its own, so that the join deals out both sides anew and Spark can split a large group of copies.
+    shared = cut_lineage(base.groupBy("n", "head").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("n", "head"))
     alike = docs.select(F.col(id_col).alias("id"), text.alias("text"), n, head).join(shared, ["n", "head"], "left_semi")
     alike = alike.select("id", lower_ascii(F.col("text")).alias("norm")).select("id", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), "norm")
     names = cut_lineage(block_names(alike, block_chars).distinct())
