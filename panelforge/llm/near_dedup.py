@@ -211,7 +211,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         # Large star: every larger neighbour of a node is tied to the node's smallest neighbour.
         ends = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = cut_lineage(ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = ends.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: every smaller neighbour, and the node itself, is tied to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -232,7 +232,7 @@ def blocks_of(members: DataFrame, sigs: DataFrame) -> DataFrame:
     members: key, band, id, component. Each member goes to the pairs of blocks that its own takes part in.
     """
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    rows = members.join(mixed, "key").join(sigs.select("id", "sig", "n"), "id")
+    rows = members.join(cut_lineage(mixed), "key").join(sigs.select("id", "sig", "n"), "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id", "component", "n", "sig")
@@ -345,7 +345,8 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text_col
     sigs = cut_lineage(reps.select("id", "n", "sig"))
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * 2 * ROWS + 1, F.lit(2 * ROWS))))
     bands = sigs.select("id", F.posexplode(band).alias("band", "key"))
-    several = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("key", "pivot")
+    # Small tables that a join on the same key follows are cut off, so that Spark can split that join's large keys.
+    several = cut_lineage(bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("key", "pivot"))
     members = cut_lineage(bands.join(several, "key").select("key", "band", "id", "pivot"))
     sets = cut_lineage(full_sets(docs, members.select("id").distinct(), words, text_col, id_col).dropDuplicates(["id"]))
     met = sigs.join(members.select("id").distinct(), "id", "left_semi")
