@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that scores are cut into for rank sums; at most this many numbers reach the driver.
+AUC_RANGES = 200
+
 
 def regression_metrics(df: DataFrame, truth: str, guess: str, by: list[str] = ()) -> DataFrame:
     """rmse, mae, r2 and mape (percent, over truths above 0 only)."""
@@ -36,14 +39,14 @@ def class_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
 def macro_auc(df: DataFrame, truth: str, scores: dict) -> DataFrame:
     """One-vs-rest AUC of each class from its score, with tied ranks averaged, and their mean in the row of null class.
 
-    Rank sums come from counts by distinct score, so no task holds all rows unless all scores differ; scores are
-    summed in order within ranges of the score.
+    Rank sums come from counts by distinct score. Scores are cut at their quantiles into at most AUC_RANGES ranges with a
+    running sum over the ranges and one inside each, so no task holds all scores.
     """
     out = None
     for label, column in scores.items():
+        cuts = sorted(set(df.approxQuantile(column, [i / AUC_RANGES for i in range(1, AUC_RANGES)], 0.2 / AUC_RANGES)))
         by = df.groupBy(F.col(column).alias("s")).agg(F.count_if(F.col(truth) == label).alias("pos"), F.count(F.lit(1)).alias("n"))
-        # Ranges of the score first, then within: two small running sums instead of one over all rows.
-        by = by.withColumn("r", F.floor(F.col("s") * 1000))
+        by = by.withColumn("r", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("s"))))
         ranges = by.groupBy("r").agg(F.sum("n").alias("rn")).withColumn("ahead", F.coalesce(F.sum("rn").over(Window.partitionBy(F.lit(0)).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("rn")
         within = Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
         ranked = by.join(F.broadcast(ranges), "r").withColumn("rank", F.col("ahead") + F.coalesce(F.sum("n").over(within), F.lit(0)) + (F.col("n") + 1) / 2.0)

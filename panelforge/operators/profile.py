@@ -14,6 +14,15 @@ def numeric_columns(df: DataFrame, without: tuple = ()) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in without]
 
 
+def quantiles(c: str, shares: list[float], approximate: bool = False) -> Column:
+    """Linear quantiles, or values of the column near them.
+
+    Exact ones keep a count of every distinct value of a group in memory: right for panels and codes, while a column with
+    a value of its own in each of very many rows wants the approximate ones (rank error of one in 10,000).
+    """
+    return F.percentile_approx(c, shares, 10_000) if approximate else F.percentile(c, shares)
+
+
 def melted(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
     """One row a column and row: keys, feature, value (double)."""
     cast = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
@@ -33,11 +42,11 @@ def peaks(df: DataFrame, period: list[str], value: str, n: int) -> DataFrame:
     return period_totals(df, period, value).orderBy(F.desc("total"), *period).limit(n)
 
 
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+def describe(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """Per column: count, mean, std (n - 1), min, quartiles (linear), max, and the share of missing values."""
     stats = melted(df, columns).groupBy("feature").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.percentile("value", [0.25, 0.5, 0.75]).alias("q"), F.max("value").alias("max"), (F.lit(100.0) * F.count_if(F.col("value").isNull()) / F.count(F.lit(1))).alias("missing_pct"),
+        quantiles("value", [0.25, 0.5, 0.75], approximate).alias("q"), F.max("value").alias("max"), (F.lit(100.0) * F.count_if(F.col("value").isNull()) / F.count(F.lit(1))).alias("missing_pct"),
     )
     return stats.select("feature", "n", "mean", "std", "min", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "max", "missing_pct")
 
@@ -181,7 +190,7 @@ def covered_columns(df: DataFrame, columns: list[str], least: int = 10, share: f
     return [c for i, c in enumerate(columns) if stats[f"k{i}"] >= max(least, int(stats["n"] * share))]
 
 
-def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
+def fill_median(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """Missing values become the column's median, or 0 where all are missing."""
-    medians = df.agg(*[F.median(c).alias(c) for c in columns]).first()
+    medians = df.agg(*[quantiles(c, [0.5], approximate)[0].alias(c) for c in columns]).first()
     return df.fillna({c: float(medians[c] or 0.0) for c in columns})
