@@ -3,7 +3,8 @@
 Equal texts get equal integers and different texts different ones, without trusting a hash:
 
 1. Length and head tell most texts apart. Only texts that share both with another one are named.
-2. These are cut into fixed-size blocks. The distinct blocks are sorted by range, and a block's place is its name.
+2. These are cut into fixed-size blocks. The distinct blocks are sorted within hash partitions; a block's place, counted
+   over all partitions, is its name.
 3. Adjacent names pair up, the distinct pairs are sorted and named in turn, until each text has one name.
 
 A level's names are checkpointed as soon as they are given, so a lost executor can't change them. DataFrame operations
@@ -22,8 +23,12 @@ BLOCK_CHARS = 4096
 
 
 def named(keys: DataFrame, columns: list[str]) -> DataFrame:
-    """The distinct keys, each with an integer name that rises with the key's place in sorted order."""
-    ordered = keys.select(*columns).distinct().repartitionByRange(*columns).sortWithinPartitions(*columns)
+    """The distinct keys, each with an integer name: its place in the sorted order of its hash partition.
+
+    The aggregation that removes repeats has dealt the keys out already; a sort by range would send samples of whole
+    blocks to the driver.
+    """
+    ordered = keys.select(*columns).distinct().sortWithinPartitions(*columns)
     return cut_lineage(ordered.withColumn("name", F.monotonically_increasing_id()))
 
 
