@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 MIN_SITES = 5
 LG_K = 12
 #: Lines whose estimate is within this share of the threshold, or this number of sites, are counted exactly.
@@ -23,6 +25,7 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "t
     site = F.coalesce(F.xxhash64(F.col(site_col).cast("string")), F.lit(0)).alias("site")
     lines = docs.select(site, F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("l")).where(F.trim("l") != "").select(F.xxhash64("l").alias("line"), "site")
     several = lines.groupBy("line").agg(F.min("site").alias("least"), F.max("site").alias("most")).where("least <> most").select("line")
+    several = cut_lineage(several)  # a table of its own, so that Spark can split the join at a very common line
     met = lines.join(several, "line", "left_semi")
     spread = met.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
     margin = max(NEAR_SITES, min_sites * NEAR_SHARE)
