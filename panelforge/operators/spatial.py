@@ -2,62 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import haversine_km
 
 #: Kilometres of a degree of latitude on a sphere of 6371 km, rounded down.
 KM_PER_DEGREE = 111.19
-MAX_BROADCAST_SITES = 50_000
+#: No two positions are further apart.
+HALF_ROUND_KM = 20_016
 
 
 def _sites(sites: DataFrame) -> DataFrame:
     return sites.dropna(subset=["latitude", "longitude"]).select(F.col("site").alias("site"), F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon"))
 
 
-def pairs(places: DataFrame, sites: DataFrame, within_km: float | None = None) -> DataFrame:
-    """place, site, km: all pairs, or those within a distance.
+def _cut(df: DataFrame) -> DataFrame:
+    """df as rows of its own, so that plans don't grow by round; in the shared folder, if spark.checkpoint.dir names one."""
+    shared = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    return df.checkpoint() if shared else df.localCheckpoint()
 
-    places: place, latitude, longitude; sites: site, latitude, longitude. Up to MAX_BROADCAST_SITES sites are broadcast.
-    Beyond that a distance is needed: sites join on latitude bands and longitude cells of a grid wide enough for it,
-    each site going to its own and the neighbouring cells, so that the join is an equi join.
+
+def _km() -> Column:
+    return haversine_km(F.col("latitude"), F.col("longitude"), F.col("s_lat"), F.col("s_lon"))
+
+
+def pairs(places: DataFrame, sites: DataFrame, within_km: float) -> DataFrame:
+    """place, site, km: all pairs within a distance.
+
+    places: place, latitude, longitude; sites: site, latitude, longitude. Sites join on latitude bands and longitude
+    cells of a grid wide enough for the distance, each site going to its own and the neighbouring cells, so that the
+    join is an equi join at every size.
     """
     p = places.dropna(subset=["latitude", "longitude"]).select("place", "latitude", "longitude")
-    s = _sites(sites)
-    km = haversine_km(F.col("latitude"), F.col("longitude"), F.col("s_lat"), F.col("s_lon")).alias("km")
-    if s.limit(MAX_BROADCAST_SITES + 1).count() <= MAX_BROADCAST_SITES:
-        out = p.crossJoin(F.broadcast(s)).select("place", "site", km)
-        return out.where(F.col("km") <= within_km) if within_km is not None else out
-    if within_km is None:
-        raise ValueError(f"more than {MAX_BROADCAST_SITES} sites: give a distance")
-    return grid_pairs(p, s, within_km).select("place", "site", km).where(F.col("km") <= within_km)
+    return grid_pairs(p, _sites(sites), within_km).select("place", "site", _km().alias("km")).where(F.col("km") <= within_km)
 
 
 def grid_pairs(p: DataFrame, s: DataFrame, within_km: float) -> DataFrame:
     """Pairs that share or neighbour a grid cell as wide as the distance; a superset of those within it.
 
     Longitude cells of a band are as wide as the distance at the band's far edge; near the poles a band is one cell.
+    Latitudes beyond a pole count as the position that they lead to.
     """
     step = within_km / KM_PER_DEGREE
     band = lambda lat: F.floor((lat + 90) / step)
     far = lambda b: F.least(F.greatest(F.abs((b - 1) * step - 90), F.abs((b + 2) * step - 90)), F.lit(90.0))
     cells = lambda b: F.greatest(F.floor(360 * F.cos(F.radians(far(b))) / step), F.lit(1)).cast("long")
     cell = lambda lon, b: F.pmod(F.floor((lon + 180) / 360 * cells(b)), cells(b))
-    left = p.withColumn("b", band(F.col("latitude"))).withColumn("c", cell(F.col("longitude"), F.col("b")))
-    right = s.withColumn("b", F.explode(F.array(*[band(F.col("s_lat")) + i for i in (-1, 0, 1)])))
-    near = F.array_distinct(F.array(*[F.pmod(cell(F.col("s_lon"), F.col("b")) + i, cells(F.col("b"))) for i in (-1, 0, 1)]))
+    north = lambda lat: F.when(F.abs(lat) > 90, F.degrees(F.asin(F.sin(F.radians(lat))))).otherwise(lat)
+    east = lambda lat, lon: F.when(F.cos(F.radians(lat)) < 0, lon + 180).otherwise(lon)
+    left = p.withColumn("b", band(north(F.col("latitude")))).withColumn("c", cell(east(F.col("latitude"), F.col("longitude")), F.col("b")))
+    right = s.withColumn("b", F.explode(F.array(*[band(north(F.col("s_lat"))) + i for i in (-1, 0, 1)])))
+    near = F.array_distinct(F.array(*[F.pmod(cell(east(F.col("s_lat"), F.col("s_lon")), F.col("b")) + i, cells(F.col("b"))) for i in (-1, 0, 1)]))
     right = right.withColumn("c", F.explode(near))
     return left.join(right, ["b", "c"]).drop("b", "c")
 
 
 def nearest_site(places: DataFrame, sites: DataFrame, radii: tuple = (50, 100), uncovered_km: float = 100) -> DataFrame:
-    """Per place: the nearest site (ties: the smallest), its distance to two digits, sites within each radius, and whether none covers it."""
-    all_pairs = pairs(places, sites)
-    counts = [F.count_if(F.col("km") <= r).alias(f"n_within_{r}km") for r in radii]
-    out = all_pairs.groupBy("place").agg(F.min(F.struct("km", "site")).alias("best"), *counts)
+    """Per place: the nearest site (ties: the smallest), its distance to two digits, sites within each radius, and whether none covers it.
+
+    Places and sites of one position are one row in the joins. A join on grid cells as wide as the largest radius gives
+    all counts and the nearest sites within it; positions without any repeat alone with cells of twice the width, until
+    each has a site, so a position far from all sites meets more of them.
+    """
+    at, counts = ["latitude", "longitude"], [f"n_within_{r}km" for r in radii]
+    p = places.dropna(subset=at).select("place", *at)
+    spots = _cut(p.select(*at).distinct())
+    s = _cut(_sites(sites).groupBy("s_lat", "s_lon").agg(F.min(F.struct("site")).alias("one"), F.count(F.lit(1)).alias("n")).select("s_lat", "s_lon", "one.site", "n"))
+
+    def near(some: DataFrame, width: float) -> DataFrame:
+        met = grid_pairs(some, s, width).withColumn("km", _km()).where(F.col("km") <= width)
+        within = [F.sum(F.when(F.col("km") <= r, F.col("n")).otherwise(0)).alias(c) for r, c in zip(radii, counts, strict=True)]
+        return _cut(met.groupBy(*at).agg(F.min(F.struct("km", "site")).alias("best"), *within))
+
+    width = max(1.0, uncovered_km, *radii)
+    found = near(spots, width)
+    rest = _cut(spots.join(found, at, "left_anti"))
+    while width < HALF_ROUND_KM and not s.isEmpty() and not rest.isEmpty():
+        width *= 2
+        more = near(rest, width)
+        found, rest = found.unionByName(more), _cut(rest.join(more, at, "left_anti"))
+    out = p.join(found, at).groupBy("place").agg(F.min("best").alias("best"), *[F.sum(c).alias(c) for c in counts])
     km = F.round("best.km", 2)
-    return out.select("place", F.col("best.site").alias("site"), km.alias("distance_km"), *[f"n_within_{r}km" for r in radii], (km > uncovered_km).alias("uncovered"))
+    return out.select("place", F.col("best.site").alias("site"), km.alias("distance_km"), *counts, (km > uncovered_km).alias("uncovered"))
 
 
 def nearest_values(mapping: DataFrame, readings: DataFrame) -> DataFrame:

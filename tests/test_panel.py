@@ -91,6 +91,36 @@ def test_spatial(spark):
     assert abs(spatial.inverse_distance(places, sites, readings, ["w"], ["v"]).first()["v"] - 2.0) < 1e-9
 
 
+def test_nearest_site_on_the_grid(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    spot = lambda: (rng.choice([rng.uniform(-90, 90), rng.uniform(-3, 3), 89.9, 91.0]), rng.choice([rng.uniform(-180, 180), rng.uniform(-3, 3), 179.9]))
+    places = [(i, *spot()) for i in range(80)] + [(80, None, 1.0), (81, 5.0, 5.0), (82, 5.0, 5.0)]
+    sites = [(i, *spot()) for i in range(60)] + [(60, 5.1, 5.0), (61, 5.1, 5.0), (62, 1.0, None)]
+
+    def km(a, b):
+        x, y = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 12742 * math.asin(min(math.sqrt(h), 1))
+
+    p, s = spark.createDataFrame(places, "place int, latitude double, longitude double"), spark.createDataFrame(sites, "site int, latitude double, longitude double")
+    for known in ([x for x in sites if x[2] is not None], sites[60:62]):
+        some = s.where(F.col("site").isin([x[0] for x in known]))
+        out = {r["place"]: r for r in spatial.nearest_site(p, some).collect()}
+        assert sorted(out) == [x[0] for x in places if x[1] is not None]
+        for i, r in out.items():
+            d = sorted((km(places[i], x), x[0]) for x in known)
+            assert r["site"] in {x for k, x in d if k < d[0][0] + 1e-9} and abs(r["distance_km"] - d[0][0]) < 0.006
+            assert (r["n_within_50km"], r["n_within_100km"], r["uncovered"]) == (sum(k <= 50 for k, _ in d), sum(k <= 100 for k, _ in d), round(d[0][0], 2) > 100)
+    assert spatial.nearest_site(p, s.where("false")).count() == 0
+    # Places and sites meet by cell only: no product, whatever the number of sites.
+    for df in (spatial.nearest_site(p, s), spatial.pairs(p, s, 100)):
+        plan = df._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(0.0, 1.0), (2.0, 2.0), (4.0, 2.0)], "y double, p double")
     r = metrics.regression_metrics(df, "y", "p").first()
