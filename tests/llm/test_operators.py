@@ -281,6 +281,19 @@ def test_urls(spark, no_docs):
     assert {r["verdict"] for r in url_filter.judge(df, rules=(("allow", "com/"),)).collect()} == {"allow"}
 
 
+def test_url_entropy_of_the_whole_path(spark):
+    import math
+    from collections import Counter
+
+    urls = ["http://a.org/" + "a" * 300 + "bcdé😀xyz" * 40, "http://a.org/aab", "no scheme", "http://a.org/" + "a" * 5000 + "0123456789", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "i int, url string")
+    url = F.col("url")
+    for r in df.select("i", "url", url_filter.lexical(url, *url_filter.host_and_path(url))["entropy"].alias("e")).collect():
+        text = (r["url"] or "").partition("://")[2]
+        want = -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+        assert abs(r["e"] - want) < 1e-9, r["url"]
+
+
 # 8: quality
 
 
