@@ -84,10 +84,10 @@ def judge(pages: DataFrame, rules: tuple = RULES, labels: Column | None = None,
     """pages with host, path, rule, verdict (allow or block), and block_score of the trees.
 
     labels: a column of pages that is 1 for blocked, 0 for allowed URLs and null for unlabelled ones (default: the
-    rules' verdicts). The trees are fitted on about sample_rows labelled URLs picked by hash, at most half of a kind
-    more than that. With labels of one kind or none, the score is that kind's (or 0) for every URL. Null URLs and those
-    without :// have an empty host and path and are judged like others. Repeated rows stay; columns of the same names
-    are replaced; empty tables give no rows.
+    rules' verdicts). The trees are fitted on about sample_rows distinct labelled URLs picked by hash, at most half of
+    them of a kind; copies of a URL count as its weight. With labels of one kind or none, the score is that kind's (or 0)
+    for every URL. Null URLs and those without :// have an empty host and path and are judged like others. Repeated rows
+    stay; columns of the same names are replaced; empty tables give no rows.
     """
     added = {"host", "path", "rule", "verdict", "block_score"}
     host, path = host_and_path(F.col(url_col).cast("string"))
@@ -99,8 +99,11 @@ def judge(pages: DataFrame, rules: tuple = RULES, labels: Column | None = None,
         rows = rows.withColumn("__label", F.when(F.col("__verdict") == "block", 1.0).when(F.col("__verdict") == "allow", 0.0))
     bucket = F.pmod(F.xxhash64(F.element_at(F.split("host", r"\."), -1)), F.lit(SUFFIX_BUCKETS)).cast("int")
     rows = rows.withColumn("__bucket", bucket)
+    url = F.col(url_col).cast("string")
+    # Distinct URLs of each kind, near enough for a rate.
+    kinds = [F.approx_count_distinct(F.when(F.col("__label") == k, url)).alias(f"urls_{k}") for k in (0, 1)]
     # At most SUFFIX_BUCKETS rows, whatever the size of pages.
-    stats = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"), F.count("__label").alias("known"), F.sum("__label").alias("bad")).collect()
+    stats = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"), F.count("__label").alias("known"), F.sum("__label").alias("bad"), *kinds).collect()
     total, known, bad = (sum(r[k] or 0 for r in stats) for k in ("n", "known", "bad"))
     bad = int(bad)
     if not known or bad in (0, known):
@@ -109,15 +112,17 @@ def judge(pages: DataFrame, rules: tuple = RULES, labels: Column | None = None,
     base = bad / known
     share = F.create_map(*[F.lit(x) for r in stats for x in (r["__bucket"], r["n"] / total)])
     block = F.create_map(*[F.lit(x) for r in stats for x in (r["__bucket"], ((r["bad"] or 0.0) + 10 * base) / (r["known"] + 10))])
-    columns = lexical(F.col(url_col).cast("string"), F.col("host"), F.col("path"))
+    columns = lexical(url, F.col("host"), F.col("path"))
     columns |= {"suffix_share": share[F.col("__bucket")], "suffix_block": block[F.col("__bucket")]}
     seen = rows.withColumns({f"__{k}": v for k, v in columns.items()})
     features = VectorAssembler(inputCols=[f"__{k}" for k in FEATURES], outputCol="__features")
-    half = sample_rows / 2
-    rate = F.when(F.col("__label") == 1, min(1.0, half / bad)).otherwise(min(1.0, half / (known - bad)))
-    weight = F.when(F.col("__label") == 1, 1 / min(1.0, half / bad)).otherwise(1 / min(1.0, half / (known - bad)))
-    chosen = seen.where(F.col("__label").isNotNull() & (unit_hash(F.col(url_col).cast("string"), seed=7) < rate))
-    sample = cut_lineage(features.transform(chosen).select("__features", "__label", weight.alias("__weight")).coalesce(4))
+    rates = [min(1.0, sample_rows / 2 / max(1, sum(r[f"urls_{k}"] for r in stats))) for k in (0, 1)]
+    rate = F.when(F.col("__label") == 1, rates[1]).otherwise(rates[0])
+    # Copies of a URL are one row with their number as weight.
+    keys = dict.fromkeys([url_col, "host", "path", "__bucket", "__label"])
+    chosen = rows.where(F.col("__label").isNotNull() & (unit_hash(url, seed=7) < rate)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies"))
+    chosen = features.transform(chosen.repartition(4).withColumns({f"__{k}": v for k, v in columns.items()}))
+    sample = cut_lineage(chosen.select("__features", "__label", (F.col("__copies") / rate).alias("__weight")))
     if sample.select("__label").distinct().count() < 2:
         return finish(rows.withColumn("block_score", F.lit(base)), pages, added, threshold)
     trainer = GBTClassifier(featuresCol="__features", labelCol="__label", weightCol="__weight", maxIter=trees, maxDepth=depth, maxBins=32, seed=7, predictionCol="__p")

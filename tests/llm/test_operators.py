@@ -281,6 +281,18 @@ def test_urls(spark, no_docs):
     assert {r["verdict"] for r in url_filter.judge(df, rules=(("allow", "com/"),)).collect()} == {"allow"}
 
 
+def test_url_sample_holds_a_url_once(spark, monkeypatch):
+    urls = ["http://hot.org/x"] * 900 + [f"http://{'ab'[i % 2]}{i}.org/{i}" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").repartition(8)
+    seen = []
+    cut = url_filter.cut_lineage
+    monkeypatch.setattr(url_filter, "cut_lineage", lambda x: seen.append(cut(x)) or seen[-1])
+    blocked = F.when(F.col("url").contains("//b") | F.col("url").contains("hot"), 1).otherwise(0)
+    assert url_filter.judge(df, rules=(), labels=blocked).count() == 1100
+    weights = sorted(r["__weight"] for r in seen[0].collect())
+    assert len(weights) == 201 and weights[-1] == 900 and sum(weights) == 1100
+
+
 def test_url_entropy_of_the_whole_path(spark):
     import math
     from collections import Counter
