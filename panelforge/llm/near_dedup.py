@@ -31,7 +31,7 @@ PLACES = 128
 BANDS = 32
 ROWS = PLACES // BANDS
 #: Standard errors below the threshold at which a signature estimate rules a pair out.
-SLACK = 4.0
+SLACK = 6.0
 BLOCK_ELEMENTS = 200_000
 BLOCK_MEMBERS = 512
 MAX_CACHED = 500_000
@@ -335,8 +335,8 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text_col
     have no shingles and are linked with nothing; so are rows without an id, whose component_id is null and which are
     kept. Rows that repeat an id are one document. Ids are integers or strings. Other columns are not read.
 
-    A pair at the threshold meets in a band with probability 1 - (1 - 0.8 ** 4) ** 32, short of 1 by 5e-8, and a close
-    signature is missed at SLACK standard errors; all other steps are exact.
+    A pair at the threshold meets in a band with probability 1 - (1 - 0.8 ** 4) ** 32, short of 1 by 5e-8, and its
+    signature is too far off with probability 3e-8 (SLACK standard errors), so 8e-8 in all; other steps are exact.
     """
     all_rows = cut_lineage(sketch(docs, words, text_col, id_col))
     known = all_rows.where(F.col("id").isNotNull() & (F.col("n") > 0))

@@ -281,6 +281,17 @@ def test_urls(spark, no_docs):
     assert {r["verdict"] for r in url_filter.judge(df, rules=(("allow", "com/"),)).collect()} == {"allow"}
 
 
+def test_near_signatures_rule_out_rarely():
+    import math
+
+    import numpy as np
+
+    x = np.arange(near_dedup.PLACES)
+    kept = [k for k in range(near_dedup.PLACES + 1) if near_dedup.close_enough(np.where(x < k, x, -1), x, 80)]
+    missed = sum(math.comb(near_dedup.PLACES, k) * 0.8**k * 0.2 ** (near_dedup.PLACES - k) for k in range(kept[0]))
+    assert missed < 5e-8 and kept[0] > 64
+
+
 def test_url_sample_holds_a_url_once(spark, monkeypatch):
     urls = ["http://hot.org/x"] * 900 + [f"http://{'ab'[i % 2]}{i}.org/{i}" for i in range(200)]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").repartition(8)
