@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,21 +33,65 @@ def unit_hash(*cols: Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 31)) / F.lit(float(1 << 31))
 
 
-def set_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; a temporary one only in local mode."""
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores added as it takes to differ from the columns of df (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def set_checkpoint_dir(spark: SparkSession) -> str:
+    """Use the shared folder named by spark.checkpoint.dir; a temporary one only in local mode. Returns it."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        master = sc.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    sc.setCheckpointDir(path)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            master = sc.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            path = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(path)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: later plans read the rows back from shared storage."""
+    """A reliable checkpoint: later plans read the rows back from shared storage.
+
+    Spark removes the files of a checkpoint that nothing refers to any more where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     set_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Parquet tables of one call, in a folder of their own below the shared checkpoint folder; removed at the end.
+
+    Unlike checkpoints they are compressed, read by column, and their small files share tasks when read again. What is
+    returned to the caller must not depend on them: cut_lineage it before the block ends.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.tables = spark, 0
+        self.folder = f"{set_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        remove_folder(self.spark, self.folder)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df as a written table."""
+        path, self.tables = f"{self.folder}/{self.tables}", self.tables + 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)

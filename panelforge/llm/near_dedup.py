@@ -2,22 +2,22 @@
 
 Signatures come from correlated permutation ranks: each element walks a pseudo-random permutation of the signature's
 places and offers rank plus a uniform number; a text stops as soon as no later rank can improve any place. Texts whose
-signatures agree on a band of places meet in a bucket. Links are confirmed on the full shingle sets, in three rounds that
-each skip pairs already known to be connected:
+signatures agree on a band of places meet in a bucket. Links are confirmed on the full shingle sets, in two rounds:
 
-1. each text with the bucket head that it meets most often,
-2. each text with all its bucket heads,
-3. in buckets that still hold several components, all pairs across components whose signatures are close enough,
-   compared block by block inside tasks (only links that join components become rows).
+1. each text with the heads (smallest ids) of its buckets,
+2. in buckets that still hold several components, what may link across components, compared block by block inside tasks:
+   the bucket's largest component against the rest, and the rest among itself (only links that join components become
+   rows). A bucket whose rest is too large for that is dealt out anew by further places of the signatures, which a pair
+   at the threshold shares somewhere with all but certainty, so that no text is sent to more than about MAX_BLOCKS blocks.
 
 Components come from alternating large-star and small-star rounds with union-find inside each task. Nothing that grows
-with the corpus reaches the driver.
+with the corpus reaches the driver. Tables between the steps are written to the shared checkpoint folder and removed.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import Scratch, cut_lineage, unused
 
 PLACES = 128
 BANDS = 32
@@ -34,6 +34,13 @@ ROWS = PLACES // BANDS
 SLACK = 6.0
 BLOCK_ELEMENTS = 200_000
 BLOCK_MEMBERS = 512
+#: Most blocks that the rest of a bucket may fill before the bucket is dealt out anew.
+MAX_BLOCKS = 32
+#: Places of a key by which a large bucket is dealt out anew.
+UNIT = 3
+UNITS = PLACES // UNIT
+#: Nodes that union-find holds in a task before it passes on what it has.
+MAX_NODES = 500_000
 MAX_CACHED = 500_000
 MAX_BROADCAST_IDS = 200_000
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -121,7 +128,7 @@ def sketch(docs: DataFrame, words: int, text_col: str, id_col: str) -> DataFrame
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int, text_col: str, id_col: str) -> DataFrame:
-    """id and ``items`` (all shingle hashes, sorted) of the documents in ids."""
+    """id, ``same`` and ``items`` (all shingle hashes, sorted) of the rows of docs with these ids."""
     if ids.count() <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
@@ -130,9 +137,18 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int, text_col: str, id_col
         shingler = Shingler(words)
         for batch in batches:
             items = [shingler.hashes(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["id", "items"])
+            same = [hashlib.blake2b(s, digest_size=16).digest() for s in items]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(items, pa.binary())], names=["id", "same", "items"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, items binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, same binary, items binary")
+
+
+def single_sets(keep: Callable, sets: DataFrame) -> DataFrame:
+    """id and items of sets, once for each id and text; only repeated rows call for the shuffle of whole sets."""
+    sets = keep(sets)
+    if sets.groupBy("id", "same").count().where("count > 1").limit(1).count():
+        sets = keep(sets.dropDuplicates(["id", "same"]))
+    return sets.select("id", "items")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,6 +193,7 @@ def plausible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 
 def contracted(edges: DataFrame) -> DataFrame:
     """Union-find inside each task: edges (a, b) become (node, smallest node that the task connects it with)."""
+    kind = edges.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict = {}
@@ -187,37 +204,47 @@ def contracted(edges: DataFrame) -> DataFrame:
                 x = parent[x]
             return x
 
+        def stars(kinds: pa.DataType) -> pa.RecordBatch:
+            rows = [(x, root(x)) for x in list(parent)]
+            rows = [(x, r) for x, r in rows if x != r]
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], kinds), pa.array([r for _, r in rows], kinds)], names=["a", "b"])
+
+        held = None
         for batch in batches:
+            held = batch.schema.field(0).type
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-        rows = [(x, root(x)) for x in list(parent)]
-        rows = [(x, r) for x, r in rows if x != r]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], kinds), pa.array([r for _, r in rows], kinds)], names=["a", "b"])
+            if len(parent) > MAX_NODES:
+                yield stars(held)
+        if parent:
+            yield stars(held)
 
-    kind = edges.schema["a"].dataType.simpleString()
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) to rows (id, component): each node but the components' smallest, and its component's smallest node."""
-    stars, before = cut_lineage(contracted(edges).distinct()), None
+def components(edges: DataFrame, keep: Callable = cut_lineage) -> DataFrame:
+    """edges (a, b) to rows (id, component): each node but the components' smallest, and its component's smallest node.
+
+    keep: how to store the tables of a round.
+    """
+    stars = keep(contracted(edges).distinct())
     while True:
-        state = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        ends = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up, down = F.count(F.when(F.col("b") < F.col("a"), 1)), F.count(F.when(F.col("b") > F.col("a"), 1))
+        least = keep(ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), up.alias("up"), down.alias("down")))
+        # Done when every node has one smaller neighbour and no larger one, or the other way round.
+        if not least.where("up > 1 or (up = 1 and down > 0)").limit(1).count():
             return stars.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        before = state
         # Large star: every larger neighbour of a node is tied to the node's smallest neighbour.
-        ends = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut_lineage(ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
-        large = ends.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = ends.join(least.select("a", "m"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: every smaller neighbour, and the node itself, is tied to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(least, "a")
         small = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        stars = cut_lineage(small.distinct())
+        stars = keep(contracted(keep(small.distinct())).distinct())
 
 
 def with_component(rows: DataFrame, groups: DataFrame, id_col: str, name: str) -> DataFrame:
@@ -226,16 +253,37 @@ def with_component(rows: DataFrame, groups: DataFrame, id_col: str, name: str) -
     return rows.join(found, rows[id_col] == found["__id"], "left").withColumn(name, F.coalesce("__c", id_col)).drop("__id", "__c")
 
 
-def blocks_of(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Rows (key, i, j) to compare: members of buckets with several components, cut into blocks of about BLOCK_MEMBERS.
+def mixed_buckets(members: DataFrame) -> DataFrame:
+    """Buckets (key) of several components: the largest one, and the blocks that it and the rest of the members fill."""
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    stats = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("largest"), F.sum("size").alias("size"))
+    blocks = lambda c: F.ceil(c / BLOCK_MEMBERS).cast("int")
+    return stats.where("size > largest").select("key", "main", blocks(F.col("largest")).alias("main_blocks"), blocks(F.col("size") - F.col("largest")).alias("rest_blocks"))
+
+
+def blocks_of(members: DataFrame, buckets: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Rows (key, i, j) to compare: block i is of the bucket's rest, block j of the rest too or of the largest component.
+
+    Members of the largest component go to as many rows as the rest has blocks, the others to one for each block.
+    """
+    rows = members.join(buckets, "key").join(sigs.select("id", "sig", "n"), "id")
+    rest, main = F.col("rest_blocks"), F.col("main_blocks")
+    is_main, spread = F.col("component") == F.col("main"), F.xxhash64("id")
+    own = F.when(is_main, rest + F.pmod(spread, main)).otherwise(F.pmod(spread, rest)).cast("int")
+    rows = rows.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.when(is_main, rest).otherwise(rest + main) - 1))})
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "unit", "id", "component", "n", "sig")
+
+
+def dealt_anew(members: DataFrame, buckets: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Members of large buckets once for each unit of places outside the bucket's band, under a key of both.
 
-    members: key, band, id, component. Each member goes to the pairs of blocks that its own takes part in.
+    A pair at the threshold shares one of the 38 units or more with a probability short of 1 by (1 - 0.8 ** 3) ** 38.
     """
-    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    rows = members.join(cut_lineage(mixed), "key").join(sigs.select("id", "sig", "n"), "id")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id", "component", "n", "sig")
+    piece = lambda u: F.substring(F.col("sig"), u * 2 * UNIT + 1, F.lit(2 * UNIT))
+    apart = lambda u: (u * UNIT + (UNIT - 1) < F.col("band") * ROWS) | (u * UNIT > F.col("band") * ROWS + (ROWS - 1))
+    units = F.transform(F.filter(F.sequence(F.lit(0), F.lit(UNITS - 1)), apart), lambda u: F.struct(u.alias("unit"), F.xxhash64("key", u, piece(u)).alias("key")))
+    rows = members.join(buckets.select("key"), "key").join(sigs.select("id", "sig"), "id").select("band", "id", "component", F.explode(units).alias("u"))
+    return rows.select("u.key", "band", "u.unit", "id", "component")
 
 
 def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -259,18 +307,22 @@ def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def close_partners(g: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each row of the first block: rows of the second that may link with it, and how alike the signatures are.
 
-    Only pairs of different components and fitting sizes count, and of these those that share no earlier band.
+    Only pairs of different components and fitting sizes count, and of these those that share no earlier band (nor an
+    earlier unit of a bucket dealt out anew), so that a pair is compared once.
     """
-    i, j, band = (g.column(k)[0].as_py() for k in ("i", "j", "band"))
+    i, j, band, unit = (g.column(k)[0].as_py() for k in ("i", "j", "band", "unit"))
     sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), "<u2").reshape(-1, PLACES)
     part, n, own = g.column("component").to_numpy(), g.column("n").to_numpy(), g.column("own").to_numpy()
     right = np.flatnonzero(own == j)
+    earlier = [u for u in range(unit) if u * UNIT + UNIT - 1 < band * ROWS or u * UNIT > band * ROWS + ROWS - 1]
     for r in np.flatnonzero(own == i):
         to = right[right > r] if i == j else right
         to = to[(part[to] != part[r]) & (np.minimum(n[to], n[r]) * 100 >= np.maximum(n[to], n[r]) * percent)]
         to = to[close_enough(sig[to], sig[r], percent)] if len(to) else to
         if band and len(to):
             to = to[~(sig[to, : band * ROWS] == sig[r, : band * ROWS]).reshape(len(to), band, ROWS).all(axis=2).any(axis=1)]
+        if earlier and len(to):
+            to = to[~(sig[to, : UNITS * UNIT] == sig[r, : UNITS * UNIT]).reshape(len(to), UNITS, UNIT).all(axis=2)[:, earlier].any(axis=1)]
         if len(to):
             yield int(r), to, (sig[to] == sig[r]).mean(axis=1)
 
@@ -283,23 +335,28 @@ def similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(u) + len(v) - shared)
 
 
-def links_across(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between the components of a bucket, as few as connect what is linked there.
-
-    Members without a close partner in another component go first. The others' full sets join them, and each task
-    confirms its close pairs, the closest first, until their components are joined. Rows out are at most rows in.
-    """
-    kind = members.schema["id"].dataType.simpleString()
-    columns = f"key bigint, i int, j int, own int, band int, id {kind}, component {kind}, n bigint, sig binary"
+def close_members(blocks: DataFrame, percent: int) -> DataFrame:
+    """The rows of blocks that have a close partner in another component there."""
     order = ["key", "i", "j"]
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in in_groups(batches):
             found = [np.append(to, r) for r, to, _ in close_partners(g, percent)]
             if found:
                 yield from g.take(pa.array(np.unique(np.concatenate(found)))).combine_chunks().to_batches()
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return blocks.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, blocks.schema)
+
+
+def links_within(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between the components of a block pair, as few as connect what is linked there.
+
+    Full sets join the rows; each task confirms its close pairs, the closest first, until their components are joined.
+    Rows out are at most rows in.
+    """
+    kind, order = blocks.schema["id"].dataType.simpleString(), ["key", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in in_groups(batches):
             part, ids = g.column("component").to_pylist(), g.column("id").to_pylist()
             items = [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column("items")]
@@ -321,9 +378,8 @@ def links_across(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent:
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], g.schema.field("id").type) for k in (0, 1)], names=["a", "b"])
 
-    rows = blocks_of(members, sigs).repartition(*order).sortWithinPartitions(*order).mapInArrow(candidates, columns)
-    rows = rows.join(sets, "id").select(*order, "own", "band", "id", "component", "n", "sig", "items")
-    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(confirm, f"a {kind}, b {kind}")
+    rows = blocks.join(sets, "id").select(*blocks.columns, "items")
+    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -333,47 +389,54 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text_col
     lower case; words are runs of anything but ASCII white space; a text shorter than a shingle is one shingle).
     component_id is the smallest id reachable, kept marks the document that has it. Null texts and texts without words
     have no shingles and are linked with nothing; so are rows without an id, whose component_id is null and which are
-    kept. Rows that repeat an id are one document. Ids are integers or strings. Other columns are not read.
+    kept. Rows that repeat an id are one document, linked by any of its texts. Ids are integers or strings. Other
+    columns are not read.
 
     A pair at the threshold meets in a band with probability 1 - (1 - 0.8 ** 4) ** 32, short of 1 by 5e-8, and its
-    signature is too far off with probability 3e-8 (SLACK standard errors), so 8e-8 in all; other steps are exact.
+    signature is too far off with probability 3e-8 (SLACK standard errors), so 8e-8 in all; other steps are exact but
+    for the units of dealt_anew (2e-12).
     """
-    all_rows = cut_lineage(sketch(docs, words, text_col, id_col))
-    known = all_rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    heads = cut_lineage(known.groupBy("same").agg(F.min("id").alias("head")))
-    reps = known.join(heads, "same").where("id = head")
-    sigs = cut_lineage(reps.select("id", "n", "sig"))
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * 2 * ROWS + 1, F.lit(2 * ROWS))))
-    bands = sigs.select("id", F.posexplode(band).alias("band", "key"))
-    # Small tables that a join on the same key follows are cut off, so that Spark can split that join's large keys.
-    several = cut_lineage(bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("key", "pivot"))
-    members = cut_lineage(bands.join(several, "key").select("key", "band", "id", "pivot"))
-    sets = cut_lineage(full_sets(docs, members.select("id").distinct(), words, text_col, id_col).dropDuplicates(["id"]))
-    met = sigs.join(members.select("id").distinct(), "id", "left_semi")
-    close = cut_lineage(met.select("id", "n", "sig"))
-
-    meets = members.where("id <> pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-    meets = cut_lineage(meets)
-    most = meets.groupBy("a").agg(F.max_by("b", F.struct("times", F.xxhash64("b"))).alias("b"))
-    links = confirmed(plausible(most, close, percent), sets, percent)
-    groups = components(links)
-
-    rest = with_component(with_component(meets, groups, "a", "ca"), groups, "b", "cb").where("ca <> cb").select("a", "b")
-    links = confirmed(plausible(rest, close, percent), sets, percent)
-    groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
-
-    placed = with_component(members.select("key", "band", "id"), groups, "id", "component")
-    links = links_across(placed, close, sets, percent)
-    groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
-
-    by_head = cut_lineage(with_component(heads, groups, "head", "component_id").select("same", "component_id"))
-    # An id stands in one component, even if it repeats with other texts.
-    out = all_rows.select("id", "n", "same").join(by_head, "same", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint", "string"):
+        raise TypeError("ids must be integers or strings")
+    with Scratch(docs.sparkSession) as scratch:
+        keep = scratch.keep
+        rows = keep(sketch(docs, words, text_col, id_col))
+        # One row for each set of shingles, that of its smallest id.
+        reps = rows.where(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("same").agg(F.min(F.struct("id", "n", "sig")).alias("r"))
+        reps = keep(reps.select("same", "r.*"))
+        band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * 2 * ROWS + 1, F.lit(2 * ROWS))))
+        bands = reps.select("id", F.posexplode(band).alias("band", "key"))
+        # A table of its own, so that Spark can split the large keys of the join that follows.
+        several = keep(bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("key", "pivot"))
+        members = keep(bands.join(several, "key").select("key", "band", "id", "pivot"))
+
+        heads = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+        pairs = keep(plausible(heads, reps, percent))
+        sets = single_sets(keep, full_sets(docs, keep(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "id")), words, text_col, id_col))
+        groups = components(keep(confirmed(pairs, sets, percent)), keep)
+
+        placed = keep(with_component(members.select("key", "band", F.lit(-1).alias("unit"), "id"), groups, "id", "component"))
+        buckets = keep(mixed_buckets(placed))
+        small, large = buckets.where(F.col("rest_blocks") <= MAX_BLOCKS), buckets.where(F.col("rest_blocks") > MAX_BLOCKS)
+        blocks = blocks_of(placed, small, reps)
+        if large.limit(1).count():
+            anew = keep(dealt_anew(placed, large, reps))
+            blocks = blocks.unionByName(blocks_of(anew, keep(mixed_buckets(anew)), reps))
+        close = keep(close_members(blocks, percent))
+        sets = single_sets(keep, full_sets(docs, keep(close.select("id").distinct()), words, text_col, id_col))
+        links = keep(links_within(close, sets, percent))
+        if links.limit(1).count():
+            groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links), keep)
+
+        found = keep(with_component(reps.select("same", "id"), groups, "id", "component_id").select("same", "component_id"))
+        # An id stands in one component, even if it repeats with other texts.
+        out = rows.select("id", "n", "same").join(found, "same", "left")
+        component = F.coalesce("component_id", "id")
+        return cut_lineage(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without the documents of which a near duplicate with a smaller id stays; all columns. Cases as above."""
-    gone = near_components(docs, words, percent, text_col, id_col).where(~F.col("kept")).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    (key,) = unused(docs, "gone")
+    gone = near_components(docs, words, percent, text_col, id_col).where(~F.col("kept")).select(F.col(id_col).alias(key)).distinct()
+    return docs.join(gone, docs[id_col] == gone[key], "left_anti")

@@ -207,8 +207,13 @@ def test_near_copies_of_the_corpus(corpus, words):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_near_copies_in_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 16)
+@pytest.mark.parametrize(("members", "blocks"), [(16, 32), (6, 1)])
+def test_near_copies_in_a_large_group(spark, monkeypatch, members, blocks):
+    """Buckets cut into blocks, and with one block at most, dealt out anew."""
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", members)
+    monkeypatch.setattr(near_dedup, "MAX_BLOCKS", blocks)
+    anew, dealt = [], near_dedup.dealt_anew
+    monkeypatch.setattr(near_dedup, "dealt_anew", lambda *a: anew.append(1) or dealt(*a))
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -220,6 +225,7 @@ def test_near_copies_in_a_large_group(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     want, _ = brute_components(df.collect(), 2)
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(df, 2).collect()} == want
+    assert bool(anew) == (blocks == 1)
 
 
 def test_near_copies_edges(edge_docs, no_docs):
