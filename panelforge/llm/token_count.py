@@ -17,8 +17,8 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ CHUNK = 256
 BLOCK_CHARS = 1 << 20
 #: States that a worker keeps before it starts anew; bounds its memory to about 1 KB each.
 MAX_STATES = 200_000
-#: White space of the vocabulary file's pattern (Unicode White_Space).
-WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: The character classes of the vocabulary file's pattern.
+PATTERNS = {SPACE: r"\s+", LETTER: r"\p{L}+", NUMBER: r"\p{N}+"}
 _BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 
 
@@ -45,13 +45,25 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(kept) else chr(next(spare)) for b in range(256)]
 
 
+@cache
+def character_classes() -> np.ndarray:
+    """Each code point's class, asked of the library, which has a Unicode version of its own."""
+    from tokenizers import Regex, pre_tokenizers
+
+    points = np.delete(np.arange(0x110000), np.s_[0xD800:0xE000])
+    text = points.astype("<u4").tobytes().decode("utf-32-le")
+    classes = np.full(0x110000, PUNCT, np.uint8)
+    for kind, pattern in PATTERNS.items():
+        for _, (start, end) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+            classes[points[start:end]] = kind
+    return classes
+
+
 class Splitter:
     """Compiled pre-tokenizer: letters, single numbers, contractions, and runs of anything else."""
 
-    def __init__(self) -> None:
-        kinds = {"L": LETTER, "N": NUMBER}
-        self.classes = np.fromiter((kinds.get(unicodedata.category(chr(i))[0], PUNCT) for i in range(0x110000)), np.uint8, 0x110000)
-        self.classes[WHITE] = SPACE
+    def __init__(self, classes: np.ndarray) -> None:
+        self.classes = classes
         begin = {SPACE: OUT, LETTER: IN_LETTERS, NUMBER: OUT, PUNCT: IN_PUNCT, APOS_2: LEFT_1, APOS_3: LEFT_2}
         step = np.zeros((5, 6), np.uint8)
         starts = np.zeros((5, 6), bool)
@@ -227,10 +239,10 @@ class WordMachine:
 class CompiledTokenizer:
     """Counts the tokens of texts as the vocabulary file's tokenizer does."""
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, classes: np.ndarray) -> None:
         self.spec, conf = spec, json.loads(spec)
         model = conf["model"]
-        self.splitter = Splitter()
+        self.splitter = Splitter(classes)
         self.words = WordMachine(model["vocab"], model["merges"], model["end_of_word_suffix"])
         special = sorted((t["content"] for t in conf["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
@@ -308,12 +320,12 @@ class CompiledTokenizer:
 _compiled: dict[int, CompiledTokenizer] = {}
 
 
-def compiled(spec: str) -> CompiledTokenizer:
+def compiled(spec: str, classes: np.ndarray) -> CompiledTokenizer:
     """One machine a worker process, so that compiled states serve all its tasks."""
     key = hash(spec)
     if key not in _compiled:
         _compiled.clear()
-        _compiled[key] = CompiledTokenizer(spec)
+        _compiled[key] = CompiledTokenizer(spec, classes)
     return _compiled[key]
 
 
@@ -321,13 +333,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, t
     """Per row of docs: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > max_tokens).
 
     Null and empty texts have no bytes and no tokens; null ids and repeated rows stay, each with its own counts; other
-    columns of docs are not read. The file at tokenizer_path is read on the driver and sent to the workers (2 MB).
+    columns of docs are not read. A text of any length takes memory for itself and one block of BLOCK_CHARS (one without
+    blanks is a block of its own). The file at tokenizer_path is read on the driver and sent to the workers (2 MB).
     """
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        spec = docs.sparkSession.sparkContext.broadcast((f.read(), character_classes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = compiled(spec.value)
+        machine = compiled(*spec.value)
         for batch in batches:
             texts = batch.column(1)
             n_bytes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
