@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 
 RULES = ("dot", "norm")
+#: What residual tokens, documents and attention cost weigh in the choice.
+WEIGHTS = (1.0, 0.5, 0.5)
 ROWS_PER_BUCKET = 20_000
 MAX_BROADCAST_ROWS = 100_000
 
@@ -50,9 +52,17 @@ class ByteTokenizer:
         self.mark = os.path.commonprefix(list(special))  # a cheap test that rules most texts out
         self.special = {k: np.array([v], "<u4").tobytes() for k, v in special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.spec, self.library = spec, None
 
     def words(self, text: str) -> bytes:
-        return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        try:
+            return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        except ValueError:  # a run of blanks too long for the pattern's matcher
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_str(self.spec)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         parts = self.split.split(text) if self.split and self.mark in text else [text]
@@ -100,7 +110,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def plan_bins(counts: dict[int, int], tokens: int, documents: int | None = None, attention: float | None = None, weights: tuple = (1.0, 0.0, 0.0), rule: str = "norm") -> list[tuple[list[tuple[int, int]], int]]:
+def plan_bins(counts: dict[int, int], tokens: int, documents: int | None = None, attention: float | None = None, weights: tuple = WEIGHTS, rule: str = "norm") -> list[tuple[list[tuple[int, int]], int]]:
     """Fill bins from counts (items by length). Returns patterns: [(length, items of it)], and how many bins have it.
 
     A bin opens with the item of the largest weighted demand and takes, while any fits all residual capacities, the item
@@ -139,7 +149,7 @@ def plan_bins(counts: dict[int, int], tokens: int, documents: int | None = None,
     return patterns
 
 
-def pack(pieces: DataFrame, tokens: int = 2048, documents: int | None = None, attention: float | None = None, weights: tuple = (1.0, 0.0, 0.0), rule: str = "norm", id_col: str = "doc_id") -> DataFrame:
+def pack(pieces: DataFrame, tokens: int = 2048, documents: int | None = None, attention: float | None = None, weights: tuple = WEIGHTS, rule: str = "norm", id_col: str = "doc_id") -> DataFrame:
     """pieces with ``sequence_id`` and ``offset``: their bin and place in it, gapless from 0.
 
     No bin holds more than ``tokens`` tokens, ``documents`` pieces and ``attention`` summed squared lengths. pieces must

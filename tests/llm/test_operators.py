@@ -26,7 +26,7 @@ def library(path):
 
 @pytest.fixture(scope="module")
 def word_machine():
-    return token_count.CompiledTokenizer(open(WORDS_49K, encoding="utf-8").read())
+    return token_count.CompiledTokenizer(open(WORDS_49K, encoding="utf-8").read(), token_count.character_classes())
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +48,15 @@ def test_counts_of_hard_texts(word_machine, word_library):
     assert word_machine.count(texts).tolist() == [len(word_library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+@pytest.mark.parametrize("form", ["{}", "a{}b", "Î{}", "é{}1"])
+def test_counts_of_every_character(word_machine, word_library, form):
+    """All code points in blocks of texts; a block's counts are compared one by one only where its sum differs."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["\n".join(form.format(chr(c)) for c in points[i : i + 512]) for i in range(0, len(points), 512)]
+    want = [len(e.ids) for e in word_library.encode_batch(texts, add_special_tokens=False)]
+    assert word_machine.count(texts).tolist() == want
+
+
 def test_counts_do_not_depend_on_blocks(word_machine, monkeypatch, word_library):
     text = "the quick brown fox can't stop 42 " * 200
     want = len(word_library.encode(text, add_special_tokens=False).ids)
@@ -173,6 +182,12 @@ def test_pieces_equal_the_library(corpus, edge_docs):
         assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "a" + "\n" * 1_000_000, " \n\t" * 400_000 + "don't", " " * 5_000_000, "ab " * 300_000])
+def test_ids_of_long_runs(text):
+    own = packing.ByteTokenizer(open(BYTES_50K, encoding="utf-8").read())
+    assert own.encode(text) == np.array(library(BYTES_50K).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @pytest.mark.parametrize("rule", packing.RULES)
 @pytest.mark.parametrize(("documents", "attention"), [(None, None), (3, None), (None, 5000.0)])
 def test_packing_under_every_constraint(spark, rule, documents, attention):
