@@ -13,10 +13,10 @@ only; the largest group of copies passes through partial aggregation and skew-sp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, lower_ascii
+from .common import cut_lineage, lower_ascii, unused
 
 HEAD_CHARS = 256
 BLOCK_CHARS = 4096
@@ -93,14 +93,14 @@ def find_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without the rows that find_duplicates drops, all columns. Same cases as there.
 
-    Rows that repeat in id and text keep one row, with the other columns of the first in the order of all columns' text.
+    Rows that repeat in id and text keep one row, any of them where their other columns differ.
     """
     gone = find_duplicates(docs, text_col=text_col, id_col=id_col).where((F.col("group_size") > 1) & ~F.col("kept"))
+    sha, key, r_sha, r_key, drop, nth = unused(docs, "sha", "key", "r_sha", "r_key", "drop", "nth")
     # Of a repeated row some copies stay: count what to drop of each id and text.
-    gone = gone.groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("dropped"))
-    sha = F.sha2(F.coalesce(lower_ascii(F.col(text_col).cast("string")), F.lit("")).cast("binary"), 256)
-    keyed = docs.withColumn("__sha", sha).withColumn("__id", F.col(id_col))
-    other = gone.select(F.col(id_col).alias("__rid"), F.col("text_sha256").alias("__rsha"), "dropped")
-    joined = keyed.join(other, keyed["__id"].eqNullSafe(other["__rid"]) & keyed["__sha"].eqNullSafe(other["__rsha"]), "left")
-    nth = F.expr("row_number() over (partition by __id, __sha order by __id)")
-    return joined.withColumn("__nth", nth).where(F.col("dropped").isNull() | (F.col("__nth") > F.col("dropped"))).select(*docs.columns)
+    gone = gone.groupBy(F.col(id_col).alias(r_key), F.col("text_sha256").alias(r_sha)).agg(F.count(F.lit(1)).alias(drop))
+    text = F.coalesce(lower_ascii(F.col(text_col).cast("string")), F.lit(""))
+    keyed = docs.withColumns({sha: F.sha2(text.cast("binary"), 256), key: F.col(id_col)})
+    joined = keyed.join(gone, keyed[key].eqNullSafe(gone[r_key]) & (keyed[sha] == gone[r_sha]), "left")
+    joined = joined.withColumn(nth, F.row_number().over(Window.partitionBy(key, sha).orderBy(key)))
+    return joined.where(F.col(drop).isNull() | (F.col(nth) > F.col(drop))).select(*docs.columns)
