@@ -15,7 +15,7 @@ EDGES = [
     (10, "a row that repeats as it is, twice over", "en", "d"),
     (10, "a row that repeats as it is, twice over", "en", "d"),
 ]
-CLASHING = ["n", "text_sha256", "score", "name", "w", "id", "rank", "size", "target", "range", "fingerprint", "__x"]
+CLASHING = ["n", "text_sha256", "score", "name", "w", "id", "rank", "size", "target", "range", "fingerprint", "__x", "__id", "__n", "__k", "key", "own", "bad", "line", "site", "dropped", "drop", "nth", "sha", "gone", "same", "sig", "band", "times", "host", "label", "h", "next_text", "edited"]
 
 
 @pytest.fixture(scope="session")

@@ -134,7 +134,7 @@ def test_exact_deduplicate_keeps_one_row_each(edge_docs):
 # 4: lines
 
 
-def test_line_removal(spark, no_docs):
+def test_line_removal(spark, edge_docs, no_docs):
     rows = [(i, f"shared line\nown {i}\n\ntwice {i % 3}", f"s{i}") for i in range(8)] + [(20, None, "s1"), (21, "shared line", None), (22, "", "s0"), (20, "shared line\nshared line", "s1")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("line", F.lit(1)).withColumn("site", F.lit(1))
     sites = defaultdict(set)
@@ -150,10 +150,21 @@ def test_line_removal(spark, no_docs):
             want[i, None if text is None else "\n".join(kept), len(lines), len(lines) - len(kept)] += 1
         assert got == want
     assert line_dedup.remove_spread_lines(no_docs).count() == 0
+    edges = line_dedup.remove_spread_lines(edge_docs, 2)
+    assert edges.columns == [*edge_docs.columns, "n_lines", "n_removed"] and edges.count() == edge_docs.count()
+    assert Counter((r["doc_id"], r["text"]) for r in edges.collect()) == Counter((r["doc_id"], r["text"]) for r in edge_docs.collect())
     with pytest.raises(ValueError):
         line_dedup.spread_lines(df, 1)
 
 
+def test_lines_near_a_high_threshold(spark):
+    """Below the threshold by one, at it and far above it, and a line that most rows of few sites have."""
+    lines = [(f"s{i}", f"at {k}") for k in (299, 300, 301, 400) for i in range(k)] + [(f"s{i % 7}", "hot") for i in range(5000)]
+    df = spark.createDataFrame(lines, "source string, text string").repartition(5)
+    want = {r["h"] for r in df.where("text in ('at 300', 'at 301', 'at 400')").select(F.xxhash64("text").alias("h")).collect()}
+    assert {r["line"] for r in line_dedup.spread_lines(df, 300).collect()} == want
+
+
 # 5: packing
 
 
