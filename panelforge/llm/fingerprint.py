@@ -22,8 +22,12 @@ LENGTH_STEPS = 4
 BUCKET_COST = np.array([0, 1, 2.5, 6])
 LENGTH_COST, LENGTH_BOUND = 4, 200
 DIGEST_BYTES = 1 + BUCKETS // 4
+#: Rows of a range of ids, and the most ranges: 8 MB of cuts. Tables of over MAX_RANGES * ROWS_PER_RANGE rows have more
+#: rows to a range, in proportion.
 ROWS_PER_RANGE = 4000
-MAX_RANGES = 20_000
+MAX_RANGES = 1 << 20
+#: Ranges that one aggregation cuts; each of them is cut anew where there are to be more.
+CUTS = 1024
 
 
 def digest(data: bytes) -> str:
@@ -71,19 +75,35 @@ def compare(left: str, right: str) -> Column:
     return run(left, right)
 
 
+def id_bounds(ids: DataFrame, ranges: int) -> np.ndarray:
+    """First ids of all ranges but the first, at percentiles of column id: in one level, or in two of about equal size."""
+    if ranges < 2:
+        return np.zeros(0, np.int64)
+    coarse = min(CUTS, ranges)
+    cuts = ids.agg(F.percentile_approx("id", [i / coarse for i in range(1, coarse)], 10 * coarse)).first()[0] or []
+    cuts = np.unique(np.array(cuts, np.int64))
+    if ranges <= CUTS:
+        return cuts
+    fine = -(-ranges // CUTS)
+    place = F.pandas_udf(lambda x: pd.Series(np.searchsorted(cuts, x.to_numpy(), side="right")), "int")
+    within = ids.where("id is not null").groupBy(place("id").alias("range")).agg(F.percentile_approx("id", [i / fine for i in range(1, fine)], 10 * fine).alias("cuts"))
+    return np.unique(np.concatenate([cuts, *[np.array(r["cuts"], np.int64) for r in within.collect()]]))
+
+
 def with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """id, text, fingerprint, and the text and fingerprint of the next row by ascending id (after the last: the first).
 
-    Ids are cut into ranges at percentiles of the ids themselves (at most MAX_RANGES numbers on the driver); the first
-    row of a range also goes to the range before, so that one shuffle by range gives every row its successor. Null ids
-    come first; rows of equal id stand in the order of their texts. A single row is its own successor.
+    Ids are cut into ranges at percentiles of the ids themselves (MAX_RANGES numbers on the driver at most); the first
+    row of a range also goes to the range before, so that one shuffle by range gives every row its successor. Ids are
+    integers, others raise TypeError. Null ids come first; rows of equal id stand in the order of their texts, all in
+    one range. A single row is its own successor. Other columns are not read.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("ids must be integers")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     found = ids.agg(F.count("id").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("id").alias("least")).first()
-    ranges = int(min(MAX_RANGES, max(1, found["n"] // rows_per_range)))
-    cuts = ids.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else []
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    bounds = id_bounds(ids, min(MAX_RANGES, max(1, found["n"] // rows_per_range)))
     bounds = bounds[bounds > found["least"]] if len(bounds) else bounds
     nulls, least, last = found["rows"] > found["n"], found["least"], len(bounds)
 

@@ -415,7 +415,29 @@ def test_mix(corpus, edge_docs, no_docs):
 # 10: fingerprints
 
 
-def test_fingerprints_of_edits(corpus):
+def brute_digest(text):
+    """Length code and quartile codes, counted one triplet at a time with whole numbers."""
+    data, low = text.encode(), (1 << 32) - 1
+    counts = [0] * 512
+    for a, b, c in zip(data, data[1:], data[2:], strict=False):
+        key = (a * 0x9E3779B1 & low) ^ (b * 0x85EBCA6B & low) ^ (c * 0xC2B2AE35 & low)
+        counts[((key ^ key >> 15) * 0x27D4EB2F & low) >> 23] += 1
+    quartiles = [sorted(counts)[k] for k in (128, 256, 384)]
+    codes = [sum(n > q for q in quartiles) for n in counts] if len(data) > 2 else [0] * 512
+    return min(255, round(4 * np.log2(len(data) + 1))), codes
+
+
+def brute_likeness(x, y):
+    (m, a), (n, b) = brute_digest(x), brute_digest(y)
+    cost = (0, 1, 2.5, 6)
+    apart = sum(cost[abs(i - j)] for i, j in zip(a, b, strict=True)) + min(4 * max(abs(m - n) - 1, 0), 200)
+    most = 512 * sum(cost[abs(i - j)] for i in range(4) for j in range(4)) / 16
+    return 1 - min(apart, most) / most
+
+
+@pytest.mark.parametrize("cuts", [4, 1024])
+def test_fingerprints_of_edits(corpus, monkeypatch, cuts):
+    monkeypatch.setattr(fingerprint, "CUTS", cuts)
     rows = sorted(((r["doc_id"], r["text"] or "") for r in corpus.collect()))
     got = {r["doc_id"]: r for r in fingerprint.edited(fingerprint.with_next(corpus, rows_per_range=17)).collect()}
     assert len(got) == len(rows)
@@ -425,6 +447,11 @@ def test_fingerprints_of_edits(corpus):
         edit = text[: len(text) - cut] + following[:cut]
         assert got[doc]["edited"] == edit and got[doc]["fingerprint"] == fingerprint.digest(text.encode()) and got[doc]["edited_fingerprint"] == fingerprint.digest(edit.encode())
         assert got[doc]["next_fingerprint"] == fingerprint.digest(following.encode())
+        if k % 20 == 0:
+            length, codes = brute_digest(text)
+            packed = sum(c << 2 * i for i, c in enumerate(reversed(codes)))
+            assert got[doc]["fingerprint"] == f"{length:02x}{packed:0256x}"
+            assert abs(got[doc]["near_edited"] - brute_likeness(text, edit)) < 1e-9 and abs(got[doc]["near_next"] - brute_likeness(text, following)) < 1e-9
     nearer = np.mean([r["near_edited"] > r["near_next"] for r in got.values()])
     assert nearer > 0.97
 
@@ -435,6 +462,8 @@ def test_fingerprint_edges(spark, edge_docs, no_docs):
         rows = out.collect()
         assert len(rows) == edge_docs.count() and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
     assert fingerprint.with_next(no_docs).count() == 0
+    with pytest.raises(TypeError):
+        fingerprint.with_next(edge_docs.withColumn("doc_id", F.lit("a")))
     one = fingerprint.edited(fingerprint.with_next(spark.createDataFrame([(5, "abcdefgh")], "doc_id bigint, text string"))).first()
     assert one["edited"] == "abcdefab" and one["near_next"] == 1
     a, b = fingerprint.digest(b"abc" * 50), fingerprint.digest(b"xyz" * 50)
