@@ -1,8 +1,9 @@
 """Quality scores from compression: how much better does a text compress with a dictionary of good or of bad texts?
 
-Two zstandard dictionaries are built from a bounded sample of labelled texts. A text's compressed sizes under either,
-their difference over the smaller-is-better size, is the signal; a logistic curve fitted on the other half of the
-sample, which also sees the text's length and plain compression ratio, turns it into a probability.
+Two zstandard dictionaries are trained on pieces of a bounded sample of labelled texts. A text is compressed in short
+chunks, so that a dictionary helps with all of it and not with its beginning only; the difference of the summed sizes under
+either dictionary, as a share of the text's own size, is the signal. A logistic curve of this difference alone, fitted on
+the other half of the sample, makes it a probability.
 """
 
 from __future__ import annotations
@@ -17,67 +18,63 @@ from pyspark.sql import functions as F
 
 from .common import unit_hash
 
-#: Bounds of the sample that the dictionaries and the curve are fitted on: rows of each class, and characters of a row.
+#: Bounds of the sample that the dictionaries and the curve are fitted on: rows of each class, and for the dictionaries
+#: pieces of a row, spread evenly over the whole text, and characters of a piece.
 SAMPLE_ROWS = 2500
-SAMPLE_CHARS = 30_000
-DICTIONARY_BYTES = 112 << 10
+PIECES, PIECE_CHARS = 8, 512
+DICTIONARY_BYTES = 16 << 10
+CHUNK_BYTES = 256
 LEVEL = 3
 
 
 @dataclass
 class CompressionModel:
-    """Dictionaries (empty: no training text of that class), and the fitted curve."""
+    """Dictionaries (empty: no training text of that class), and slope and intercept of the curve (none: not fitted)."""
 
     good: bytes
     bad: bytes
-    weights: np.ndarray
-    mean: np.ndarray
-    scale: np.ndarray
+    curve: np.ndarray
     prior: float
 
     def compressors(self) -> list:
         dictionaries = [zstandard.ZstdCompressionDict(d) if d else None for d in (self.good, self.bad)]
-        return [zstandard.ZstdCompressor(level=LEVEL, dict_data=d) if d else zstandard.ZstdCompressor(level=LEVEL) for d in (*dictionaries, None)]
+        return [zstandard.ZstdCompressor(level=LEVEL, dict_data=d) if d else zstandard.ZstdCompressor(level=LEVEL) for d in dictionaries]
+
+    def differences(self, texts: list[str]) -> np.ndarray:
+        """The normalised size difference of each text that is not empty; positive where the good dictionary helps more."""
+        pair, sizes = self.compressors(), []
+        for t in map(str.encode, texts):
+            chunks = [t[i : i + CHUNK_BYTES] for i in range(0, len(t), CHUNK_BYTES)]
+            sizes.append([len(t), *(sum(len(c.compress(x)) for x in chunks) for c in pair)])
+        n, good, bad = np.array(sizes, float).reshape(-1, 3).T
+        return (bad - good) / n
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.prior)
         known = [i for i, t in enumerate(texts) if t]
-        if known and len(self.weights):
-            x = signals([texts[i].encode() for i in known], self.compressors())
-            out[known] = logistic(with_bias((x - self.mean) / self.scale) @ self.weights)
+        if known and len(self.curve):
+            out[known] = logistic(self.curve[0] * self.differences([texts[i] for i in known]) + self.curve[1])
         return out
 
 
-def signals(texts: list[bytes], compressors: list) -> np.ndarray:
-    """Normalised size difference, plain ratio, log length and products of these, one row a text."""
-    sizes = np.array([[len(c.compress(t)) for c in compressors] for t in texts], float).reshape(-1, 3)
-    n = np.array([len(t) for t in texts], float)
-    difference = (sizes[:, 1] - sizes[:, 0]) / np.maximum(sizes[:, 0], sizes[:, 1])
-    ratio, length = sizes[:, 2] / n, np.log(n)
-    best = np.minimum(sizes[:, 0], sizes[:, 1]) / n
-    return np.column_stack([difference, ratio, length, best, difference * length, ratio * length, difference**2, ratio**2, difference * ratio])
-
-
-def with_bias(x: np.ndarray) -> np.ndarray:
-    return np.column_stack([x, np.ones(len(x))])
-
-
 def logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Newton steps for a weighted, lightly penalised logistic regression."""
-    w = np.zeros(x.shape[1])
+def fit_curve(d: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Newton steps for a weighted, lightly penalised logistic curve; returns slope and intercept, the slope not negative."""
+    mean, scale = d.mean(), max(d.std(), 1e-9)
+    x, w = np.column_stack([(d - mean) / scale, np.ones(len(d))]), np.zeros(2)
     for _ in range(rounds):
         p = logistic(x @ w)
         grad = x.T @ (share * (p - y)) + ridge * w
-        hess = (x * (share * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(w))
+        hess = (x * (share * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(2)
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    slope = max(0.0, w[0] / scale)
+    return np.array([slope, w[1] - slope * mean])
 
 
 def dictionary(samples: list[bytes]) -> bytes:
@@ -88,8 +85,26 @@ def dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> CompressionModel:
-    """Fit on at most about ``rows`` labelled texts of each class of at most ``chars`` characters (documented bounds).
+def pieces_of(text: Column) -> Column:
+    """Up to PIECES stretches of PIECE_CHARS characters, evenly spread over the text: all of it where it is short."""
+    n = F.ceil(F.length(text) / PIECE_CHARS)
+    taken = F.least(n, F.lit(PIECES)).cast("int")
+    at = lambda k: (F.floor(k * n / taken) * PIECE_CHARS + 1).cast("int")
+    return F.transform(F.sequence(F.lit(0), taken - 1), lambda k: F.substring(text, at(k), F.lit(PIECE_CHARS)))
+
+
+def differences_of(text: Column, model: CompressionModel, spark) -> Column:
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.differences(texts.tolist()), dtype=float)
+
+    return run(text)
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> CompressionModel:
+    """Fit on at most about ``rows`` labelled texts of each class, of any length (documented bounds).
 
     usable: a condition on labels' id. Labels other than 0 and 1, labels of missing or empty texts, and ids with two
     different labels teach nothing. With one class only, every score is that class's share.
@@ -98,30 +113,27 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "t
     found = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(found.values())
     prior = found.get(1, 0) / total if total else 0.5
-    nothing = CompressionModel(b"", b"", np.zeros(0), np.zeros(0), np.ones(0), prior)
+    nothing = CompressionModel(b"", b"", np.zeros(0), prior)
     if len(found) < 2:
         return nothing
     share = F.when(F.col("y") == 1, min(1.0, rows / found[1])).otherwise(min(1.0, rows / found[0]))
-    chosen = marks.where(unit_hash(F.col("id"), seed=8) < share).limit(3 * rows)  # about 2 * rows ids: small enough to broadcast
-    texts = docs.where(F.length(text_col).between(1, chars)).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").toPandas().drop_duplicates(["id", "text"]).sort_values(["id", "text"])
-    x, y = [t.encode() for t in sample["text"]], sample["y"].to_numpy(float)
+    drawn = unit_hash(F.col("id"), seed=8) / share
+    # About 2 * rows ids: small enough to broadcast. One half of them builds the dictionaries, the other fits the curve.
+    chosen = marks.where(drawn < 1).select("id", "y", (unit_hash(F.col("id"), seed=80) < 0.5).alias("builds"))
+    text = F.col(text_col).cast("string")
+    sample = docs.where(F.length(text) > 0).select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")
+    pieces = sample.where("builds").select("id", "y", F.explode(pieces_of(F.col("text"))).alias("piece")).distinct().toPandas().sort_values(["id", "piece"])
+    if pieces["y"].nunique() < 2:
+        return nothing
+    good, bad = ([t.encode() for t in pieces["piece"][pieces["y"] == k]] for k in (1, 0))
+    model = CompressionModel(dictionary(good), dictionary(bad), np.zeros(0), prior)
+    scored = sample.where("not builds").select("y", differences_of(F.col("text"), model, docs.sparkSession).alias("d")).groupBy("y", "d").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["y", "d"])
+    d, y, n = (scored[c].to_numpy(float) for c in ("d", "y", "n"))
     if len(set(y)) < 2:
         return nothing
-    # Alternate halves of each class: one builds the dictionaries, the other fits the curve.
-    order = np.zeros(len(y), int)
-    for k in (0, 1):
-        order[y == k] = np.arange((y == k).sum())
-    first = order % 2 == 0
-    build = [[t for t, a, b in zip(x, first, y == k, strict=True) if a and b] for k in (1, 0)]
-    curve = ~first if len(set(y[~first])) == 2 else first
-    model = CompressionModel(dictionary(build[0]), dictionary(build[1]), np.zeros(0), np.zeros(0), np.ones(0), prior)
-    z = signals([t for t, c in zip(x, curve, strict=True) if c], model.compressors())
-    own = y[curve]
-    model.mean, model.scale = z.mean(axis=0), np.maximum(z.std(axis=0), 1e-9)
     # The sample holds the classes in other shares than the labels do; weights undo that.
-    weight = np.where(own == 1, prior / own.mean(), (1 - prior) / (1 - own.mean()))
-    model.weights = fit_logistic(with_bias((z - model.mean) / model.scale), own, weight)
+    own = (n * y).sum() / n.sum()
+    model.curve = fit_curve(d, y, n * np.where(y == 1, prior / own, (1 - prior) / (1 - own)))
     return model
 
 
@@ -129,7 +141,7 @@ def score(docs: DataFrame, model: CompressionModel, text_col: str = "text", id_c
     """All columns of docs with ``quality_score`` (0 to 1) and ``quality_pred`` (1 where the score reaches the threshold).
 
     Null and empty texts get the share of good labels. Repeated rows and null ids stay; existing columns of these two
-    names are replaced. Whole texts are compressed.
+    names are replaced. Whole texts are compressed, of any length, a chunk at a time.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

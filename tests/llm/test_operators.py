@@ -352,13 +352,20 @@ def test_url_entropy_of_the_whole_path(spark):
 # 8: quality
 
 
-def test_quality(spark, corpus, edge_docs, no_docs):
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+def area(good, bad):
+    """Share of pairs that a score puts in the right order."""
+    return ((good[:, None] > bad[None, :]) + 0.5 * (good[:, None] == bad[None, :])).mean()
+
+
+def test_quality(spark, edge_docs, no_docs):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
     model = quality.train(docs, labels, fold(F.col("doc_id")) != 2)
-    out = quality.score(docs, model).join(labels, "doc_id").where(fold(F.col("doc_id")) == 2).toPandas()
-    good, bad = out[out.quality == 1].quality_score.to_numpy(), out[out.quality == 0].quality_score.to_numpy()
-    assert (good[:, None] > bad[None, :]).mean() > 0.9 and ((out.quality_score >= 0.7) == (out.quality == 1)).mean() > 0.9
+    out = quality.score(docs, model).join(labels, "doc_id").where(fold(F.col("doc_id")) == 2).where(F.length("text") > 0).toPandas()
+    good, bad = (out[out.quality == k].quality_score.to_numpy() for k in (1, 0))
+    assert area(good, bad) > 0.98 and ((out.quality_score >= 0.7) == (out.quality == 1)).mean() > 0.95
+    difference = model.differences(out.text.tolist())
+    assert area(difference[out.quality == 1], difference[out.quality == 0]) > 0.98  # the difference alone carries the score
     edges = quality.score(edge_docs, model).collect()
     assert len(edges) == edge_docs.count() and all(0 <= r["quality_score"] <= 1 for r in edges)
     assert {r["quality_score"] for r in edges if not r["text"]} == {model.prior}
@@ -367,6 +374,38 @@ def test_quality(spark, corpus, edge_docs, no_docs):
     assert {r["quality_score"] for r in quality.score(edge_docs, one).collect()} == {1.0}
 
 
+def test_quality_difference_by_hand(spark):
+    """Chunk by chunk, with compressors made anew, against the model and the scored column."""
+    import zstandard
+
+    model = quality.CompressionModel(b"all the good words that are here " * 9, b"x | y | z | " * 20, np.array([30.0, -1.0]), 0.5)
+    texts = ["a", "the good words that are here", "x | y | z | x", "Ünïcödé " * 400, "longer " * 30_000]
+
+    def size(data, words):
+        return len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words)).compress(data))
+
+    want = []
+    for t in map(str.encode, texts):
+        good, bad = (sum(size(t[i : i + 256], words) for i in range(0, len(t), 256)) for words in (model.good, model.bad))
+        want.append((bad - good) / len(t))
+    assert np.allclose(model.differences(texts), want)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [r["quality_score"] for r in quality.score(df, model).orderBy("doc_id").collect()]
+    assert np.allclose(got, 1 / (1 + np.exp(1 - 30 * np.array(want))))
+    d, y = np.array([-0.2, -0.1, 0.0, 0.1, 0.2, 0.3]), np.array([0.0, 0, 1, 0, 1, 1])
+    w, n = quality.fit_curve(d, y, np.ones(6)), 1e-5
+    loss = lambda a, b: -np.log(np.where(y == 1, 1 / (1 + np.exp(-a * d - b)), 1 / (1 + np.exp(a * d + b)))).sum()
+    assert w[0] > 0 and abs(loss(w[0] + n, w[1]) - loss(w[0] - n, w[1])) < 1e-5
+
+
+def test_pieces_spread_over_a_text(spark):
+    text = "".join(chr(97 + i // 512 % 26) for i in range(512 * 40 + 100))
+    df = spark.createDataFrame([(text,), ("ab",), ("c" * 513,)], "t string").select(quality.pieces_of(F.col("t")).alias("p"))
+    long, short, two = (r["p"] for r in df.collect())
+    assert short == ["ab"] and two == ["c" * 512, "c"]
+    assert long == [text[512 * (k * 41 // 8) :][:512] for k in range(8)]
+
+
 # 9: mixing
 
 
