@@ -34,6 +34,11 @@ def word_library():
     return library(WORDS_49K)
 
 
+def area(good, bad):
+    """Share of pairs that a score puts in the right order."""
+    return ((good[:, None] > bad[None, :]) + 0.5 * (good[:, None] == bad[None, :])).mean()
+
+
 # 1: token counts
 
 
@@ -332,10 +337,68 @@ def test_url_sample_holds_a_url_once(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "cut_lineage", lambda x: seen.append(cut(x)) or seen[-1])
     blocked = F.when(F.col("url").contains("//b") | F.col("url").contains("hot"), 1).otherwise(0)
     assert url_filter.judge(df, rules=(), labels=blocked).count() == 1100
-    weights = sorted(r["__weight"] for r in seen[0].collect())
+    weights = sorted(r["__weight"] for r in seen[-1].collect())
     assert len(weights) == 201 and weights[-1] == 900 and sum(weights) == 1100
 
 
+def test_url_suffixes_of_other_folds(spark, monkeypatch):
+    """Suffix statistics against a count by hand: a labelled URL must not see its own label."""
+    urls = [f"http://h{i}.{['org', 'net', 'com'][i % 3]}/{i}" for i in range(90)] + ["http://h0.org/0"] * 30 + [f"http://u{i}.org/" for i in range(10)]
+    y = [None if u.startswith("http://u") else float(i % 3 == 1 or i % 7 == 0) for i, u in enumerate(urls)]
+    y = [1.0 if u == "http://h0.org/0" else v for u, v in zip(urls, y, strict=True)]
+    df = spark.createDataFrame(list(zip(range(len(urls)), urls, y, strict=True)), "page_id bigint, url string, y double")
+    folds = {r["url"]: r["f"] for r in df.select("url", F.floor(url_filter.unit_hash(F.col("url"), seed=71) * url_filter.FOLDS).alias("f")).collect()}
+    seen = []
+    cut = url_filter.cut_lineage
+    monkeypatch.setattr(url_filter, "cut_lineage", lambda x: seen.append(cut(x)) or seen[-1])
+    url_filter.judge(df, rules=(), labels=F.col("y"))
+    got = Counter((*[round(x, 9) for x in r["__features"][-4:-2]], r["__y"]) for r in seen[-1].collect())
+    known = [(u, v) for u, v in zip(urls, y, strict=True) if v is not None]
+    base, want = sum(v for _, v in known) / len(known), Counter()
+    for u, v in set(known):
+        end = u.split("/")[2].split(".")[-1]
+        other = [w for x, w in known if x.split("/")[2].endswith(end) and folds[x] != folds[u]]
+        share = sum(x.split("/")[2].endswith(end) for x in urls) / len(urls)
+        want[round(share, 9), round((sum(other) + 10 * base) / (len(other) + 10), 9), v] += 1
+    assert got == want
+
+
+def test_url_features_by_hand(spark):
+    urls = [None, "", "https://a-b.c1.org/x/y//z?p=1&q=2#f-1", "x://h", "http://h/?", "ftp://1.2.3.4/a?b#c?d"]
+    df = spark.createDataFrame(list(enumerate(urls)), "i int, url string")
+    u = F.col("url")
+    rows = df.select("i", *[c.alias(k) for k, c in url_filter.lexical(u, *url_filter.host_and_path(u)).items()]).collect()
+    for r in rows:
+        url = urls[r["i"]] or ""
+        host, path, *_ = brute_rule(url, ())
+        query = url.partition("?")[2].split("#")[0] if "?" in url.split("#")[0] else ""
+        want = {"length": len(url), "host_length": len(host), "path_length": len(path), "depth": sum(bool(x) for x in path.split("/")[1:]), "labels": host.count(".") + 1, "digits": sum(c.isdigit() for c in url) / max(len(url), 1),
+                "parameters": query.count("&") + 1 if query else 0, "query_length": len(query), "fragment": float("#" in url), "secure": float(url.startswith("https")), "hyphens": host.count("-"), "host_digits": sum(c.isdigit() for c in host)}
+        assert {k: r[k] for k in want} == pytest.approx(want), url
+
+
+def test_many_url_rules(spark, monkeypatch):
+    rules = (*url_filter.RULES, ("block", "b.org/x"), ("allow", "org/xyz"), ("block", "org/"), ("allow", "a.b.org/xy"))
+    urls = [None, "http://b.org/xyz", "http://a.b.org/xyz/1", "http://xb.org/x", "http://www.example.com/en/", "http://q.net/es/a?b", "http://none.de/"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+
+    def found():
+        return df.select(*url_filter.matching_rule(*url_filter.host_and_path(F.col("url")), rules)).collect()
+
+    one = [tuple(r) for r in found()]
+    monkeypatch.setattr(url_filter, "MAX_RULES", 3)
+    assert [tuple(r) for r in found()] == one and [r[0] for r in one] == [brute_rule(u, rules)[2] for u in urls]
+
+
+def test_urls_held_out(spark):
+    """Area under the curve on labelled URLs whose labels the trees don't see, over a whole table."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    verdict = url_filter.matching_rule(*url_filter.host_and_path(F.col("url")))[1]
+    pages = pages.withColumns({"y": F.when(verdict == "block", 1.0).when(verdict == "allow", 0.0), "held": url_filter.unit_hash(F.col("url"), seed=5) < 0.25})
+    out = url_filter.judge(pages, rules=(), labels=F.when(~F.col("held"), F.col("y"))).where("held and y is not null").select("y", "block_score").toPandas()
+    assert area(out.block_score[out.y == 1].to_numpy(), out.block_score[out.y == 0].to_numpy()) > 0.9
+
+
 def test_url_entropy_of_the_whole_path(spark):
     import math
     from collections import Counter
@@ -352,11 +415,6 @@ def test_url_entropy_of_the_whole_path(spark):
 # 8: quality
 
 
-def area(good, bad):
-    """Share of pairs that a score puts in the right order."""
-    return ((good[:, None] > bad[None, :]) + 0.5 * (good[:, None] == bad[None, :])).mean()
-
-
 def test_quality(spark, edge_docs, no_docs):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
