@@ -22,7 +22,10 @@ ORDERS = (1, 2, 3)
 #: Hash multipliers of the characters of an n-gram.
 MIX = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 BLOCK_CHARS = 1 << 19
-MAX_LANGUAGES = 500
+#: Values of the matrix that are gathered at once: 16 MB whatever the number of languages.
+BLOCK_VALUES = 1 << 22
+#: Bound of the matrix that is broadcast: languages x buckets x 4 bytes, 128 MB at this many.
+MAX_LANGUAGES = 2000
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -37,23 +40,30 @@ def letter_table() -> np.ndarray:
 _letters: list[np.ndarray] = []
 
 
-def ngram_buckets(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: the bucket at each character (``buckets`` where blanks lead), and the texts' first positions."""
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters and blanks of the texts in lower case, a blank around each, and the place after each text's last.
+
+    So no n-gram that counts reaches into the next text.
+    """
     if not _letters:
         _letters.append(letter_table())
     low = [t.lower() for t in texts]
-    cps = _letters[0][np.frombuffer(("  ".join(low) + "   ").encode("utf-32-le"), np.uint32)]
-    starts = np.concatenate([[0], np.cumsum([len(t) + 2 for t in low])[:-1]]).astype(np.int64)
-    n = len(cps) - 3
-    blank = cps == 32
+    return _letters[0][np.frombuffer("".join(f" {t} " for t in low).encode("utf-32-le"), np.uint32)], np.cumsum([len(t) + 2 for t in low])
+
+
+def ngram_buckets(cps: np.ndarray, start: int, end: int, buckets: int) -> Iterator[np.ndarray]:
+    """For each order: the bucket of the n-gram at each place from start to end (``buckets`` where blanks lead)."""
+    own = cps[start : end + 2]
+    own = np.concatenate([own, np.full(end - start + 3 - len(own), 32, np.uint32)])
+    n, blank = end - start, own == 32
     for order in ORDERS:
         key = np.full(n, order * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
         for k in range(order):
-            key = (key ^ cps[k : n + k] * MIX[k]) * np.uint32(0x85EBCA6B)
+            key = (key ^ own[k : n + k] * MIX[k]) * np.uint32(0x85EBCA6B)
             key ^= key >> np.uint32(15)
         key &= np.uint32(buckets - 1)
         key[blank[:n] & (blank[1 : n + 1] if order > 1 else True)] = buckets
-        yield key, starts
+        yield key
 
 
 def blocks(texts: list[str]) -> Iterator[slice]:
@@ -81,11 +91,17 @@ class LanguageModel:
         best, share = [UNKNOWN] * len(texts), np.zeros(len(texts))
         known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
         chosen = [texts[i] for i in known]
+        step = max(1, BLOCK_VALUES // max(1, len(self.languages)))
         for part in blocks(chosen):
-            group = chosen[part]
-            total = np.tile(self.log_prior, (len(group), 1))
-            for key, starts in ngram_buckets(group, len(self.log_probs) - 1):
-                total += np.add.reduceat(self.log_probs[key], starts, axis=0)
+            cps, ends = code_points(chosen[part])
+            total = np.tile(self.log_prior, (len(ends), 1))
+            # A stretch of characters at a time, across texts and inside long ones: its rows of the matrix, summed by text.
+            for at in range(0, len(cps), step):
+                upto = min(at + step, len(cps))
+                first, last = np.searchsorted(ends, [at, upto - 1], side="right")
+                starts = np.concatenate([[0], ends[first:last] - at])
+                for key in ngram_buckets(cps, at, upto, len(self.log_probs) - 1):
+                    total[first : last + 1] += np.add.reduceat(self.log_probs[key], starts, axis=0)
             top = total.argmax(axis=1)
             odds = np.exp(total - total.max(axis=1, keepdims=True))
             for i, k, p in zip(known[part], top, 1 / odds.sum(axis=1), strict=True):
@@ -96,7 +112,7 @@ class LanguageModel:
 def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1500, buckets: int = 1 << 14, parts: int = 8, alpha: float = 0.5) -> LanguageModel:
     """Fit on about per_language rows of each language, picked by a hash of the id from rows where usable holds.
 
-    Rows without text or language teach nothing. Without any, the model has no language and answers ``und``.
+    More than MAX_LANGUAGES languages raise ValueError (there are fewer in writing). Rows without text or language teach nothing. Without any, the model has no language and answers ``und``.
     """
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     found = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
@@ -117,14 +133,17 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang and t]
                 sums = table.setdefault(lang, np.zeros(buckets + 1, np.int64))
                 for part in blocks(own):
-                    for key, _ in ngram_buckets(own[part], buckets):
-                        sums += np.bincount(key, minlength=buckets + 1)
-        if table:
-            yield pa.RecordBatch.from_arrays([pa.array(list(table)), pa.array([v.tobytes() for v in table.values()], pa.binary())], names=["lang", "counts"])
+                    cps, _ = code_points(own[part])
+                    for at in range(0, len(cps), BLOCK_CHARS):
+                        for key in ngram_buckets(cps, at, min(at + BLOCK_CHARS, len(cps)), buckets):
+                            sums += np.bincount(key, minlength=buckets + 1)
+        for lang, sums in table.items():
+            found = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([found.astype("<i4").tobytes()], pa.binary()), pa.array([sums[found].astype("<i8").tobytes()], pa.binary())], names=["lang", "bucket", "n"])
 
     counts = np.zeros((buckets + 1, len(languages)))
-    for r in sample.repartition(parts).mapInArrow(count, "lang string, counts binary").collect():  # parts x languages rows
-        counts[:, index[r["lang"]]] += np.frombuffer(r["counts"], np.int64)
+    for r in sample.repartition(parts).mapInArrow(count, "lang string, bucket binary, n binary").toLocalIterator():  # parts x languages rows
+        counts[np.frombuffer(r["bucket"], "<i4"), index[r["lang"]]] += np.frombuffer(r["n"], "<i8")
     counts[-1] = 0
     log_probs = np.log(counts + alpha) - np.log((counts[:-1] + alpha).sum(axis=0))
     log_probs[-1] = 0
@@ -135,7 +154,7 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row: id, lang_pred, score (posterior, 0 to 1). Null texts and texts without a letter: ``und``, 0.
 
-    Repeated rows and null ids stay; other columns of docs are not read.
+    Repeated rows and null ids stay; other columns of docs are not read. Texts of any length are scored in stretches.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -103,6 +103,46 @@ def test_language(corpus, edge_docs, no_docs):
     assert language_id.identify(no_docs, model).count() == 0
 
 
+def brute_grams(text, buckets):
+    """Bucket counts of runs of one to three letters and blanks, one run at a time with whole numbers."""
+    low = [32, *[ord(c) if c.isalpha() else 32 for c in text.lower()], 32]
+    out, mask = Counter(), (1 << 32) - 1
+    for order in (1, 2, 3):
+        for i in range(len(low)):
+            run = [*low[i : i + order], *[32] * (i + order - len(low))]
+            if run[0] == 32 and (order == 1 or run[1] == 32):
+                continue
+            key = order * 0x9E3779B1 & mask
+            for c, m in zip(run, (2654435761, 2246822519, 3266489917), strict=False):
+                key = (key ^ c * m & mask) * 0x85EBCA6B & mask
+                key ^= key >> 15
+            out[key % buckets] += 1
+    return out
+
+
+def test_language_by_hand(spark, monkeypatch):
+    texts = [("en", "The cat sat. On the mat!"), ("en", "A dog, the dog"), ("de", "Der Hund und die Katze ß"), ("fr", "Le été à l'école"), ("fr", "où est-ce"), ("de", "")]
+    df = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(texts)], "doc_id int, lang string, text string")
+    model = language_id.train(df, F.lit(True), buckets=64)
+    langs, counts = sorted({x for x, _ in texts}), {}
+    for x in langs:
+        counts[x] = sum((brute_grams(t, 64) for y, t in texts if y == x), Counter())
+    unseen = ["the dog", "Katze und Hund", "école été", "x" * 50, "the Katze", "a  b \n c"]
+    want = []
+    for t in unseen:
+        score = {}
+        for x in langs:
+            total = sum(counts[x].values()) + 0.5 * 64
+            score[x] = np.log(sum(y == x for y, _ in texts) / len(texts)) + sum(n * np.log((counts[x][k] + 0.5) / total) for k, n in brute_grams(t, 64).items())
+        best = max(score, key=score.get)
+        want.append((best, 1 / sum(np.exp(v - score[best]) for v in score.values())))
+    assert model.languages == langs
+    for values in (1 << 22, 9):  # in one stretch and in many
+        monkeypatch.setattr(language_id, "BLOCK_VALUES", values)
+        got, share = model.score(unseen)
+        assert got == [x for x, _ in want] and np.allclose(share, [p for _, p in want], rtol=1e-4)
+
+
 # 3: exact copies
 
 
