@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut_lineage
+from .common import WORD_PATTERN, cut_lineage, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
@@ -28,7 +28,8 @@ def water_fill(sizes: DataFrame, weights: tuple = WEIGHTS, max_passes: float = M
 
     Sources take the weights in turn, by code point and null last. total: what to share out (all sizes by default).
     A source is clamped exactly if its cap over its weight is below the water level; in that order the level after
-    each source is a running sum, so one pass over the small table of sources replaces the rounds of clamping.
+    each source is a running sum, so one pass over the table of sources replaces the rounds of clamping. That pass is one
+    task with a row of a few numbers a source: meant for up to some millions of sources, not for one a document.
     """
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), "source")
     place = (F.row_number().over(order) - 1) % len(weights)
@@ -77,6 +78,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_passes: float = MAX_PASSE
 def take(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it does, with all columns of docs. Same cases as mix."""
     id_col = options.get("id_col", "doc_id")
-    times = mix(docs, **options).groupBy(F.col(id_col).alias("__id")).agg(F.max("passes").alias("__n")).where("__n > 0")
-    rows = docs.join(times, docs[id_col].eqNullSafe(times["__id"]))
-    return rows.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    key, n, k = unused(docs, "key", "n", "k")
+    times = mix(docs, **options).groupBy(F.col(id_col).alias(key)).agg(F.max("passes").alias(n)).where(F.col(n) > 0)
+    rows = docs.join(times, docs[id_col].eqNullSafe(times[key]))
+    return rows.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, unused
 
 RULES = ("dot", "norm")
 #: What residual tokens, documents and attention cost weigh in the choice.
@@ -154,6 +154,8 @@ def pack(pieces: DataFrame, tokens: int = 2048, documents: int | None = None, at
 
     No bin holds more than ``tokens`` tokens, ``documents`` pieces and ``attention`` summed squared lengths. pieces must
     stay the same when read again (cut_lineage). Equal lengths are interchangeable, so repeated rows each get a place.
+    Columns of pieces named sequence_id and offset are not allowed. By default documents and attention bind no bin (a
+    piece has one token or more, a sum of squares is at most the square of the sum); their weights count in the choice.
     """
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `tokens` rows
     rows, base, used = [], 0, {}
@@ -166,19 +168,21 @@ def pack(pieces: DataFrame, tokens: int = 2048, documents: int | None = None, at
             offset += length * each
         base += times
     spark = pieces.sparkSession
-    plan = spark.createDataFrame(rows, "p_length bigint, first bigint, after bigint, each bigint, base bigint, p_offset bigint")
+    own, start, after, every, bin_at, bin_offset = unused(pieces, "p_length", "first", "after", "each", "base", "p_offset")
+    plan = spark.createDataFrame(rows, f"`{own}` bigint, `{start}` bigint, `{after}` bigint, `{every}` bigint, `{bin_at}` bigint, `{bin_offset}` bigint")
     if len(rows) <= MAX_BROADCAST_ROWS:
         plan = F.broadcast(plan)
+    bucket, ahead, rank = unused(pieces, "bucket", "ahead", "rank")
     buckets = max(8, sum(counts.values()) // ROWS_PER_BUCKET)
-    placed = pieces.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)))
-    ahead = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("length", "bucket").orderBy(id_col, "piece", "ids_crc32")
-    ranked = placed.join(sizes, ["length", "bucket"]).withColumn("rank", F.col("ahead") + F.row_number().over(within) - 1)
-    out = ranked.join(plan, (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("after")))
-    at = F.col("rank") - F.col("first")
-    return out.select(*pieces.columns, (F.col("base") + F.floor(at / F.col("each"))).alias("sequence_id"), (F.col("p_offset") + (at % F.col("each")) * F.col("length")).alias("offset"))
+    placed = pieces.withColumn(bucket, F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)))
+    earlier = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("length", bucket).agg(F.count(F.lit(1)).alias(ahead))
+    sizes = sizes.select("length", bucket, F.coalesce(F.sum(ahead).over(earlier), F.lit(0)).alias(ahead))
+    within = Window.partitionBy("length", bucket).orderBy(id_col, "piece", "ids_crc32")
+    ranked = placed.join(sizes, ["length", bucket]).withColumn(rank, F.col(ahead) + F.row_number().over(within) - 1)
+    out = ranked.join(plan, (F.col("length") == F.col(own)) & (F.col(rank) >= F.col(start)) & (F.col(rank) < F.col(after)))
+    at = F.col(rank) - F.col(start)
+    return out.select(*pieces.columns, (F.col(bin_at) + F.floor(at / F.col(every))).alias("sequence_id"), (F.col(bin_offset) + (at % F.col(every)) * F.col("length")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, tokens: int = 2048, **options) -> DataFrame:

@@ -606,3 +606,27 @@ def test_fingerprint_edges(spark, edge_docs, no_docs):
     a, b = fingerprint.digest(b"abc" * 50), fingerprint.digest(b"xyz" * 50)
     assert fingerprint.likeness([a, a], [a, b])[0] == 1 and fingerprint.likeness([a], [b])[0] == fingerprint.likeness([b], [a])[0] < 1
     assert {r["fingerprint"] for r in fingerprint.fingerprints(edge_docs).where("doc_id = 10").collect()} == {fingerprint.digest(b"a row that repeats as it is, twice over")}
+
+
+# All
+
+
+def test_very_long_text(spark, corpus):
+    """A text of 3 million characters beside short ones goes through every operator whole."""
+    long = "word " * 300_000 + "\n" * 200_000 + "tail " * 260_000
+    df = spark.createDataFrame([(1, long, "en", "a"), (2, "word tail", "en", "b"), (3, long.upper(), "en", "c")], "doc_id bigint, text string, lang string, source string").repartition(2)
+    by = lambda out: {r["doc_id"]: r for r in out.collect()}
+    assert by(token_count.count_tokens(df, WORDS_49K))[1]["n_tokens"] == 560_000
+    model = language_id.train(corpus, F.lit(True))
+    assert by(language_id.identify(df, model))[1]["lang_pred"] in model.languages
+    copies = by(exact_dedup.find_duplicates(df))
+    assert copies[1]["keep_id"] == 3 and copies[1]["group_size"] == 2
+    assert by(line_dedup.remove_spread_lines(df))[1]["n_lines"] == long.count("\n") + 1
+    assert by(mixing.mix(df))[1]["size"] == 560_000
+    assert by(near_dedup.near_components(df))[3]["component_id"] == 1
+    marks = fingerprint.edited(fingerprint.with_next(df)).collect()
+    assert {r["doc_id"]: r["n_chars"] for r in marks}[1] == len(long)
+    fitted = quality.CompressionModel(b"word tail " * 90, b"x | y " * 90, np.array([30.0, 0.0]), 0.5)
+    assert by(quality.score(df, fitted))[1]["quality_score"] > 0.5
+    pieces = packing.tokenized_pieces(df.where("doc_id = 1"), BYTES_50K).collect()
+    assert sum(r["length"] for r in pieces) == len(library(BYTES_50K).encode(long, add_special_tokens=False).ids) + 1

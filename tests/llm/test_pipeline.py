@@ -33,3 +33,15 @@ def test_stages(spark, corpus, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_stages_on_edges(spark, edge_docs, no_docs):
+    """Nulls, empty and repeated rows and clashing columns through every stage; empty tables stay empty."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, edge_docs, DATA)
+        assert out.columns == corpus_pipeline.COLUMNS or name == "packing"
+        ids = [r["doc_id"] for r in out.collect()]
+        assert set(ids) <= {r["doc_id"] for r in edge_docs.collect()} and ids
+        assert stage(spark, no_docs, DATA).count() == 0
+        if name == "exact_dedup":
+            assert ids.count(10) == 1 and None in ids and sorted({3, 4} & set(ids)) == [4]
