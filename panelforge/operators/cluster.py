@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .profile import numeric_columns
+from .ranks import key_quantiles
 
 
 def feature_columns(df: DataFrame, without: tuple, profile: bool = False, volume: str = "notificacoes") -> list[str]:
@@ -73,12 +74,28 @@ def fit(sample: DataFrame, columns: list[str], k_min: int = 2, k_max: int = 6, s
 
 def ordered_labels(df: DataFrame, by: str, names: list[str], how: str = "median") -> DataFrame:
     """df with cluster_label: clusters ranked by the median (or mean) of a column; the last name serves all further ones."""
-    measure = F.median(by) if how == "median" else F.avg(by)
-    ranks = df.groupBy("cluster_id").agg(measure.alias("__m")).withColumn("__r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__m", "cluster_id")))
+    if how == "median":
+        ranks = key_quantiles(df, "cluster_id", by, [0.5]).select("cluster_id", F.col("q")[0].alias("__m"))
+    else:
+        ranks = df.groupBy("cluster_id").agg(F.avg(by).alias("__m"))
+    ranks = ranks.withColumn("__r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__m", "cluster_id")))
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.least(F.col("__r"), F.lit(len(names))))
     return df.join(F.broadcast(ranks.select("cluster_id", label.alias("cluster_label"))), "cluster_id")
 
 
+def labelings_attached(df: DataFrame, on: list[str], labelings: dict[str, DataFrame], label: str = "cluster_label") -> DataFrame:
+    """df with the label of each labeling (of columns ``on`` and label) under the labeling's name; null where it has none."""
+    out = df
+    for name, rows in labelings.items():
+        out = out.join(rows.select(*on, F.col(label).alias(name)), on, "left")
+    return out
+
+
+def sample_assigned(sample: DataFrame, assignments: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a sample with the columns of their assignments."""
+    return sample.join(assignments, keys)
+
+
 def cross_summary(df: DataFrame, first: str, second: str, value: str) -> DataFrame:
     """Rows and mean of a value for each pair of two labelings."""
     return df.groupBy(first, second).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(value).alias("mean"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Ranges that scores are cut into for rank sums; at most this many numbers reach the driver.
-AUC_RANGES = 200
+from .ranks import running_counts
 
 
 def regression_metrics(df: DataFrame, truth: str, guess: str, by: list[str] = ()) -> DataFrame:
@@ -39,20 +38,16 @@ def class_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
 def macro_auc(df: DataFrame, truth: str, scores: dict) -> DataFrame:
     """One-vs-rest AUC of each class from its score, with tied ranks averaged, and their mean in the row of null class.
 
-    Rank sums come from counts by distinct score. Scores are cut at their quantiles into at most AUC_RANGES ranges with a
-    running sum over the ranges and one inside each, so no task holds all scores.
+    Rank sums come from one grouping by class and distinct score and from running counts by ranges of scores, for all
+    classes at once.
     """
-    out = None
-    for label, column in scores.items():
-        cuts = sorted(set(df.approxQuantile(column, [i / AUC_RANGES for i in range(1, AUC_RANGES)], 0.2 / AUC_RANGES)))
-        by = df.groupBy(F.col(column).alias("s")).agg(F.count_if(F.col(truth) == label).alias("pos"), F.count(F.lit(1)).alias("n"))
-        by = by.withColumn("r", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("s"))))
-        ranges = by.groupBy("r").agg(F.sum("n").alias("rn")).withColumn("ahead", F.coalesce(F.sum("rn").over(Window.partitionBy(F.lit(0)).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("rn")
-        within = Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = by.join(F.broadcast(ranges), "r").withColumn("rank", F.col("ahead") + F.coalesce(F.sum("n").over(within), F.lit(0)) + (F.col("n") + 1) / 2.0)
-        p, n = F.sum("pos"), F.sum("n") - F.sum("pos")
-        one = ranked.agg(F.try_divide(F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2.0, (p * n).cast("double")).alias("auc")).select(F.lit(label).alias("class"), "auc")
-        out = one if out is None else out.unionByName(one)
+    labels = list(scores)
+    rows = df.select(truth, *[F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(scores.values())]).unpivot([truth], [f"s{i}" for i in range(len(labels))], "of", "s")
+    label = F.create_map(*[F.lit(x) for i, k in enumerate(labels) for x in (f"s{i}", k)])[F.col("of")]
+    by = rows.where("s is not null").groupBy(label.alias("class"), "s").agg(F.count_if(F.col(truth) == label).alias("pos"), F.count(F.lit(1)).alias("n"))
+    ranked = running_counts(by, "class", "s").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
+    p, n = F.sum("pos"), F.sum("n") - F.sum("pos")
+    out = ranked.groupBy("class").agg(F.try_divide(F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2.0, (p * n).cast("double")).alias("auc"))
     return out.unionByName(out.agg(F.avg("auc").alias("auc")).select(F.lit(None).cast(out.schema["class"].dataType).alias("class"), "auc"))
 
 

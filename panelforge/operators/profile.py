@@ -6,23 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranks import key_quantiles
+
 #: Groups of columns by prefix of their names.
 FEATURE_GROUPS = (("prop_raca_", "proporcao_demografica"), ("prop_sexo_", "proporcao_demografica"), ("prop_gestante", "proporcao_demografica"), ("prop_", "proporcao_clinica"), ("qt_", "volume"), ("notificacoes_", "temporal"), ("week_of_year_", "temporal"), ("is_zero_", "temporal"), ("indice_", "indice_composto"), ("label_", "label_auxiliar"))
+#: What a group holds, for the catalog.
+GROUP_NOTES = {
+    "identificacao": "keys and names of the row's entity and period",
+    "volume": "counts of records",
+    "temporal": "lags, rolling statistics, changes and seasons of the count",
+    "proporcao_demografica": "shares of records by demographic attribute",
+    "proporcao_clinica": "shares of records with a clinical sign",
+    "indice_composto": "means of several shares",
+    "label_auxiliar": "labels derived from the count",
+}
 
 
 def numeric_columns(df: DataFrame, without: tuple = ()) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in without]
 
 
-def quantiles(c: str, shares: list[float], approximate: bool = False) -> Column:
-    """Linear quantiles, or values of the column near them.
-
-    Exact ones keep a count of every distinct value of a group in memory: right for panels and codes, while a column with
-    a value of its own in each of very many rows wants the approximate ones (rank error of one in 10,000).
-    """
-    return F.percentile_approx(c, shares, 10_000) if approximate else F.percentile(c, shares)
-
-
 def melted(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
     """One row a column and row: keys, feature, value (double)."""
     cast = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
@@ -43,11 +46,18 @@ def peaks(df: DataFrame, period: list[str], value: str, n: int) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    """Per column: count, mean, std (n - 1), min, quartiles (linear), max, and the share of missing values."""
+    """Per column: count, mean, std (n - 1), min, quartiles (linear), max, and the share of missing values.
+
+    Quartiles are exact by ranges of values, or with approximate=True values of the column near them, in one pass.
+    """
+    shares = [0.25, 0.5, 0.75]
+    near = [F.percentile_approx("value", shares, 10_000).alias("q")] if approximate else []
     stats = melted(df, columns).groupBy("feature").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        quantiles("value", [0.25, 0.5, 0.75], approximate).alias("q"), F.max("value").alias("max"), (F.lit(100.0) * F.count_if(F.col("value").isNull()) / F.count(F.lit(1))).alias("missing_pct"),
+        *near, F.max("value").alias("max"), (F.lit(100.0) * F.count_if(F.col("value").isNull()) / F.count(F.lit(1))).alias("missing_pct"),
     )
+    if not approximate:
+        stats = stats.join(F.broadcast(key_quantiles(melted(df, columns), "feature", "value", shares)), "feature", "left")
     return stats.select("feature", "n", "mean", "std", "min", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "max", "missing_pct")
 
 
@@ -56,17 +66,31 @@ def correlations(df: DataFrame, target: str, columns: list[str], by_size: int |
 
     by_size: keep the so many largest by absolute value.
     """
-    pairs = melted(df, columns, [target]).where(F.col("value").isNotNull() & F.col(target).isNotNull())
-    sd = F.stddev_pop("value"), F.stddev_pop(target)
-    cov = F.avg(F.col("value") * F.col(target)) - F.avg("value") * F.avg(target)
-    out = pairs.groupBy("feature").agg(F.when((sd[0] > 0) & (sd[1] > 0), cov / (sd[0] * sd[1])).alias("pearson")).where("pearson is not null")
+
+    def pearson(c: str) -> Column:
+        both = F.col(c).isNotNull() & F.col(target).isNotNull()
+        a, b = (F.stddev_pop(F.when(both, F.col(x))) for x in (c, target))
+        return F.when((a > 0) & (b > 0), F.covar_pop(c, target) / (a * b))
+
+    as_double = {c: F.col(c).cast("double") for c in dict.fromkeys([target, *columns])}
+    one = df.select(*[v.alias(c) for c, v in as_double.items()]).agg(*[pearson(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    names = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (f"c{i}", c)])
+    out = one.unpivot([], one.columns, "place", "pearson").where("pearson is not null").select(names[F.col("place")].alias("feature"), "pearson")
     return out if by_size is None else out.orderBy(F.desc(F.abs("pearson")), "feature").limit(by_size)
 
 
 def missingness(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Per column: type, missing count and percentage, distinct known values. approximate: distinct counts by sketch."""
+    """Per column: type, missing count and percentage, distinct known values.
+
+    Exact distinct counts shuffle each column's distinct values; approximate ones are sketches of one pass over df.
+    """
+    if approximate:
+        parts = [(F.count_if(F.col(c).isNull()).alias(f"m{i}"), F.approx_count_distinct(c).alias(f"u{i}")) for i, c in enumerate(df.columns)]
+        one = df.agg(F.count(F.lit(1)).alias("n"), *[x for pair in parts for x in pair])
+        each = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing_count"), F.round(F.lit(100.0) * F.col(f"m{i}") / F.col("n"), 4).alias("missing_pct"), F.col(f"u{i}").alias("unique_values"), F.lit(t).alias("dtype")) for i, (c, t) in enumerate(df.dtypes)]
+        return one.select(F.inline(F.array(*each)))
     rows = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).unpivot([], df.columns, "column", "value")
-    distinct = F.approx_count_distinct("value") if approximate else F.countDistinct("value")
+    distinct = F.countDistinct("value")
     out = rows.groupBy("column").agg(F.count_if(F.col("value").isNull()).alias("missing_count"), F.round(F.lit(100.0) * F.count_if(F.col("value").isNull()) / F.count(F.lit(1)), 4).alias("missing_pct"), distinct.alias("unique_values"))
     types = F.create_map(*[F.lit(x) for c, t in df.dtypes for x in (c, t)])
     return out.withColumn("dtype", types[F.col("column")])
@@ -155,18 +179,19 @@ def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
-def feature_group(name: str, identifiers: tuple = ()) -> str:
+def feature_group(name: str, identifiers: tuple = (), groups: tuple = FEATURE_GROUPS) -> str:
     if name in identifiers:
         return "identificacao"
     if name == "notificacoes":
         return "volume"
-    return next((group for prefix, group in FEATURE_GROUPS if name.startswith(prefix)), "identificacao")
+    return next((group for prefix, group in groups if name.startswith(prefix)), "identificacao")
 
 
-def feature_catalog(df: DataFrame, identifiers: tuple = ()) -> DataFrame:
-    """Per column: group by name, type, and percentage of missing values, ordered by group and name."""
-    rows = [(c, feature_group(c, identifiers), t) for c, t in df.dtypes]
-    doc = df.sparkSession.createDataFrame(rows, "feature string, `group` string, dtype string")
+def feature_catalog(df: DataFrame, identifiers: tuple = (), groups: tuple = FEATURE_GROUPS, notes: dict[str, str] = GROUP_NOTES) -> DataFrame:
+    """Per column: group by name (groups: prefix and group), type, the group's description, and percentage of missing values, ordered by group and name."""
+    found = [(c, feature_group(c, identifiers, groups), t) for c, t in df.dtypes]
+    rows = [(c, g, t, notes.get(g, "")) for c, g, t in found]
+    doc = df.sparkSession.createDataFrame(rows, "feature string, `group` string, dtype string, description string")
     share = [(F.lit(100.0) * F.count_if(F.col(c).isNull()) / F.count(F.lit(1))).alias(c) for c in df.columns]
     return doc.join(df.agg(*share).unpivot([], df.columns, "feature", "missing_pct"), "feature").orderBy("group", "feature")
 
@@ -190,7 +215,7 @@ def covered_columns(df: DataFrame, columns: list[str], least: int = 10, share: f
     return [c for i, c in enumerate(columns) if stats[f"k{i}"] >= max(least, int(stats["n"] * share))]
 
 
-def fill_median(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
+def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing values become the column's median, or 0 where all are missing."""
-    medians = df.agg(*[quantiles(c, [0.5], approximate)[0].alias(c) for c in columns]).first()
-    return df.fillna({c: float(medians[c] or 0.0) for c in columns})
+    medians = {r["feature"]: r["q"][0] for r in key_quantiles(melted(df, columns), "feature", "value", [0.5]).collect()}  # a row a column
+    return df.fillna({c: float(medians.get(c) or 0.0) for c in columns})

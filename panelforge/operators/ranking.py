@@ -7,7 +7,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .profile import melted, quantiles
+from .profile import melted
+from .ranks import key_quantiles
 
 
 def anova_f(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
@@ -20,11 +21,11 @@ def anova_f(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
     return g.groupBy("feature").agg(F.try_divide(between / (k - 1), within / (n - k)).alias("anova_f"))
 
 
-def mutual_information(df: DataFrame, label: str, columns: list[str], bins: int = 10, approximate: bool = False) -> DataFrame:
+def mutual_information(df: DataFrame, label: str, columns: list[str], bins: int = 10) -> DataFrame:
     """Mutual information in nats of the class and each column cut at its quantiles into equal-frequency bins."""
-    cuts = df.agg(*[quantiles(c, [i / bins for i in range(1, bins)], approximate).alias(c) for c in columns]).first()
-    coded = [F.when(F.col(c).isNotNull(), sum((F.when(F.col(c) > F.lit(float(q)), 1).otherwise(0) for q in cuts[c]), F.lit(0))).alias(c) for c in columns if cuts[c] is not None]
-    rows = df.select(label, *coded).unpivot([label], [c for c in columns if cuts[c] is not None], "feature", "bin").where("bin is not null")
+    cuts = {r["feature"]: r["q"] for r in key_quantiles(melted(df, columns), "feature", "value", [i / bins for i in range(1, bins)]).collect()}  # a row a column
+    coded = [F.when(F.col(c).isNotNull(), sum((F.when(F.col(c) > F.lit(float(q)), 1).otherwise(0) for q in cuts[c]), F.lit(0))).alias(c) for c in columns if c in cuts]
+    rows = df.select(label, *coded).unpivot([label], [c for c in columns if c in cuts], "feature", "bin").where("bin is not null")
     cell = rows.groupBy("feature", label, "bin").agg(F.count(F.lit(1)).alias("n"))
     by = lambda *c: F.sum("n").over(Window.partitionBy("feature", *c))
     cell = cell.withColumns({"total": by(), "nx": by("bin"), "ny": by(label)})

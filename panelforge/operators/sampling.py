@@ -11,7 +11,7 @@ def hash_order(keys: list[str], seed: int) -> Column:
 
 
 def hash_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
-    """n rows, spread evenly over the keys."""
+    """n rows, spread evenly over the keys. They are sorted in one task: n is a sample's size, not a table's."""
     return df.orderBy(hash_order(keys, seed), *keys).limit(n)
 
 
@@ -23,5 +23,5 @@ def stratified_cap(df: DataFrame, strata: list[Column | str], keys: list[str], m
 
 def active_sample(df: DataFrame, value: str, entity: str, keys: list[str], buckets: int, most: int, seed: int = 42) -> DataFrame:
     """Rows with a value above 0, at most ``most`` of each hash bucket of entities."""
-    bucket = F.pmod(F.crc32(F.col(entity).cast("string").cast("binary")), F.lit(buckets))
+    bucket = F.conv(F.substring(F.md5(F.col(entity).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % buckets
     return stratified_cap(df.where(F.col(value) > 0), [bucket], keys, most, seed)

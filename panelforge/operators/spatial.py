@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import haversine_km
+from ..sources.shared import cut_lineage
 
 #: Kilometres of a degree of latitude on a sphere of 6371 km, rounded down.
 KM_PER_DEGREE = 111.19
@@ -17,12 +18,6 @@ def _sites(sites: DataFrame) -> DataFrame:
     return sites.dropna(subset=["latitude", "longitude"]).select(F.col("site").alias("site"), F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df as rows of its own, so that plans don't grow by round; in the shared folder, if spark.checkpoint.dir names one."""
-    shared = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return df.checkpoint() if shared else df.localCheckpoint()
-
-
 def _km() -> Column:
     return haversine_km(F.col("latitude"), F.col("longitude"), F.col("s_lat"), F.col("s_lon"))
 
@@ -67,21 +62,21 @@ def nearest_site(places: DataFrame, sites: DataFrame, radii: tuple = (50, 100),
     """
     at, counts = ["latitude", "longitude"], [f"n_within_{r}km" for r in radii]
     p = places.dropna(subset=at).select("place", *at)
-    spots = _cut(p.select(*at).distinct())
-    s = _cut(_sites(sites).groupBy("s_lat", "s_lon").agg(F.min(F.struct("site")).alias("one"), F.count(F.lit(1)).alias("n")).select("s_lat", "s_lon", "one.site", "n"))
+    spots = cut_lineage(p.select(*at).distinct())
+    s = cut_lineage(_sites(sites).groupBy("s_lat", "s_lon").agg(F.min(F.struct("site")).alias("one"), F.count(F.lit(1)).alias("n")).select("s_lat", "s_lon", "one.site", "n"))
 
     def near(some: DataFrame, width: float) -> DataFrame:
         met = grid_pairs(some, s, width).withColumn("km", _km()).where(F.col("km") <= width)
         within = [F.sum(F.when(F.col("km") <= r, F.col("n")).otherwise(0)).alias(c) for r, c in zip(radii, counts, strict=True)]
-        return _cut(met.groupBy(*at).agg(F.min(F.struct("km", "site")).alias("best"), *within))
+        return cut_lineage(met.groupBy(*at).agg(F.min(F.struct("km", "site")).alias("best"), *within))
 
     width = max(1.0, uncovered_km, *radii)
     found = near(spots, width)
-    rest = _cut(spots.join(found, at, "left_anti"))
+    rest = cut_lineage(spots.join(found, at, "left_anti"))
     while width < HALF_ROUND_KM and not s.isEmpty() and not rest.isEmpty():
         width *= 2
         more = near(rest, width)
-        found, rest = found.unionByName(more), _cut(rest.join(more, at, "left_anti"))
+        found, rest = found.unionByName(more), cut_lineage(rest.join(more, at, "left_anti"))
     out = p.join(found, at).groupBy("place").agg(F.min("best").alias("best"), *[F.sum(c).alias(c) for c in counts])
     km = F.round("best.km", 2)
     return out.select("place", F.col("best.site").alias("site"), km.alias("distance_km"), *counts, (km > uncovered_km).alias("uncovered"))
