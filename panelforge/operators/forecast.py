@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .metrics import paired_t, regression_metrics
@@ -23,6 +27,16 @@ TRAIN_UNTIL, VALIDATE_UNTIL = 2019, 2022
 SPACE = {"maxDepth": (3, 8, "int"), "stepSize": (0.01, 0.3, "log"), "subsamplingRate": (0.5, 1.0, "real"), "minInstancesPerNode": (1, 50, "int"), "maxIter": (10, 60, "int")}
 
 
+#: Fits that run at once; each is many small jobs.
+PARALLEL = 4
+
+
+def at_once(work: Callable, items: list) -> list:
+    """work of each item in order, some at a time, with the caller's job properties."""
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(work), items))
+
+
 def split_by_year(year: Column, train_until: int = TRAIN_UNTIL, validate_until: int = VALIDATE_UNTIL) -> Column:
     return F.when(year <= train_until, "train").when(year <= validate_until, "validation").otherwise("test")
 
@@ -70,13 +84,33 @@ def training_curve(fitted: Regressor, df: DataFrame, target: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(i + 1, math.sqrt(v)) for i, v in enumerate(values)], "round int, rmse double")
 
 
-def classify_risk(train: DataFrame, test: DataFrame, target: str, columns: list[str], classes: int = 4, trees: int = 30, depth: int = 6, seed: int = 42) -> DataFrame:
-    """test with the predicted class and the probability of each class."""
-    rows = assembled(train.where(F.col(target).isNotNull()).withColumn("__y", F.col(target).cast("double")), columns)
-    model = RandomForestClassifier(featuresCol="__x", labelCol="__y", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="__prob", rawPredictionCol="__raw", predictionCol="__p").fit(rows)
-    p = vector_to_array(F.col("__prob"))
-    out = model.transform(assembled(test, columns)).withColumns({f"p_{k}": F.coalesce(F.get(p, F.lit(k)), F.lit(0.0)) for k in range(classes)})
-    return out.withColumn("predicted", F.col("__p").cast("int")).drop("__x", "__prob", "__raw", "__p")
+def classify_risk(train: DataFrame, test: DataFrame, target: str, columns: list[str], validation: Column | None = None, classes: int = 4, seed: int = 42, **params) -> DataFrame:
+    """test with the predicted class and the probability of each class.
+
+    Boosted trees of each class against the others; validation marks the rows of train that stop them early. The classes'
+    probabilities are scaled to sum to 1; a class that train lacks has probability 0.
+    """
+    options = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8} | params
+    rows = assembled(train.where(F.col(target).isNotNull()), columns).withColumn("__v", F.lit(False) if validation is None else validation)
+    seen = {r[0] for r in rows.where("not __v").select(F.col(target).cast("int")).distinct().collect()}
+
+    def fit(k: int):
+        trainer = GBTClassifier(featuresCol="__x", labelCol="__y", seed=seed, predictionCol=f"__p{k}", **options).setProbabilityCol(f"__prob{k}").setRawPredictionCol(f"__raw{k}")
+        if validation is not None:
+            trainer = trainer.setParams(validationIndicatorCol="__v")
+        return trainer.fit(rows.withColumn("__y", (F.col(target) == k).cast("double")))
+
+    known = [k for k in range(classes) if k in seen]
+    if len(known) < 2:
+        return test.withColumns({f"p_{k}": F.lit(float(k in known)) for k in range(classes)} | {"predicted": F.lit(known[0] if known else 0)})
+    out = assembled(test, columns)
+    for model in at_once(fit, known):
+        out = model.transform(out)
+    share = {k: vector_to_array(F.col(f"__prob{k}"))[1] for k in known}
+    total = sum(share.values(), F.lit(0.0))
+    out = out.withColumns({f"p_{k}": share[k] / total if k in share else F.lit(0.0) for k in range(classes)})
+    best = F.array_max(F.array(*[F.struct(F.col(f"p_{k}").alias("p"), F.lit(-k).alias("k")) for k in range(classes)]))["k"]
+    return out.withColumn("predicted", -best).select(*test.columns, *[f"p_{k}" for k in range(classes)], "predicted")
 
 
 def ablation(df: DataFrame, target: str, columns: list[str], family: str, split: str = "split", **params) -> DataFrame:
@@ -96,13 +130,13 @@ def ablation(df: DataFrame, target: str, columns: list[str], family: str, split:
 
 def multi_horizon(df: DataFrame, value: str, entity: list[str], period: list[str], columns: list[str], year: str, horizons: tuple = (1, 2, 4, 8), train_until: int = TRAIN_UNTIL, **params) -> DataFrame:
     """Test metrics of one fit a horizon, and each rmse over that of the first."""
-    parts = None
-    for h in horizons:
+
+    def one(h: int) -> DataFrame:
         rows = leads(df, value, entity, period, h)
         fitted = fit_counts(rows.where(F.col(year) <= train_until), "target", columns, **params)
-        scored = fitted.predict(rows.where(F.col(year) > train_until)).select(F.lit(h).alias("horizon"), "target", "prediction")
-        parts = scored if parts is None else parts.unionByName(scored)
-    out = regression_metrics(parts, "target", "prediction", ["horizon"])
+        return fitted.predict(rows.where(F.col(year) > train_until)).select(F.lit(h).alias("horizon"), "target", "prediction")
+
+    out = regression_metrics(reduce(DataFrame.unionByName, at_once(one, list(horizons))), "target", "prediction", ["horizon"])
     return out.withColumn("rmse_ratio", F.try_divide("rmse", F.first("rmse").over(Window.partitionBy(F.lit(0)).orderBy("horizon"))))
 
 
@@ -119,14 +153,15 @@ def folds(years: list[int], first_after: int = 5, step: int = 3) -> list[dict]:
 def walk_forward(df: DataFrame, target: str, columns: list[str], year: str, first_after: int = 5, step: int = 3, **params) -> DataFrame:
     """Metrics of each fold's test year."""
     years = [r[0] for r in df.select(year).distinct().collect()]
-    parts = None
-    for f in folds(years, first_after, step):
+
+    def one(f: dict) -> DataFrame:
         fitted = fit_counts(df.where(F.col(year) <= f["validation_year"]), target, columns, F.col(year) == f["validation_year"], **params)
-        scored = fitted.predict(df.where(F.col(year) == f["test_year"])).select(F.lit(f["test_year"]).alias("test_year"), target, "prediction")
-        parts = scored if parts is None else parts.unionByName(scored)
-    if parts is None:
+        return fitted.predict(df.where(F.col(year) == f["test_year"])).select(F.lit(f["test_year"]).alias("test_year"), target, "prediction")
+
+    chosen = folds(years, first_after, step)
+    if not chosen:
         raise ValueError("too few years for a fold")
-    return regression_metrics(parts, target, "prediction", ["test_year"])
+    return regression_metrics(reduce(DataFrame.unionByName, at_once(one, chosen)), target, "prediction", ["test_year"])
 
 
 def stability(fold_metrics: DataFrame, metric: str = "rmse", limit: float = 30.0) -> DataFrame:
@@ -151,13 +186,17 @@ def draws(trials: int, space: dict = SPACE, seed: int = 42) -> list[dict]:
     return out
 
 
-def search(train: DataFrame, validation: DataFrame, target: str, columns: list[str], trials: int = 20, space: dict = SPACE, seed: int = 42) -> DataFrame:
-    """Validation rmse of each drawn parameter set, best first."""
-    rows = []
-    for i, params in enumerate(draws(trials, space, seed)):
+def search(train: DataFrame, validation: DataFrame, target: str, columns: list[str], trials: int = 20, space: dict = SPACE, seed: int = 42, base: dict | None = None) -> DataFrame:
+    """Validation rmse of each drawn parameter set, best first, beside that of the base parameters and the change in percent."""
+
+    def rmse(params: dict) -> float:
         scored = fit_counts(train, target, columns, seed=seed, **params).predict(validation)
-        rows.append((i, regression_metrics(scored, target, "prediction").first()["rmse"], repr(params)))
-    return train.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[1]), "trial int, rmse double, params string")
+        return regression_metrics(scored, target, "prediction").first()["rmse"]
+
+    drawn = draws(trials, space, seed)
+    first, *found = at_once(rmse, [base or {}, *drawn])
+    rows = [(i, v, first, 100.0 * (first - v) / first if first else 0.0, repr(p)) for i, (v, p) in enumerate(zip(found, drawn, strict=True))]
+    return train.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[1]), "trial int, rmse double, baseline_rmse double, improvement_pct double, params string")
 
 
 def permutation_importance(fitted: Regressor, df: DataFrame, target: str, keys: list[str], family: str | None = None, parts: int = 64, seed: int = 42) -> DataFrame:

@@ -1,4 +1,4 @@
 """Registered queries and their SQL twins."""
 
-from . import models, panels, profiles, records  # noqa: F401
+from . import files, models, panels, profiles, records  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

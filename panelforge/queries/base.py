@@ -59,7 +59,7 @@ from {events}
 """
 
 #: Places and stations with coordinates by formula.
-PLACES = "select cast(c_custkey as int) as place, -30.0 + (c_custkey * 37 % 400) / 10.0 as latitude, -60.0 + (c_custkey * 53 % 300) / 10.0 as longitude from {customer} where c_custkey % 3 = 0"
+PLACES = "select cast(c_custkey as int) as place, -30.0 + (c_custkey * 37 % 400) / 10.0 as latitude, -60.0 + (c_custkey * 53 % 300) / 10.0 as longitude from {customer}"
 STATIONS = "select cast(s_suppkey as int) as site, -30.0 + (s_suppkey * 91 % 400) / 10.0 as latitude, -60.0 + (s_suppkey * 71 % 300) / 10.0 as longitude, cast(s_suppkey % 30 as int) as station from {supplier}"
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")

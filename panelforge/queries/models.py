@@ -5,102 +5,119 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cluster, forecast, ranking, sampling, windows
+from ..sources.shared import cut_lineage
 from .base import query, table
-from .panels import dense
+from .panels import dense, weekly
 
-_FEATURES = ["cases", "cases_lag_1", "cases_lag_2", "cases_mean_4", "season_sin", "price_lag"]
-_FAST = {"maxIter": 4, "maxDepth": 3}
+_CLIMATE = ["climate_rain", "climate_temp"]
+_FEATURES = ["cases", "cases_lag_1", "cases_lag_2", "cases_mean_4", "season_sin", *_CLIMATE]
 
 
 def _embedded(spark, sf_dir):
+    """The label and every dimension of the vectors."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+    n = e.agg(F.max(F.size("embedding"))).first()[0]
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)]), [f"e{i}" for i in range(n)]
 
 
-def _lines(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+def _orders(spark, sf_dir):
+    """One row an order: lines, quantity, price and mean discount."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("price"), F.avg("l_discount").alias("discount"))
 
 
 def _model_rows(spark, sf_dir):
+    """Windows of the panel, its season, and the climate of the same week of the year from the nation's stations."""
     d = dense(spark, sf_dir)
     d = windows.lags(d, "cases", ["nation"], ["week"], (1, 2), "null")
     d = windows.trailing(d, "cases", ["nation"], ["week"], (4,), ())
-    week = F.substring("week", 5, 2).cast("double")
-    d = d.withColumns({"season_sin": F.sin(week * 2 * F.pi() / 52), "price_lag": F.pmod(F.crc32(F.concat("week", F.col("nation").cast("string")).cast("binary")), F.lit(97)).cast("double"), "ano": F.substring("week", 1, 4).cast("int")})
-    return d.withColumn("split", forecast.split_by_year(F.col("ano"), 1998, 1999))
+    week = F.substring("week", 5, 2)
+    climate = weekly(spark, sf_dir).groupBy((F.col("station") % 25).alias("nation"), week.alias("ww")).agg(F.avg("rain_sum").alias("climate_rain"), F.avg("temp_mean").alias("climate_temp"))
+    d = d.withColumns({"season_sin": F.sin(week.cast("double") * 2 * F.pi() / 52), "ww": week, "ano": F.substring("week", 1, 4).cast("int")}).join(climate, ["nation", "ww"], "left").drop("ww")
+    return cut_lineage(d.withColumn("split", forecast.split_by_year(F.col("ano"), 1998, 1999)))
 
 
 def _with_target(spark, sf_dir):
-    return windows.leads(_model_rows(spark, sf_dir), "cases", ["nation"], ["week"], 4).cache()
+    return cut_lineage(windows.leads(_model_rows(spark, sf_dir), "cases", ["nation"], ["week"], 4))
 
 
 @query()
 def kmeans_sweep(spark, sf_dir):
-    sample = sampling.hash_sample(_lines(spark, sf_dir), ["l_orderkey", "l_linenumber"], 5000)
-    fitted = cluster.fit(sample, ["l_quantity", "l_extendedprice", "l_discount"], 2, 4)
+    sample = sampling.hash_sample(_orders(spark, sf_dir), ["l_orderkey"], 5000)
+    fitted = cluster.fit(sample, ["lines", "quantity", "price", "discount"])
     return fitted.evaluation(sample)
 
 
 @query()
 def cluster_labels(spark, sf_dir):
-    """Fit on a sample, score every row, rank clusters by their median."""
-    lines = _lines(spark, sf_dir)
-    fitted = cluster.fit(sampling.hash_sample(lines, ["l_orderkey", "l_linenumber"], 5000), ["l_quantity", "l_extendedprice"], 3, 3)
-    labelled = cluster.ordered_labels(fitted.assign(lines), "l_extendedprice", ["low", "middle", "high"])
-    return cluster.cross_summary(labelled, "cluster_label", "l_returnflag", "l_extendedprice")
+    """Fit two profiles on a sample, score every row, rank clusters by their median, attach both labelings and cross them."""
+    orders, keys = cut_lineage(_orders(spark, sf_dir)), ["l_orderkey"]
+    sample = sampling.hash_sample(orders, keys, 5000)
+    labelings = {}
+    for name, columns, names in (("intensity", ["quantity", "price"], ["low", "middle", "high"]), ("profile", ["discount", "lines"], ["a", "b", "c", "d"])):
+        fitted = cluster.fit(sample, columns, 3, 4)
+        labelings[name] = cluster.ordered_labels(fitted.assign(orders), "price", names).select(*keys, "cluster_label")
+    return cluster.cross_summary(cluster.labelings_attached(orders, keys, labelings), "intensity", "profile", "price")
 
 
 @query()
 def forest_importance(spark, sf_dir):
-    e = _embedded(spark, sf_dir)
-    return ranking.forest_importance(e, "label", [f"e{i}" for i in range(8)], trees=20, depth=4, balanced=True)
+    e, columns = _embedded(spark, sf_dir)
+    return ranking.forest_importance(e, "label", columns, balanced=True)
 
 
 @query()
 def forecast_counts(spark, sf_dir):
     rows = _with_target(spark, sf_dir)
-    fitted = forecast.fit_counts(rows.where("split <> 'test'"), "target", _FEATURES, F.col("split") == "validation", **_FAST)
+    fitted = forecast.fit_counts(rows.where("split <> 'test'"), "target", _FEATURES, F.col("split") == "validation")
     return fitted.predict(rows.where("split = 'test'")).select("nation", "week", "target", "prediction")
 
 
 @query()
 def training_curve(spark, sf_dir):
     rows = _with_target(spark, sf_dir)
-    fitted = forecast.fit_counts(rows.where("split = 'train'"), "target", _FEATURES, **_FAST)
+    fitted = forecast.fit_counts(rows.where("split = 'train'"), "target", _FEATURES)
     return forecast.training_curve(fitted, rows.where("split = 'validation'"), "target")
 
 
 @query()
 def risk_classifier(spark, sf_dir):
     rows = _with_target(spark, sf_dir).withColumn("risk", F.when(F.col("target") > 3, 3).when(F.col("target") > 2, 2).when(F.col("target") > 1, 1).otherwise(0))
-    out = forecast.classify_risk(rows.where("split = 'train'"), rows.where("split = 'test'"), "risk", _FEATURES, trees=10, depth=4)
+    out = forecast.classify_risk(rows.where("split <> 'test'"), rows.where("split = 'test'"), "risk", _FEATURES, F.col("split") == "validation")
     return out.select("nation", "week", "risk", "predicted", "p_0", "p_1", "p_2", "p_3")
 
 
 @query()
 def ablation(spark, sf_dir):
-    return forecast.ablation(_with_target(spark, sf_dir), "target", _FEATURES, "price", **_FAST)
+    return forecast.ablation(_with_target(spark, sf_dir), "target", _FEATURES, "climate")
 
 
 @query()
 def multi_horizon(spark, sf_dir):
-    return forecast.multi_horizon(_model_rows(spark, sf_dir).cache(), "cases", ["nation"], ["week"], _FEATURES, "ano", (1, 4), 1998, **_FAST)
+    return forecast.multi_horizon(_model_rows(spark, sf_dir), "cases", ["nation"], ["week"], _FEATURES, "ano", train_until=1998)
+
+
+def _folds(spark, sf_dir):
+    return forecast.walk_forward(_with_target(spark, sf_dir), "target", _FEATURES, "ano", first_after=4)
 
 
 @query()
 def walk_forward(spark, sf_dir):
-    return forecast.walk_forward(_with_target(spark, sf_dir), "target", _FEATURES, "ano", first_after=4, step=3, **_FAST)
+    return _folds(spark, sf_dir)
+
+
+@query()
+def walk_forward_stability(spark, sf_dir):
+    return forecast.stability(_folds(spark, sf_dir))
 
 
 @query()
 def parameter_search(spark, sf_dir):
     rows = _with_target(spark, sf_dir)
-    space = forecast.SPACE | {"maxIter": (2, 4, "int"), "maxDepth": (2, 3, "int")}
-    return forecast.search(rows.where("split = 'train'"), rows.where("split = 'validation'"), "target", _FEATURES, 2, space)
+    return forecast.search(rows.where("split = 'train'"), rows.where("split = 'validation'"), "target", _FEATURES)
 
 
 @query()
 def permutation_importance(spark, sf_dir):
     rows = _with_target(spark, sf_dir)
-    fitted = forecast.fit_counts(rows.where("split = 'train'"), "target", _FEATURES, **_FAST)
+    fitted = forecast.fit_counts(rows.where("split = 'train'"), "target", _FEATURES)
     return forecast.permutation_importance(fitted, rows.where("split = 'test'"), "target", ["nation", "week"], family="season")

@@ -285,6 +285,6 @@ def stratified_cap(spark, sf_dir):
     return sampling.stratified_cap(dense(spark, sf_dir), [F.substring("week", 1, 4)], ["nation", "week"], 40)
 
 
-@query()
+@query("nation:int week:string cases:double", f"""with {DENSE_CTE} select * from (select *, row_number() over (partition by cast('0x' || substr(md5(nation::varchar), 1, 8) as bigint) % 8 order by md5(nation::varchar || '|' || week || '|42'), nation, week) as n from dense where cases > 0) t where n <= 200""")
 def active_sample(spark, sf_dir):
     return sampling.active_sample(dense(spark, sf_dir), "cases", "nation", ["nation", "week"], 8, 200)

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, forecast, metrics, panel, profile, ranking
+from ..operators import cluster, forecast, metrics, panel, profile, query as panel_query, ranking, sampling
 from .base import CASES_SQL, DENSE_CTE, OBSERVED_CTE, cases, duck_week, query, table
 from .panels import dense, flagged, observed
 
 _YEAR = "substr(week, 1, 4)::int"
 
 
+def _f_sql(c: str) -> str:
+    return f"""select '{c}' as feature, (sum(n * m * m) - sum(n) * pow(sum(n * m) / sum(n), 2)) / (count(*) - 1) / (sum(n * v) / (sum(n) - count(*))) as anova_f
+      from (select l_returnflag, count({c})::double as n, avg({c}) as m, var_pop({c}) as v from lineitem group by all) g"""
+
+
 def _yearly(spark, sf_dir):
     return dense(spark, sf_dir).withColumn("ano", F.substring("week", 1, 4).cast("int"))
 
@@ -100,13 +105,56 @@ def schema_document(spark, sf_dir):
     return profile.schema_document(observed(spark, sf_dir), ["nation", "week"], "entity x week")
 
 
-@query("feature:string group:string missing_pct:r6".replace("group", "kind"), f"""with {OBSERVED_CTE} select feature, kind, case feature when 'prop_severe' then (select 100.0 * count(*) filter (severe is null) / count(*) from obs) else 0 end as missing_pct
+@query("feature:string group:string description:string missing_pct:r6".replace("group", "kind"), f"""with {OBSERVED_CTE} select feature, kind, case kind when 'identificacao' then 'keys and names of the row''s entity and period' when 'volume' then 'counts of records' when 'proporcao_clinica' then 'shares of records with a clinical sign' else 'means of several shares' end as description, case feature when 'prop_severe' then (select 100.0 * count(*) filter (severe is null) / count(*) from obs) else 0 end as missing_pct
     from (values ('nation', 'identificacao'), ('week', 'identificacao'), ('notificacoes', 'volume'), ('prop_severe', 'proporcao_clinica'), ('indice_price', 'indice_composto')) t(feature, kind)""")
 def feature_catalog(spark, sf_dir):
     o = observed(spark, sf_dir).withColumnsRenamed({"cases": "notificacoes", "severe": "prop_severe", "price": "indice_price"})
     return profile.feature_catalog(o, ("nation", "week")).withColumnRenamed("group", "kind")
 
 
+@query("feature:string description:string", f"""with {OBSERVED_CTE} select 'prop_severe' as feature, 'shares of records with a clinical sign' as description""")
+def catalog_lookup(spark, sf_dir):
+    o = observed(spark, sf_dir).withColumnsRenamed({"cases": "notificacoes", "severe": "prop_severe", "price": "indice_price"})
+    return panel_query.catalog_entry(profile.feature_catalog(o, ("nation", "week")), "prop_severe")
+
+
+@query("mode:string feature:string rows_known:bigint", """select mode, feature, (select count(*) from lineitem) as rows_known from (values ('intensity', 'notificacoes'), ('intensity', 'notificacoes_lag_1'), ('intensity', 'qt_lines'), ('intensity', 'indice_tax'),
+    ('profile', 'qt_lines'), ('profile', 'indice_tax')) t(mode, feature)""")
+def clustering_columns(spark, sf_dir):
+    """Columns that either clustering takes of a table with keys, texts and labels, and their known rows."""
+    names = {"l_orderkey": "entity", "l_linestatus": "uf", "l_quantity": "notificacoes", "l_extendedprice": "notificacoes_lag_1", "l_linenumber": "qt_lines", "l_tax": "indice_tax", "l_discount": "label_alert", "l_partkey": "cluster_id"}
+    li = table(spark, sf_dir, "lineitem").select(*[F.col(c).alias(n) for c, n in names.items()])
+    chosen = [(mode, c) for mode in ("intensity", "profile") for c in cluster.feature_columns(li, ("entity",), profile=mode == "profile")]
+    known = li.agg(*[F.count(c).alias(c) for c in dict.fromkeys(c for _, c in chosen)]).unpivot([], list(dict.fromkeys(c for _, c in chosen)), "feature", "rows_known")
+    return spark.createDataFrame(chosen, "mode string, feature string").join(F.broadcast(known), "feature")
+
+
+_LABELINGS = """x as (select o_orderkey, o_totalprice, case when o_totalprice > 150000 then 'high' when o_totalprice > 50000 then 'low' end as intensity, case when o_custkey % 3 = 0 then 'b' else 'a' end as profile from orders)"""
+
+
+@query("intensity:string profile:string n_rows:bigint mean:r6", f"with {_LABELINGS} select intensity, profile, count(*) as n_rows, avg(o_totalprice) as mean from x group by all")
+def labelings_crossed(spark, sf_dir):
+    """Two labelings, one of them partial, attached by key and crossed."""
+    o = table(spark, sf_dir, "orders")
+    first = o.where("o_totalprice > 50000").select("o_orderkey", F.when(F.col("o_totalprice") > 150000, "high").otherwise("low").alias("cluster_label"))
+    second = o.select("o_orderkey", F.when(F.col("o_custkey") % 3 == 0, "b").otherwise("a").alias("cluster_label"))
+    return cluster.cross_summary(cluster.labelings_attached(o, ["o_orderkey"], {"intensity": first, "profile": second}), "intensity", "profile", "o_totalprice")
+
+
+@query("o_orderkey:bigint o_totalprice:double label:string", f"""with {_LABELINGS} select s.o_orderkey, s.o_totalprice, profile as label from (select * from orders order by md5(o_orderkey::varchar || '|42'), o_orderkey limit 1000) s
+    join x on x.o_orderkey = s.o_orderkey""")
+def sample_assigned(spark, sf_dir):
+    """A hash sample with the labels of its rows."""
+    o, keys = table(spark, sf_dir, "orders"), ["o_orderkey"]
+    labels = o.select(*keys, F.when(F.col("o_custkey") % 3 == 0, "b").otherwise("a").alias("label"))
+    return cluster.sample_assigned(sampling.hash_sample(o.select(*keys, "o_totalprice"), keys, 1000), labels, keys)
+
+
+@query("feature:string anova_f:r6", "select * from (" + " union all ".join(_f_sql(c) for c in ("l_quantity", "l_discount", "l_tax")) + ") t order by anova_f desc, feature limit 2")
+def top_features(spark, sf_dir):
+    return panel_query.top_features(ranking.anova_f(table(spark, sf_dir, "lineitem"), "l_returnflag", ["l_quantity", "l_discount", "l_tax"]), "anova_f", 2)
+
+
 @query("l_orderkey:bigint l_partkey:bigint n:bigint", "select l_orderkey, l_partkey, count(*) as n from lineitem group by all having count(*) > 1")
 def repeated_keys(spark, sf_dir):
     return profile.repeated_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"])
@@ -130,11 +178,6 @@ def column_filters(spark, sf_dir):
 _VALUES = ("l_quantity", "l_discount", "l_tax")
 
 
-def _f_sql(c: str) -> str:
-    return f"""select '{c}' as feature, (sum(n * m * m) - sum(n) * pow(sum(n * m) / sum(n), 2)) / (count(*) - 1) / (sum(n * v) / (sum(n) - count(*))) as anova_f
-      from (select l_returnflag, count({c})::double as n, avg({c}) as m, var_pop({c}) as v from lineitem group by all) g"""
-
-
 @query("feature:string anova_f:r6", " union all ".join(map(_f_sql, _VALUES)))
 def anova_f(spark, sf_dir):
     return ranking.anova_f(table(spark, sf_dir, "lineitem"), "l_returnflag", list(_VALUES))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,30 +43,31 @@ def read_cases_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFr
 def read_station_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Hourly readings and station metadata from latin-1 files: eight KEY:;VALUE lines, a header, 18 fields a line.
 
-    Lines with fewer than five fields or a first field that is no date are left out, numbers have a decimal comma, -9999
-    is unknown. Metadata: one row a file.
+    Lines with fewer than five fields, with more fields than the header, or with a first field that is no date are left
+    out; numbers have a decimal comma, -9999 is unknown. Metadata: one row a file. A file is one row, so it must be
+    below 2 GB.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "ISO-8859-1").alias("text"))
-    lines = files.select("file", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line"))
-    pair = F.split("line", ";", 2)
-    head = lines.where(F.col("pos") < HEADER_LINES).select("file", F.upper(F.trim(F.regexp_replace(F.get(pair, 0), ":", ""))).alias("key"), F.trim(F.get(pair, 1)).alias("value"))
-    first = lambda *keys: F.max(F.when(F.col("key").isin(*keys), F.col("value")))
-    stations = head.groupBy("file").agg(
-        first("REGIAO", "REGIÃO").alias("regiao"),
-        first("UF").alias("uf"),
-        first("ESTACAO", "ESTAÇÃO").alias("estacao"),
-        first("CODIGO (WMO)").alias("codigo_wmo"),
-        decimal_comma(first("LATITUDE")).alias("latitude"),
-        decimal_comma(first("LONGITUDE")).alias("longitude"),
-        decimal_comma(first("ALTITUDE")).alias("altitude"),
-    )
-    fields = F.split("line", ";")
-    rows = lines.where(F.col("pos") > HEADER_LINES).select("file", fields.alias("f")).where(F.size("f") >= LEAST_FIELDS)
-    named = rows.select("file", *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(STATION_COLUMNS)]).where(looks_dated(F.col("data")))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.split(F.decode("content", "ISO-8859-1"), "\r?\n").alias("lines"))
+    pair = lambda x: F.split(x, ";", 2)
+    key = lambda x: F.upper(F.trim(F.regexp_replace(F.get(pair(x), F.lit(0)), ":", "")))
+    head = F.slice("lines", 1, HEADER_LINES)
+
+    def value(*names: str) -> Column:
+        return F.get(F.transform(F.filter(head, lambda x: key(x).isin(*names) & (F.size(pair(x)) > 1)), lambda x: F.trim(F.get(pair(x), F.lit(1)))), F.lit(0))
+
+    meta = {
+        "regiao": value("REGIAO", "REGIÃO"), "uf": value("UF"), "estacao": value("ESTACAO", "ESTAÇÃO"), "codigo_wmo": value("CODIGO (WMO)"), "latitude": decimal_comma(value("LATITUDE")),
+        "longitude": decimal_comma(value("LONGITUDE")), "altitude": decimal_comma(value("ALTITUDE")), "data_fundacao": value("DATA DE FUNDACAO", "DATA DE FUNDAÇÃO"),
+    }
+    stations = files.select("file", *[c.alias(k) for k, c in meta.items()])
+    # The file's place is read from its own lines, in the pass that explodes them.
+    width = F.size(F.split(F.get("lines", F.lit(HEADER_LINES)), ";"))
+    rows = files.select(*[meta[k].alias(k) for k in ("codigo_wmo", "uf", "regiao")], width.alias("width"), F.explode(F.slice("lines", HEADER_LINES + 2, F.greatest(F.size("lines"), F.lit(1)))).alias("line"))
+    rows = rows.withColumn("f", F.split("line", ";")).where((F.size("f") >= LEAST_FIELDS) & (F.size("f") <= F.col("width")))
+    named = rows.select("codigo_wmo", "uf", "regiao", *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(STATION_COLUMNS)]).where(looks_dated(F.col("data")))
     numbers = [without_sentinel(decimal_comma(F.col(c))).alias(c) for c in STATION_COLUMNS[2:]]
     day = F.try_to_date(F.replace(F.substring("data", 1, 10), F.lit("/"), F.lit("-")), "yyyy-MM-dd").alias("data")
-    hourly = named.select("file", day, "hora_utc", *numbers).join(stations.select("file", "codigo_wmo", "uf", "regiao"), "file").drop("file")
-    return hourly, stations
+    return named.select(day, "hora_utc", *numbers, "codigo_wmo", "uf", "regiao"), stations
 
 
 def station_years(hourly: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import cluster, forecast, labels, metrics, panel, profile, query, resolve, sampling, spatial, windows
+from panelforge.operators import cluster, forecast, labels, metrics, panel, profile, query, ranking, ranks, resolve, sampling, spatial, windows
 from panelforge.plans import panel as plans
 from panelforge.sources import ingest, publish
 
@@ -160,13 +160,13 @@ def test_readers(spark, tmp_path):
     assert [(r["A"], r["B"], r["source_year"]) for r in out] == [("1", None, 2020), ("2", None, 2020)]
     (tmp_path / "cases2021.csv").write_text("A,B\n1,2\n")
     assert ingest.read_cases_csv(spark, str(tmp_path / "cases2021.csv"), ["A"]).first()["source_year"] == 2021
-    head = ["REGIAO:;CO", "UF:;DF", "ESTAÇÃO:;BRASÍLIA", "CODIGO (WMO):;A001", "LATITUDE:;-15,78", "LONGITUDE:;-47,92", "ALTITUDE:;1160,9", "DATA:;07/05/00"]
-    body = ["Data;Hora", "2024/01/01;0000 UTC;1,5;-9999;" + ";" * 14, "total;x;1;2;3", "2024/01/02;1"]
+    head = ["REGIAO:;CO", "UF:;DF", "ESTAÇÃO:;BRASÍLIA", "CODIGO (WMO):;A001", "LATITUDE:;-15,78", "LONGITUDE:;-47,92", "ALTITUDE:;1160,9", "DATA DE FUNDACAO:;07/05/00"]
+    body = ["Data;Hora" + ";" * 16, "2024/01/01;0000 UTC;1,5;-9999;" + ";" * 13, "total;x;1;2;3", "2024/01/02;1", "2024/01/03;0000 UTC;1" + ";" * 17]
     (tmp_path / "s.CSV").write_bytes("\r\n".join(head + body).encode("latin-1"))
     hourly, stations = ingest.read_station_files(spark, str(tmp_path / "s.CSV"))
     h, s = hourly.collect(), stations.first()
     assert len(h) == 1 and h[0]["precipitacao_mm"] == 1.5 and h[0]["pressao_mbar"] is None and str(h[0]["data"]) == "2024-01-01"
-    assert s["codigo_wmo"] == "A001" and s["latitude"] == -15.78 and s["estacao"] == "BRASÍLIA"
+    assert s["codigo_wmo"] == "A001" and s["latitude"] == -15.78 and s["estacao"] == "BRASÍLIA" and s["data_fundacao"] == "07/05/00"
     (tmp_path / "t.json").write_text('[{"id": 1100015, "nome": "N", "microrregiao": {"mesorregiao": {"UF": {"sigla": "RO", "regiao": {"sigla": "N"}}}}}, {"id": 2, "nome": "M", "regiao-imediata": {"regiao-intermediaria": {"UF": {"sigla": "SP", "regiao": {"sigla": "SE"}}}}}]')
     assert {(r["code"], r["uf"], r["region"]) for r in ingest.read_territory(spark, str(tmp_path / "t.json")).collect()} == {("1100015", "RO", "N"), ("2", "SP", "SE")}
     raw = spark.createDataFrame([("11000150", "a", 1.0, 2.0), ("1100015", "b", 3.0, 4.0), ("7", "c", None, 1.0)], "c string, n string, la double, lo double")
@@ -196,3 +196,88 @@ def test_cluster_labels_follow_the_median(spark):
     out = cluster.ordered_labels(fitted.assign(df), "v", ["low", "mid", "high"])
     medians = {r["cluster_label"]: r["m"] for r in out.groupBy("cluster_label").agg(F.median("v").alias("m")).collect()}
     assert medians["low"] < medians["mid"] < medians["high"]
+
+
+def test_exact_quantiles_by_ranges(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    rows = [("a", rng.choice([rng.gauss(0, 5), 1.0, 2.0])) for _ in range(3001)] + [("b", float(i)) for i in range(10)] + [("c", None), ("d", 7.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = {r["k"]: r["q"] for r in ranks.key_quantiles(df, "k", "v", [0.0, 0.1, 0.5, 0.77, 1.0]).collect()}
+    assert set(got) == {"a", "b", "d"}
+    for k, q in got.items():
+        want = np.quantile([v for x, v in rows if x == k], [0.0, 0.1, 0.5, 0.77, 1.0])
+        assert np.allclose(q, want)
+    counts = df.where("v is not null").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    for r in ranks.running_counts(counts, "k", "v").where("k = 'b'").collect():
+        assert r["before"] == r["v"]
+
+
+def test_auc_by_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.randrange(3), round(rng.random(), 1), rng.random()) for _ in range(300)]
+    df = spark.createDataFrame(rows, "y int, s double, t double")
+    got = {r["class"]: r["auc"] for r in metrics.macro_auc(df, "y", {0: "s", 2: "t"}).collect()}
+    want = {}
+    for k, at in ((0, 1), (2, 2)):
+        pos, neg = [r[at] for r in rows if r[0] == k], [r[at] for r in rows if r[0] != k]
+        want[k] = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+    want[None] = sum(want.values()) / 2
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(got) == 3
+
+
+@pytest.fixture(scope="module")
+def learnable(spark):
+    rows = [(i, 2000 + i % 9, float(i % 4), float(i * 7 % 13), float(i % 4) * 2 + (i * 7 % 13) / 50) for i in range(540)]
+    df = spark.createDataFrame(rows, "i int, ano int, x double, noise double, target double")
+    return df.withColumn("risk", F.col("x").cast("int")).withColumn("split", forecast.split_by_year(F.col("ano"), 2005, 2006)).cache()
+
+
+def test_risk_classes_of_boosted_trees(learnable):
+    few = {"maxIter": 5, "maxDepth": 3}
+    out = forecast.classify_risk(learnable.where("split <> 'test'"), learnable.where("split = 'test'"), "risk", ["x", "noise"], F.col("split") == "validation", **few).collect()
+    assert out and all(r["predicted"] == r["risk"] and abs(sum(r[f"p_{k}"] for k in range(4)) - 1) < 1e-9 for r in out)
+    two = forecast.classify_risk(learnable.where("risk < 2"), learnable, "risk", ["x"], **few)
+    assert two.where("p_2 > 0 or p_3 > 0 or predicted > 1").count() == 0
+    one = forecast.classify_risk(learnable.where("risk = 2"), learnable, "risk", ["x"], **few)
+    assert {tuple(r) for r in one.select("predicted", "p_2", "p_0").distinct().collect()} == {(2, 1.0, 0.0)}
+
+
+def test_folds_search_and_stability(learnable):
+    few = {"maxIter": 3, "maxDepth": 2}
+    found = forecast.walk_forward(learnable, "target", ["x", "noise"], "ano", **few)
+    assert sorted(r["test_year"] for r in found.collect()) == [2005, 2008]
+    s = forecast.stability(found).first()
+    assert s["stable"] == int(s["cv_pct"] < 30) and abs(s["cv_pct"] - 100 * s["std"] / s["mean"]) < 1e-9
+    space = {"maxDepth": (1, 3, "int"), "maxIter": (1, 3, "int")}
+    out = forecast.search(learnable.where("split = 'train'"), learnable.where("split = 'validation'"), "target", ["x", "noise"], 3, space, base=few).collect()
+    assert [r["rmse"] for r in out] == sorted(r["rmse"] for r in out) and len({r["baseline_rmse"] for r in out}) == 1
+    assert all(abs(r["improvement_pct"] - 100 * (1 - r["rmse"] / r["baseline_rmse"])) < 1e-9 for r in out)
+    rows = learnable.select("i", "ano", "x", "noise", "target", F.lit("e").alias("e"))
+    ahead = forecast.multi_horizon(rows, "target", ["e"], ["i"], ["x", "noise"], "ano", (1, 4), 2006, **few).collect()
+    assert sorted(r["horizon"] for r in ahead) == [1, 4] and next(r for r in ahead if r["horizon"] == 1)["rmse_ratio"] == 1
+    gone = forecast.ablation(learnable, "target", ["x", "noise"], "x", **few).first()
+    assert gone["improvement"] == 1 and gone["rmse_full"] < gone["rmse_without"]
+
+
+def test_labelings_and_lookups(spark, small):
+    weeks_ = small.select("e", "w", "n")
+    both = cluster.labelings_attached(weeks_, ["e", "w"], {"first": weeks_.where("n > 0").select("e", "w", F.lit("hot").alias("cluster_label")), "second": weeks_.select("e", "w", F.lit("all").alias("cluster_label"))})
+    assert {(r["first"], r["second"], r["n_rows"]) for r in cluster.cross_summary(both, "first", "second", "n").collect()} == {("hot", "all", 5), (None, "all", 7)}
+    assert cluster.feature_columns(spark.createDataFrame([(1, 2, 3, "x", 4)], "notificacoes int, qt_a int, label_b int, t string, k int"), ("k",), profile=True) == ["qt_a"]
+    scores = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 3.0)], "feature string, s double")
+    assert [r["feature"] for r in query.top_features(scores, "s", 2).collect()] == ["b", "c"]
+    docs = profile.feature_catalog(spark.createDataFrame([(1, 2.0)], "k int, prop_raca_x double"), ("k",))
+    assert query.catalog_entry(docs, "prop_raca_x").first()["description"] == profile.GROUP_NOTES["proporcao_demografica"]
+    assert ranking.composite_ranking(scores, ["s"], top=1).where("selected = 1").count() == 2
+
+
+def test_missingness_in_one_pass(spark):
+    df = spark.createDataFrame([(1, None), (1, "a"), (2, "b"), (None, "b")], "x int, y string")
+    exact, near = profile.missingness(df), profile.missingness(df, approximate=True)
+    assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, near.select(*exact.columns).collect()))
