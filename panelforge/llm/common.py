@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut_lineage, new_folder, remove_folder, shared_folder  # noqa: F401
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,35 +43,6 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def set_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named by spark.checkpoint.dir; a temporary one only in local mode. Returns it."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if path is None:
-            master = sc.master
-            if not master.startswith("local") or master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            path = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(path)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: later plans read the rows back from shared storage.
-
-    Spark removes the files of a checkpoint that nothing refers to any more where
-    spark.cleaner.referenceTracking.cleanCheckpoints is set.
-    """
-    set_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 class Scratch:
     """Parquet tables of one call, in a folder of their own below the shared checkpoint folder; removed at the end.
 
@@ -82,7 +52,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.tables = spark, 0
-        self.folder = f"{set_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+        self.folder = new_folder(spark, "tables")
 
     def __enter__(self) -> Scratch:
         return self
