@@ -10,14 +10,13 @@ tables every stage gives an empty one. Extra columns of docs are dropped by the
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import exact_dedup, mixing, near_dedup, packing, quality
-from panelforge.llm.common import fold, read_table, remove_folder, set_checkpoint_dir
+from panelforge.llm.common import fold, read_table
+from panelforge.sources.shared import new_folder, remove_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose quality score is below this are rejected: 1 percent of the good ones held out, 90 percent of the bad.
@@ -65,7 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. What lies between them is written to the shared checkpoint folder, and removed there as
     soon as the next stage is written; the last stage's table stays, as the result reads it."""
-    folder = f"{set_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "pipeline")
     docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
