@@ -54,7 +54,7 @@ def cluster_labels(spark, sf_dir):
     sample = sampling.hash_sample(orders, keys, 5000)
     labelings = {}
     for name, columns, names in (("intensity", ["quantity", "price"], ["low", "middle", "high"]), ("profile", ["discount", "lines"], ["a", "b", "c", "d"])):
-        fitted = cluster.fit(sample, columns, 3, 4)
+        fitted = cluster.fit(sample, columns)
         labelings[name] = cluster.ordered_labels(fitted.assign(orders), "price", names).select(*keys, "cluster_label")
     return cluster.cross_summary(cluster.labelings_attached(orders, keys, labelings), "intensity", "profile", "price")
 
