@@ -75,7 +75,7 @@ def fit(sample: DataFrame, columns: list[str], k_min: int = 2, k_max: int = 6, s
 def ordered_labels(df: DataFrame, by: str, names: list[str], how: str = "median") -> DataFrame:
     """df with cluster_label: clusters ranked by the median (or mean) of a column; the last name serves all further ones."""
     if how == "median":
-        ranks = key_quantiles(df, "cluster_id", by, [0.5]).select("cluster_id", F.col("q")[0].alias("__m"))
+        ranks = key_quantiles(df, ["cluster_id"], by, [0.5]).select("cluster_id", F.col("q")[0].alias("__m"))
     else:
         ranks = df.groupBy("cluster_id").agg(F.avg(by).alias("__m"))
     ranks = ranks.withColumn("__r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__m", "cluster_id")))

@@ -45,7 +45,7 @@ def macro_auc(df: DataFrame, truth: str, scores: dict) -> DataFrame:
     rows = df.select(truth, *[F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(scores.values())]).unpivot([truth], [f"s{i}" for i in range(len(labels))], "of", "s")
     label = F.create_map(*[F.lit(x) for i, k in enumerate(labels) for x in (f"s{i}", k)])[F.col("of")]
     by = rows.where("s is not null").groupBy(label.alias("class"), "s").agg(F.count_if(F.col(truth) == label).alias("pos"), F.count(F.lit(1)).alias("n"))
-    ranked = running_counts(by, "class", "s").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
+    ranked = running_counts(by, ["class"], "s").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
     p, n = F.sum("pos"), F.sum("n") - F.sum("pos")
     out = ranked.groupBy("class").agg(F.try_divide(F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2.0, (p * n).cast("double")).alias("auc"))
     return out.unionByName(out.agg(F.avg("auc").alias("auc")).select(F.lit(None).cast(out.schema["class"].dataType).alias("class"), "auc"))

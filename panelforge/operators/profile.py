@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranks import key_quantiles
+from .ranks import key_quantiles, with_medians
 
 #: Groups of columns by prefix of their names.
 FEATURE_GROUPS = (("prop_raca_", "proporcao_demografica"), ("prop_sexo_", "proporcao_demografica"), ("prop_gestante", "proporcao_demografica"), ("prop_", "proporcao_clinica"), ("qt_", "volume"), ("notificacoes_", "temporal"), ("week_of_year_", "temporal"), ("is_zero_", "temporal"), ("indice_", "indice_composto"), ("label_", "label_auxiliar"))
@@ -33,7 +33,9 @@ def melted(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame
 
 
 def yearly_summary(df: DataFrame, year: str, value: str, entity: str) -> DataFrame:
-    return df.groupBy(year).agg(F.sum(value).alias("total"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(value).alias("most"), F.countDistinct(F.when(F.col(value) > 0, F.col(entity))).alias("active_entities"))
+    """Per year: total, mean, median and largest value, and the entities with a value above 0."""
+    stats = df.groupBy(year).agg(F.sum(value).alias("total"), F.avg(value).alias("mean"), F.max(value).alias("most"), F.countDistinct(F.when(F.col(value) > 0, F.col(entity))).alias("active_entities"))
+    return with_medians(stats, df, [year], value)
 
 
 def period_totals(df: DataFrame, period: list[str], value: str) -> DataFrame:
@@ -57,7 +59,7 @@ def describe(df: DataFrame, columns: list[str], approximate: bool = False) -> Da
         *near, F.max("value").alias("max"), (F.lit(100.0) * F.count_if(F.col("value").isNull()) / F.count(F.lit(1))).alias("missing_pct"),
     )
     if not approximate:
-        stats = stats.join(F.broadcast(key_quantiles(melted(df, columns), "feature", "value", shares)), "feature", "left")
+        stats = stats.join(F.broadcast(key_quantiles(melted(df, columns), ["feature"], "value", shares)), "feature", "left")
     return stats.select("feature", "n", "mean", "std", "min", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "max", "missing_pct")
 
 
@@ -135,7 +137,8 @@ def counts_by(df: DataFrame, *columns: str) -> DataFrame:
 
 def group_summary(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Rows, mean, median and max of a value by group; exact over all rows."""
-    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(value).alias("most"))
+    stats = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(value).alias("mean"), F.max(value).alias("most"))
+    return with_medians(stats, df, groups, value)
 
 
 def class_shares(df: DataFrame, label: str, split: str) -> DataFrame:
@@ -145,7 +148,10 @@ def class_shares(df: DataFrame, label: str, split: str) -> DataFrame:
 
 
 def dataset_summary(df: DataFrame, value: str, key: str) -> DataFrame:
-    """One row: total, mean, median, std, coefficient of variation, q75, q90, and the key of the largest value (ties: smallest key)."""
+    """One row: total, mean, median, std, coefficient of variation, q75, q90, and the key of the largest value (ties: smallest key).
+
+    df is a table of periods: its quantiles hold all its distinct values in one buffer.
+    """
     mean, std = F.avg(value), F.stddev_samp(value)
     return df.agg(
         F.sum(value).alias("total"), mean.alias("mean"), F.median(value).alias("median"), std.alias("std"), F.try_divide(std, mean).alias("cv"),
@@ -217,5 +223,5 @@ def covered_columns(df: DataFrame, columns: list[str], least: int = 10, share: f
 
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing values become the column's median, or 0 where all are missing."""
-    medians = {r["feature"]: r["q"][0] for r in key_quantiles(melted(df, columns), "feature", "value", [0.5]).collect()}  # a row a column
+    medians = {r["feature"]: r["q"][0] for r in key_quantiles(melted(df, columns), ["feature"], "value", [0.5]).collect()}  # a row a column
     return df.fillna({c: float(medians.get(c) or 0.0) for c in columns})

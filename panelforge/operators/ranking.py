@@ -23,7 +23,7 @@ def anova_f(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
 
 def mutual_information(df: DataFrame, label: str, columns: list[str], bins: int = 10) -> DataFrame:
     """Mutual information in nats of the class and each column cut at its quantiles into equal-frequency bins."""
-    cuts = {r["feature"]: r["q"] for r in key_quantiles(melted(df, columns), "feature", "value", [i / bins for i in range(1, bins)]).collect()}  # a row a column
+    cuts = {r["feature"]: r["q"] for r in key_quantiles(melted(df, columns), ["feature"], "value", [i / bins for i in range(1, bins)]).collect()}  # a row a column
     coded = [F.when(F.col(c).isNotNull(), sum((F.when(F.col(c) > F.lit(float(q)), 1).otherwise(0) for q in cuts[c]), F.lit(0))).alias(c) for c in columns if c in cuts]
     rows = df.select(label, *coded).unpivot([label], [c for c in columns if c in cuts], "feature", "bin").where("bin is not null")
     cell = rows.groupBy("feature", label, "bin").agg(F.count(F.lit(1)).alias("n"))

@@ -2,36 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut_lineage
 
 
-def running_counts(counts: DataFrame, key: str, value: str, n: str = "n") -> DataFrame:
+def _attached(left: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the other columns of small (a row a key, broadcast); null keys meet null keys."""
+    other = small.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = reduce(Column.__and__, [left[k].eqNullSafe(other[f"__r_{k}"]) for k in keys])
+    return left.join(F.broadcast(other), same).drop(*[f"__r_{k}" for k in keys])
+
+
+def running_counts(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
     """counts (one row a key and value, n rows each) with ``before``: the rows of the key with smaller values.
 
-    Spark deals the values out by range; sums over the ranges come from a small table, those inside a range from a window.
+    Spark deals the values out by range; sums over the ranges come from a small table (a row for each key and range that
+    it has values in), those inside a range from a window.
     """
-    dealt = cut_lineage(counts.repartitionByRange(key, value).withColumn("__part", F.spark_partition_id()))
-    ahead = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy(key, "__part").agg(F.sum(n).alias("__n")).withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).drop("__n")
-    inside = Window.partitionBy(key, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.join(F.broadcast(parts), [key, "__part"])  # a row for each key and partition
+    dealt = cut_lineage(counts.repartitionByRange(*keys, value).withColumn("__part", F.spark_partition_id()))
+    ahead = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*keys, "__part").agg(F.sum(n).alias("__n")).withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).drop("__n")
+    inside = Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = _attached(dealt, parts, [*keys, "__part"])
     return out.withColumn("before", F.col("__ahead") + F.coalesce(F.sum(n).over(inside), F.lit(0))).drop("__part", "__ahead")
 
 
-def key_quantiles(df: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
-    """key and ``q``: the linear quantiles of the key's known values, exact at any number of rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    rows = running_counts(counts, key, value)
-    rows = rows.join(F.broadcast(rows.groupBy(F.col(key).alias("__key")).agg(F.max(F.col("before") + F.col("n")).alias("__total"))), F.col(key).eqNullSafe(F.col("__key")))
-    total = F.col("__total")
+def key_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """keys and ``q``: the linear quantiles of each key's known values, exact at any number of rows.
+
+    Meant for few keys with many values; many keys with few values each want F.percentile.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    rows = running_counts(counts, keys, value)
+    rows = _attached(rows, rows.groupBy(*keys).agg(F.max(F.col("before") + F.col("n")).alias("__total")), keys)
 
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("before") + F.col("n") > rank, F.col(value).cast("double")))
 
-    place = [(total - 1) * F.lit(float(s)) for s in shares]
+    place = [(F.col("__total") - 1) * F.lit(float(s)) for s in shares]
     ends = [x for i, h in enumerate(place) for x in (at(F.floor(h)).alias(f"__a{i}"), at(F.ceil(h)).alias(f"__b{i}"), F.max(h - F.floor(h)).alias(f"__f{i}"))]
-    found = rows.groupBy(key).agg(*ends)
-    return found.select(key, F.array(*[F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * F.col(f"__f{i}") for i in range(len(shares))]).alias("q"))
+    found = rows.groupBy(*keys).agg(*ends)
+    return found.select(*keys, F.array(*[F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * F.col(f"__f{i}") for i in range(len(shares))]).alias("q"))
+
+
+def with_medians(stats: DataFrame, df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """stats (a row a key) with ``median`` of a value of df; null where the key has no known value."""
+    found = key_quantiles(df, keys, value, [0.5]).select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col("q")[0].alias("median"))
+    same = reduce(Column.__and__, [stats[k].eqNullSafe(found[f"__r_{k}"]) for k in keys])
+    return stats.join(F.broadcast(found), same, "left").drop(*[f"__r_{k}" for k in keys])

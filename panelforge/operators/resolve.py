@@ -53,11 +53,13 @@ def resolve_place(records: DataFrame, territory: DataFrame, codes: list[tuple[st
         out = out.withColumn(f"__d_{name}", digits)
         for kind, size, table in (("7", 7, exact), ("6", 6, by_six)):
             hit = table.select(F.col("t_key").alias(f"__k{kind}_{name}"), F.col("t_code").alias(f"__c{kind}_{name}"))
-            out = out.join(small(hit), F.substring(f"__d_{name}", 1, size) == F.col(f"__k{kind}_{name}"), "left")
+            # A code that is too short meets nothing: as a null it does not gather rows under one key.
+            start = F.when(F.length(f"__d_{name}") >= size, F.substring(f"__d_{name}", 1, size))
+            out = out.join(small(hit), start == F.col(f"__k{kind}_{name}"), "left")
         d = F.col(f"__d_{name}")
         rule = (
-            F.when(F.col(f"__c7_{name}").isNotNull() & (F.length(d) >= 7), F.struct(F.col(f"__c7_{name}").alias("c"), F.lit("direct_7d").alias("r"), F.lit(name).alias("f")))
-            .when(F.col(f"__c6_{name}").isNotNull() & (F.length(d) >= 6), F.struct(F.col(f"__c6_{name}").alias("c"), F.lit("prefix_6d_to_7d").alias("r"), F.lit(name).alias("f")))
+            F.when(F.col(f"__c7_{name}").isNotNull(), F.struct(F.col(f"__c7_{name}").alias("c"), F.lit("direct_7d").alias("r"), F.lit(name).alias("f")))
+            .when(F.col(f"__c6_{name}").isNotNull(), F.struct(F.col(f"__c6_{name}").alias("c"), F.lit("prefix_6d_to_7d").alias("r"), F.lit(name).alias("f")))
             .when(F.startswith(d, F.lit(prefix)) & is_state, F.struct(F.lit(target).alias("c"), F.lit("df_prefix_fallback").alias("r"), F.lit(name).alias("f")))
         )
         picks.append(rule)

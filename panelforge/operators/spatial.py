@@ -57,7 +57,7 @@ def nearest_site(places: DataFrame, sites: DataFrame, radii: tuple = (50, 100),
     """Per place: the nearest site (ties: the smallest), its distance to two digits, sites within each radius, and whether none covers it.
 
     Places and sites of one position are one row in the joins. A join on grid cells as wide as the largest radius gives
-    all counts and the nearest sites within it; positions without any repeat alone with cells of twice the width, until
+    all counts and the nearest sites within it; positions without any repeat alone with cells of three times the width, until
     each has a site, so a position far from all sites meets more of them.
     """
     at, counts = ["latitude", "longitude"], [f"n_within_{r}km" for r in radii]
@@ -73,8 +73,9 @@ def nearest_site(places: DataFrame, sites: DataFrame, radii: tuple = (50, 100),
     width = max(1.0, uncovered_km, *radii)
     found = near(spots, width)
     rest = cut_lineage(spots.join(found, at, "left_anti"))
-    while width < HALF_ROUND_KM and not s.isEmpty() and not rest.isEmpty():
-        width *= 2
+    some = not s.isEmpty()
+    while some and width < HALF_ROUND_KM and not rest.isEmpty():
+        width *= 3
         more = near(rest, width)
         found, rest = found.unionByName(more), cut_lineage(rest.join(more, at, "left_anti"))
     out = p.join(found, at).groupBy("place").agg(F.min("best").alias("best"), *[F.sum(c).alias(c) for c in counts])

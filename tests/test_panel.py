@@ -204,15 +204,15 @@ def test_exact_quantiles_by_ranges(spark):
     import numpy as np
 
     rng = random.Random(1)
-    rows = [("a", rng.choice([rng.gauss(0, 5), 1.0, 2.0])) for _ in range(3001)] + [("b", float(i)) for i in range(10)] + [("c", None), ("d", 7.0)]
+    rows = [("a", rng.choice([rng.gauss(0, 5), 1.0, 2.0])) for _ in range(3001)] + [("b", float(i)) for i in range(10)] + [("c", None), ("d", 7.0), (None, 1.0), (None, 4.0)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(7)
-    got = {r["k"]: r["q"] for r in ranks.key_quantiles(df, "k", "v", [0.0, 0.1, 0.5, 0.77, 1.0]).collect()}
-    assert set(got) == {"a", "b", "d"}
+    got = {r["k"]: r["q"] for r in ranks.key_quantiles(df, ["k"], "v", [0.0, 0.1, 0.5, 0.77, 1.0]).collect()}
+    assert set(got) == {"a", "b", "d", None}
     for k, q in got.items():
         want = np.quantile([v for x, v in rows if x == k], [0.0, 0.1, 0.5, 0.77, 1.0])
         assert np.allclose(q, want)
     counts = df.where("v is not null").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-    for r in ranks.running_counts(counts, "k", "v").where("k = 'b'").collect():
+    for r in ranks.running_counts(counts, ["k"], "v").where("k = 'b'").collect():
         assert r["before"] == r["v"]
 
 
