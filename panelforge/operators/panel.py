@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut_lineage
+
 
 def case_panel(cases: DataFrame, keys: list[str], features: list[str], flags: list[str], first: list[str] = (), count: str = "cases") -> DataFrame:
     """One row a key: count, mean of each feature over its known values, rounded sum of each flag, first provenance.
@@ -26,8 +28,8 @@ def densify(panel: DataFrame, entity: list[str], period: list[str], zero: list[s
     labels: text for unobserved rows by column; copy: column to fill from another. The calendar is broadcast: a row a
     period, checked against max_periods, beyond which the join is left to Spark.
     """
-    calendar = panel.select(*period).distinct()
-    if calendar.limit(max_periods + 1).count() <= max_periods:
+    calendar = cut_lineage(panel.select(*period).distinct())  # counted here, and not made again in the join
+    if calendar.count() <= max_periods:
         calendar = F.broadcast(calendar)
     grid = panel.select(*entity).distinct().crossJoin(calendar)
     out = grid.join(panel, [*entity, *period], "left")

@@ -42,7 +42,7 @@ def _with_target(spark, sf_dir):
 
 @query()
 def kmeans_sweep(spark, sf_dir):
-    sample = sampling.hash_sample(_orders(spark, sf_dir), ["l_orderkey"], 5000)
+    sample = sampling.hash_sample(_orders(spark, sf_dir), ["l_orderkey"], 60_000)
     fitted = cluster.fit(sample, ["lines", "quantity", "price", "discount"])
     return fitted.evaluation(sample)
 
@@ -51,7 +51,7 @@ def kmeans_sweep(spark, sf_dir):
 def cluster_labels(spark, sf_dir):
     """Fit two profiles on a sample, score every row, rank clusters by their median, attach both labelings and cross them."""
     orders, keys = cut_lineage(_orders(spark, sf_dir)), ["l_orderkey"]
-    sample = sampling.hash_sample(orders, keys, 5000)
+    sample = sampling.hash_sample(orders, keys, 60_000)
     labelings = {}
     for name, columns, names in (("intensity", ["quantity", "price"], ["low", "middle", "high"]), ("profile", ["discount", "lines"], ["a", "b", "c", "d"])):
         fitted = cluster.fit(sample, columns)
