@@ -83,6 +83,12 @@ def ordered_labels(df: DataFrame, by: str, names: list[str], how: str = "median"
     return df.join(F.broadcast(ranks.select("cluster_id", label.alias("cluster_label"))), "cluster_id")
 
 
+def inertia(df: DataFrame, columns: list[str], cluster: str = "cluster_id") -> DataFrame:
+    """Per cluster: rows and the summed squared distance of its rows to their mean, in one aggregation."""
+    n = F.count(F.lit(1))
+    return df.groupBy(cluster).agg(n.alias("n_rows"), sum((F.var_pop(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) * n for c in columns), F.lit(0.0)).alias("inertia"))
+
+
 def labelings_attached(df: DataFrame, on: list[str], labelings: dict[str, DataFrame], label: str = "cluster_label") -> DataFrame:
     """df with the label of each labeling (of columns ``on`` and label) under the labeling's name; null where it has none."""
     out = df

@@ -150,6 +150,16 @@ def folds(years: list[int], first_after: int = 5, step: int = 3) -> list[dict]:
     return [{"test_year": y, "validation_year": y - 1, "train_until": y - 2} for y in chosen]
 
 
+def fold_rows(df: DataFrame, year: str, first_after: int = 5, step: int = 3) -> DataFrame:
+    """Per fold: its years, and the rows that train, validate and test it."""
+    counts = df.groupBy(year).agg(F.count(F.lit(1)).alias("n"))
+    plan = df.sparkSession.createDataFrame([(f["test_year"], f["validation_year"], f["train_until"]) for f in folds([r[0] for r in counts.collect()], first_after, step)], "test_year int, validation_year int, train_until int")
+    part = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    y = F.col(year)
+    met = counts.join(F.broadcast(plan), y <= F.col("test_year"))  # a row a year and fold
+    return met.groupBy(*plan.columns).agg(part(y <= F.col("train_until")).alias("n_train"), part(y == F.col("validation_year")).alias("n_validation"), part(y == F.col("test_year")).alias("n_test"))
+
+
 def walk_forward(df: DataFrame, target: str, columns: list[str], year: str, first_after: int = 5, step: int = 3, **params) -> DataFrame:
     """Metrics of each fold's test year."""
     years = [r[0] for r in df.select(year).distinct().collect()]

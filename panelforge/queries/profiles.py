@@ -150,6 +150,28 @@ def sample_assigned(spark, sf_dir):
     return cluster.sample_assigned(sampling.hash_sample(o.select(*keys, "o_totalprice"), keys, 1000), labels, keys)
 
 
+@query("cluster_label:string n_rows:bigint mean:r6", """with r as (select k, row_number() over (order by m, k) as r from (select o_custkey % 5 as k, median(o_totalprice) as m from orders group by 1) t)
+    select case least(r, 3) when 1 then 'low' when 2 then 'middle' else 'high' end as cluster_label, count(*) as n_rows, avg(o_totalprice) as mean from orders join r on k = o_custkey % 5 group by 1""")
+def cluster_order(spark, sf_dir):
+    """Names of given clusters by the rank of their median; the last name serves all further ones."""
+    o = table(spark, sf_dir, "orders").withColumn("cluster_id", F.col("o_custkey") % 5)
+    named = cluster.ordered_labels(o, "o_totalprice", ["low", "middle", "high"])
+    return named.groupBy("cluster_label").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("o_totalprice").alias("mean"))
+
+
+@query("cluster_id:bigint n_rows:bigint inertia:r6", """select k as cluster_id, count(*) as n_rows, sum((q - mq) * (q - mq) + (x - mx) * (x - mx)) as inertia from (select *, avg(q) over (partition by k) as mq, avg(x) over (partition by k) as mx
+    from (select l_suppkey % 4 as k, l_quantity as q, l_tax * 100 as x from lineitem) t) u group by k""")
+def cluster_inertia(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).alias("cluster_id"), "l_quantity", (F.col("l_tax") * 100).alias("tax"))
+    return cluster.inertia(li, ["l_quantity", "tax"])
+
+
+@query("test_year:int validation_year:int train_until:int n_train:bigint n_validation:bigint n_test:bigint", f"""with {DENSE_CTE}, y as (select {_YEAR} as y, count(*) as n from dense group by 1), f as (select y as test_year from y, (select min(y) as a, max(y) as b from y) z where y >= a + 4 and ((y - a - 4) % 3 = 0 or y = b))
+    select test_year, test_year - 1 as validation_year, test_year - 2 as train_until, coalesce(sum(n) filter (y <= test_year - 2), 0) as n_train, coalesce(sum(n) filter (y = test_year - 1), 0) as n_validation, sum(n) filter (y = test_year) as n_test from f join y on y <= test_year group by test_year""")
+def walk_forward_folds(spark, sf_dir):
+    return forecast.fold_rows(_yearly(spark, sf_dir), "ano", first_after=4)
+
+
 @query("feature:string anova_f:r6", "select * from (" + " union all ".join(_f_sql(c) for c in ("l_quantity", "l_discount", "l_tax")) + ") t order by anova_f desc, feature limit 2")
 def top_features(spark, sf_dir):
     return panel_query.top_features(ranking.anova_f(table(spark, sf_dir, "lineitem"), "l_returnflag", ["l_quantity", "l_discount", "l_tax"]), "anova_f", 2)
