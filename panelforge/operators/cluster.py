@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .profile import numeric_columns
 from .ranks import key_quantiles
+from .together import at_once
 
 
 def feature_columns(df: DataFrame, without: tuple, profile: bool = False, volume: str = "notificacoes") -> list[str]:
@@ -58,17 +59,19 @@ def fit(sample: DataFrame, columns: list[str], k_min: int = 2, k_max: int = 6, s
     stats = {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
     shell = Clusters(columns, stats, None)
     data = shell.vectors(sample).select("__x").cache()
-    best = None
-    for k in range(k_min, max(k_min, min(k_max, row["n"] - 1)) + 1):
+
+    def one(k: int) -> tuple:
         model = KMeans(featuresCol="__x", predictionCol="__cluster", k=k, seed=seed).fit(data)
         done = model.transform(data)
         found = done.select("__cluster").distinct().count()
         score = ClusteringEvaluator(featuresCol="__x", predictionCol="__cluster").evaluate(done) if found > 1 else -1.0
-        shell.sweep.append((k, float(score), float(model.summary.trainingCost)))
-        if best is None or score > best[0]:
-            best = (score, model)
+        return k, float(score), float(model.summary.trainingCost), model
+
+    data.count()  # the cache is filled once, before the fits share it
+    done = at_once(one, range(k_min, max(k_min, min(k_max, row["n"] - 1)) + 1))
     data.unpersist()
-    shell.model = best[1]
+    shell.sweep = [d[:3] for d in done]
+    shell.model = max(done, key=lambda d: (d[1], -d[0]))[3]
     return shell
 
 

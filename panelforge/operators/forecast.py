@@ -4,21 +4,19 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import paired_t, regression_metrics
 from .sampling import hash_order
+from .together import at_once
 from .windows import leads
 
 #: Last years of the training and of the validation split.
@@ -27,16 +25,6 @@ TRAIN_UNTIL, VALIDATE_UNTIL = 2019, 2022
 SPACE = {"maxDepth": (3, 8, "int"), "stepSize": (0.01, 0.3, "log"), "subsamplingRate": (0.5, 1.0, "real"), "minInstancesPerNode": (1, 50, "int"), "maxIter": (10, 60, "int")}
 
 
-#: Fits that run at once; each is many small jobs.
-PARALLEL = 4
-
-
-def at_once(work: Callable, items: list) -> list:
-    """work of each item in order, some at a time, with the caller's job properties."""
-    with ThreadPoolExecutor(PARALLEL) as pool:
-        return list(pool.map(inheritable_thread_target(SparkSession.active())(work), items))
-
-
 def split_by_year(year: Column, train_until: int = TRAIN_UNTIL, validate_until: int = VALIDATE_UNTIL) -> Column:
     return F.when(year <= train_until, "train").when(year <= validate_until, "validation").otherwise("test")
 
@@ -136,7 +124,7 @@ def multi_horizon(df: DataFrame, value: str, entity: list[str], period: list[str
         fitted = fit_counts(rows.where(F.col(year) <= train_until), "target", columns, **params)
         return fitted.predict(rows.where(F.col(year) > train_until)).select(F.lit(h).alias("horizon"), "target", "prediction")
 
-    out = regression_metrics(reduce(DataFrame.unionByName, at_once(one, list(horizons))), "target", "prediction", ["horizon"])
+    out = regression_metrics(reduce(DataFrame.unionByName, at_once(one, horizons)), "target", "prediction", ["horizon"])
     return out.withColumn("rmse_ratio", F.try_divide("rmse", F.first("rmse").over(Window.partitionBy(F.lit(0)).orderBy("horizon"))))
 
 
@@ -220,10 +208,10 @@ def permutation_importance(fitted: Regressor, df: DataFrame, target: str, keys:
     everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     moved = {c: F.coalesce(F.lead(c).over(w), F.first(c).over(everything)) for c in fitted.columns}
     rows = rows.withColumns({f"__moved{i}": moved[c] for i, c in enumerate(fitted.columns)})
-    base = regression_metrics(fitted.predict(rows), target, "prediction").first()["rmse"]
-    out = []
-    for i, c in enumerate(fitted.columns):
-        scored = fitted.predict(rows.withColumn(c, F.col(f"__moved{i}")))
-        out.append((c, regression_metrics(scored, target, "prediction").first()["rmse"] - base, bool(family and c.startswith(family))))
+    # Rows with every column as it is, and once for each column with that one moved: scored and measured in one job.
+    each = [F.struct(F.lit(i).alias("of"), *[F.col(f"__moved{k}" if k == i else c).alias(c) for k, c in enumerate(fitted.columns)]) for i in range(-1, len(fitted.columns))]
+    versions = rows.select(F.col(target).alias("__target"), F.explode(F.array(*each)).alias("v")).select("__target", "v.*")
+    found = {r["of"]: r["rmse"] for r in regression_metrics(fitted.predict(versions), "__target", "prediction", ["of"]).collect()}
+    out = [(c, found[i] - found[-1], bool(family and c.startswith(family))) for i, c in enumerate(fitted.columns)]
     table = df.sparkSession.createDataFrame(out, "feature string, importance double, in_family boolean")
     return table.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "feature")))

@@ -281,3 +281,9 @@ def test_missingness_in_one_pass(spark):
     df = spark.createDataFrame([(1, None), (1, "a"), (2, "b"), (None, "b")], "x int, y string")
     exact, near = profile.missingness(df), profile.missingness(df, approximate=True)
     assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, near.select(*exact.columns).collect()))
+
+
+def test_permutation_importance(learnable):
+    fitted = forecast.fit_counts(learnable, "target", ["x", "noise"], maxIter=5, maxDepth=3)
+    out = {r["feature"]: r for r in forecast.permutation_importance(fitted, learnable, "target", ["i"], family="no", parts=4).collect()}
+    assert out["x"]["rank"] == 1 and out["x"]["importance"] > 1 > out["noise"]["importance"] and out["noise"]["in_family"] and not out["x"]["in_family"]
