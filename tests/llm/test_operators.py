@@ -310,6 +310,18 @@ def test_near_copies_edges(edge_docs, no_docs):
     assert left.columns == edge_docs.columns and left.where("doc_id = 2").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_near_copies_by_other_ids(spark, kind):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [("3", base), ("20", base + " more"), ("100", "nothing like it at all"), ("3", base), ("7", base.upper()), ("100", base + " words")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(df, 5).collect()}
+    # An id with two texts is one document: 100 is linked by its second text.
+    assert {str(k): str(v) for k, v in got.items()} == dict.fromkeys(("3", "20", "7", "100"), "100" if kind == "string" else "3")
+    with pytest.raises(TypeError):
+        near_dedup.near_components(df.withColumn("doc_id", F.col("doc_id").cast("double")))
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101)], "a bigint, b bigint").repartition(7)
     got = {r["id"]: r["component"] for r in near_dedup.components(edges).collect()}
