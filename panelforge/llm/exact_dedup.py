@@ -13,7 +13,7 @@ only; the largest group of copies passes through partial aggregation and skew-sp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, lower_ascii, unused
@@ -95,12 +95,19 @@ def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
     Rows that repeat in id and text keep one row, any of them where their other columns differ.
     """
-    gone = find_duplicates(docs, text_col=text_col, id_col=id_col).where((F.col("group_size") > 1) & ~F.col("kept"))
-    sha, key, r_sha, r_key, drop, nth = unused(docs, "sha", "key", "r_sha", "r_key", "drop", "nth")
-    # Of a repeated row some copies stay: count what to drop of each id and text.
-    gone = gone.groupBy(F.col(id_col).alias(r_key), F.col("text_sha256").alias(r_sha)).agg(F.count(F.lit(1)).alias(drop))
+    sha, key, r_sha, r_key, drop, rows = unused(docs, "sha", "key", "r_sha", "r_key", "drop", "rows")
+    found = find_duplicates(docs, text_col=text_col, id_col=id_col)
+    gone = found.groupBy(F.col(id_col).alias(r_key), F.col("text_sha256").alias(r_sha)).agg(F.count_if(~F.col("kept")).alias(drop), F.count(F.lit(1)).alias(rows))
+    gone = cut_lineage(gone.where(F.col(drop) > 0))
     text = F.coalesce(lower_ascii(F.col(text_col).cast("string")), F.lit(""))
     keyed = docs.withColumns({sha: F.sha2(text.cast("binary"), 256), key: F.col(id_col)})
-    joined = keyed.join(gone, keyed[key].eqNullSafe(gone[r_key]) & (keyed[sha] == gone[r_sha]), "left")
-    joined = joined.withColumn(nth, F.row_number().over(Window.partitionBy(key, sha).orderBy(key)))
-    return joined.where(F.col(drop).isNull() | (F.col(nth) > F.col(drop))).select(*docs.columns)
+
+    def met(left: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        return left.join(some, left[key].eqNullSafe(some[r_key]) & (left[sha] == some[r_sha]), how)
+
+    out = met(keyed, gone.where(F.col(drop) == F.col(rows)), "left_anti")
+    # Of rows that repeat in id and text as the one that stays, one stays; most tables have none of these.
+    some = gone.where(F.col(drop) < F.col(rows))
+    if some.limit(1).count():
+        out = met(out, some, "left_anti").unionByName(met(keyed, some, "left_semi").dropDuplicates([key, sha]))
+    return out.select(*docs.columns)

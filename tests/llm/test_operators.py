@@ -176,6 +176,15 @@ def test_exact_deduplicate_keeps_one_row_each(edge_docs):
     assert len(left) == len(brute_copies(edge_docs.collect())) and {1} .isdisjoint(r["doc_id"] for r in left) and sum(r["doc_id"] == 10 for r in left) == 1
 
 
+def test_exact_deduplicate_of_repeated_rows(spark):
+    """Ids that repeat with one text and with several, nulls among them: one row of each text stays, that of its largest id."""
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "A"), (2, "a"), (2, "c"), (None, "d"), (None, "D"), (None, "a"), (3, "e"), (3, "e"), (3, "e"), (4, None), (4, ""), (5, None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, place int").repartition(4)
+    left = exact_dedup.deduplicate(df).collect()
+    assert Counter((r["doc_id"], (r["text"] or "").lower()) for r in left) == Counter({(1, "b"): 1, (2, "a"): 1, (2, "c"): 1, (None, "d"): 1, (3, "e"): 1, (5, ""): 1})
+    assert all(rows[r["place"]] == (r["doc_id"], r["text"]) for r in left)
+
+
 # 4: lines
 
 
