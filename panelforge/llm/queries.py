@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint, language_id, line_dedup, mixing, near_dedup, packing, quality, token_count, url_filter
+from . import conversation_repair, exact_dedup, fingerprint, language_id, line_dedup, mixing, near_dedup, packing, periodic_runs, quality, substring_dedup, token_count, url_filter
 from .common import fold, read_table
 
 
@@ -62,9 +62,37 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = periodic_runs.collapse_runs(periodic_runs.with_planted_runs(docs))
+    best = periodic_runs.strongest(F.col("runs"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return out.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(conversations), everyone=conversations)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_language_id, op3_exact_dedup, op4_line_dedup, op5_best_fit_packing, op6_minhash_near_dedup, op7_url_filter, op8_quality, op9_source_mixing, op10_fingerprints)
+    for f in (
+        op1_token_counts, op2_language_id, op3_exact_dedup, op4_line_dedup, op5_best_fit_packing, op6_minhash_near_dedup, op7_url_filter, op8_quality, op9_source_mixing, op10_fingerprints,
+        op11_substring_dedup, op12_periodic_runs, op13_conversation_repair,
+    )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -88,6 +116,19 @@ ORACLES = {
                cast(length(coalesce(a.kept, '')) as bigint) as n_chars_left, sha256(coalesce(a.kept, '')) as text_sha256
         from t left join a using (doc_id)
     """,
+    "op11_substring_dedup": r"""
+        with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        p as (select doc_id, w, unnest(range(1, len(w) - 11)) as i from t where len(w) >= 13),
+        g as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as win from p),
+        m as (select win, min(doc_id) as least from g group by win),
+        b as (select distinct g.doc_id, g.i from g join m using (win) where g.doc_id > m.least),
+        c as (select distinct doc_id, i + k as pos from b, (select unnest(range(0, 13)) as k) s),
+        e as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from t),
+        a as (select doc_id, count(*) filter (c.pos is not null) as n_removed, coalesce(string_agg(word, ' ' order by pos) filter (c.pos is null), '') as kept
+              from e left join c using (doc_id, pos) group by doc_id)
+        select t.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from t left join a using (doc_id)
+    """,
     "op9_source_mixing": r"""
         with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
                           md5('9|' || coalesce(cast(doc_id as varchar), '')) as h from documents),
