@@ -143,6 +143,33 @@ def test_language_by_hand(spark, monkeypatch):
         assert got == [x for x, _ in want] and np.allclose(share, [p for _, p in want], rtol=1e-4)
 
 
+def test_language_numerals(corpus, spark):
+    """Numerals of any script are no letters."""
+    model = language_id.train(corpus, F.lit(True))
+    numerals = ["½", "²", "①", "Ⅳ", "٣", "൰", "１２", "🄁", "½ ② -- _ 7"]
+    assert all(language_id.has_letter(t) == any(c.isalpha() for c in t) for t in [*numerals, "a½", "", "é", "文"])
+    df = spark.createDataFrame(list(enumerate([*numerals, "½ the cat"])), "doc_id int, text string")
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(df, model).collect()}
+    assert all(out[i] == ("und", 0.0) for i in range(len(numerals))) and out[len(numerals)][0] != "und"
+
+
+def test_language_many(spark):
+    """Above the languages of one block, blocks give the answers of one model."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: letters[i % 26] + letters[i // 26 % 26] + letters[i // 676] + letters[i * 7 % 26]
+    rows = [(i, f"l{i:04d}", f"{word(i)} {word(i)[::-1]}") for i in range(2001)]
+    df = spark.createDataFrame(rows, "doc_id int, lang string, text string")
+    model = language_id.train(df, F.lit(True), buckets=256)
+    assert [len(b.languages) for b in model.blocks] == [2000, 1] and len(model.languages) == 2001
+    one = language_id.LanguageModel([language_id.LanguageBlock(model.languages, np.hstack([b.log_probs for b in model.blocks]), np.concatenate([b.log_prior for b in model.blocks]))])
+    some = df.where("doc_id % 40 = 0").unionByName(df.where("doc_id = 80")).unionByName(df.where("doc_id = 0").selectExpr("cast(null as int) as doc_id", "lang", "cast(null as string) as text"))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"])
+    several, whole = (sorted(language_id.identify(some, m).collect(), key=key) for m in (model, one))
+    assert [(r["doc_id"], r["lang_pred"]) for r in several] == [(r["doc_id"], r["lang_pred"]) for r in whole]
+    assert np.allclose([r["score"] for r in several], [r["score"] for r in whole]) and several[-1]["lang_pred"] == "und"
+    assert sum(r["lang_pred"] == f"l{r['doc_id']:04d}" for r in several[:-1]) > 40
+
+
 # 3: exact copies
 
 
