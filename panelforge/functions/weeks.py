@@ -44,6 +44,11 @@ def week_start(week: Column, calendar: str = "jan4") -> Column:
     return F.date_add(first, 7 * (number - 1))
 
 
+def week_number(week: Column, calendar: str = "jan4") -> Column:
+    """A running number of the week YYYYWW, one higher from week to week, also over a year of 53."""
+    return F.floor(F.datediff(week_start(week, calendar), F.lit("1970-01-01").cast("date")) / 7)
+
+
 def _number(text: Column, at: int, size: int) -> Column:
     return F.substring(text, at, size).try_cast("int")
 

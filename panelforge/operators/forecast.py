@@ -7,13 +7,11 @@ import random
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .boosting import Boosted, assembled, boost
 from .metrics import paired_t, regression_metrics
 from .sampling import hash_order
 from .together import at_once
@@ -29,14 +27,6 @@ def split_by_year(year: Column, train_until: int = TRAIN_UNTIL, validate_until:
     return F.when(year <= train_until, "train").when(year <= validate_until, "validation").otherwise("test")
 
 
-def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df with the vector __x of the columns; unknown values become 0 with an indicator beside them, so trees can tell."""
-    filled = {f"__f{i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(columns)}
-    known = {f"__k{i}": F.col(c).isNull().cast("double") for i, c in enumerate(columns)}
-    names = [*filled, *known]
-    return VectorAssembler(inputCols=names, outputCol="__x").transform(df.withColumns(filled | known)).drop(*names)
-
-
 @dataclass
 class Regressor:
     columns: list[str]
@@ -54,7 +44,10 @@ class Regressor:
 
 
 def fit_counts(df: DataFrame, target: str, columns: list[str], validation: Column | None = None, seed: int = 42, **params) -> Regressor:
-    """Boosted regression trees on rows with a target; validation marks the rows that stop training early."""
+    """Spark's boosted regression trees on rows with a target; validation marks the rows that stop training early.
+
+    They stop by Spark's tolerance; ``boosting.boost`` stops by rounds without improvement and keeps both losses.
+    """
     options = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8} | params
     rows = assembled(df.where(F.col(target).isNotNull()).withColumn("__y", F.col(target).cast("double")), columns)
     trainer = GBTRegressor(featuresCol="__x", labelCol="__y", seed=seed, **options)
@@ -64,47 +57,29 @@ def fit_counts(df: DataFrame, target: str, columns: list[str], validation: Colum
     return Regressor(columns, trainer.fit(rows))
 
 
-def training_curve(fitted: Regressor, df: DataFrame, target: str) -> DataFrame:
-    """Root mean squared error on df after each tree."""
-    rows = assembled(df.where(F.col(target).isNotNull()).withColumn("__y", F.col(target).cast("double")), fitted.columns)
-    errors = fitted.model.setParams(labelCol="__y") if hasattr(fitted.model, "setParams") else fitted.model
-    values = errors.evaluateEachIteration(rows.withColumn("label", F.col("__y")), "squared")
-    return df.sparkSession.createDataFrame([(i + 1, math.sqrt(v)) for i, v in enumerate(values)], "round int, rmse double")
+def training_curve(fitted: Boosted, spark: SparkSession) -> DataFrame:
+    """Root mean squared errors of the training and the validation rows after each round, and whether it was kept."""
+    rows = [(i, train, held, i <= len(fitted.trees)) for i, train, held in fitted.curve]
+    return spark.createDataFrame(rows, "round int, train_rmse double, val_rmse double, kept boolean")
 
 
-def classify_risk(train: DataFrame, test: DataFrame, target: str, columns: list[str], validation: Column | None = None, classes: int = 4, seed: int = 42, **params) -> DataFrame:
-    """test with the predicted class and the probability of each class.
+def classify_risk(train: DataFrame, test: DataFrame, target: str, columns: list[str], validation: Column | None = None, classes: int = 4, **params) -> DataFrame:
+    """test with the predicted class and the probability of each class, of one model of all classes.
 
-    Boosted trees of each class against the others; validation marks the rows of train that stop them early. The classes'
-    probabilities are scaled to sum to 1; a class that train lacks has probability 0.
+    validation marks the rows of train that stop it early; params: rounds, patience and more of ``boosting.boost``. A class
+    that train lacks has probability 0; with one class only, that one has 1.
     """
-    options = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8} | params
-    rows = assembled(train.where(F.col(target).isNotNull()), columns).withColumn("__v", F.lit(False) if validation is None else validation)
-    seen = {r[0] for r in rows.where("not __v").select(F.col(target).cast("int")).distinct().collect()}
-
-    def fit(k: int):
-        trainer = GBTClassifier(featuresCol="__x", labelCol="__y", seed=seed, predictionCol=f"__p{k}", **options).setProbabilityCol(f"__prob{k}").setRawPredictionCol(f"__raw{k}")
-        if validation is not None:
-            trainer = trainer.setParams(validationIndicatorCol="__v")
-        return trainer.fit(rows.withColumn("__y", (F.col(target) == k).cast("double")))
-
-    known = [k for k in range(classes) if k in seen]
-    if len(known) < 2:
-        return test.withColumns({f"p_{k}": F.lit(float(k in known)) for k in range(classes)} | {"predicted": F.lit(known[0] if known else 0)})
-    out = assembled(test, columns)
-    for model in at_once(fit, known):
-        out = model.transform(out)
-    share = {k: vector_to_array(F.col(f"__prob{k}"))[1] for k in known}
-    total = sum(share.values(), F.lit(0.0))
-    out = out.withColumns({f"p_{k}": share[k] / total if k in share else F.lit(0.0) for k in range(classes)})
-    best = F.array_max(F.array(*[F.struct(F.col(f"p_{k}").alias("p"), F.lit(-k).alias("k")) for k in range(classes)]))["k"]
-    return out.withColumn("predicted", -best).select(*test.columns, *[f"p_{k}" for k in range(classes)], "predicted")
-
-
-def ablation(df: DataFrame, target: str, columns: list[str], family: str, split: str = "split", **params) -> DataFrame:
+    fitted = boost(train, target, columns, validation, classes=True, **params)
+    if len(fitted.labels) < 2:
+        only = fitted.labels[0] if fitted.labels else 0
+        return test.withColumns({f"p_{k}": F.lit(float(k in fitted.labels)) for k in range(classes)} | {"predicted": F.lit(only)})
+    return fitted.probabilities(test, classes)
+
+
+def ablation(df: DataFrame, target: str, columns: list[str], family: str, split: str = "split", alpha: float = 0.05, **params) -> DataFrame:
     """Errors with and without the columns of a family (by prefix), the change in percent, and t of the squared errors.
 
-    improvement: leaving the family in lowers the squared errors, t above 1.96 (two-sided 5 % for large samples).
+    improvement: leaving the family in lowers the squared errors, by a two-sided paired t test with p below alpha.
     """
     rest = [c for c in columns if not c.startswith(family)]
     train, test = df.where(F.col(split) == "train"), df.where(F.col(split) == "test")
@@ -113,11 +88,11 @@ def ablation(df: DataFrame, target: str, columns: list[str], family: str, split:
     errors = out.select(((F.col(target) - F.col("without")) ** 2).alias("e0"), ((F.col(target) - F.col("full")) ** 2).alias("e1"))
     scores = errors.agg(F.sqrt(F.avg("e0")).alias("rmse_without"), F.sqrt(F.avg("e1")).alias("rmse_full"))
     both = scores.crossJoin(paired_t(errors, "e0", "e1"))
-    return both.withColumns({"delta_pct": F.try_divide(F.lit(100.0) * (F.col("rmse_full") - F.col("rmse_without")), F.col("rmse_without")), "improvement": (F.col("t") > 1.96).cast("int")})
+    return both.withColumns({"delta_pct": F.try_divide(F.lit(100.0) * (F.col("rmse_full") - F.col("rmse_without")), F.col("rmse_without")), "improvement": ((F.col("t") > 0) & (F.col("p_value") < alpha)).cast("int")})
 
 
-def multi_horizon(df: DataFrame, value: str, entity: list[str], period: list[str], columns: list[str], year: str, horizons: tuple = (1, 2, 4, 8), train_until: int = TRAIN_UNTIL, **params) -> DataFrame:
-    """Test metrics of one fit a horizon, and each rmse over that of the first."""
+def multi_horizon(df: DataFrame, value: str, entity: list[str], period: list[str], columns: list[str], year: str, horizons: tuple = (1, 2, 4, 8), train_until: int = TRAIN_UNTIL, limit: float = 2.0, **params) -> DataFrame:
+    """Test metrics of one fit a horizon, each rmse over that of the first, and whether that stays below ``limit``."""
 
     def one(h: int) -> DataFrame:
         rows = leads(df, value, entity, period, h)
@@ -125,7 +100,13 @@ def multi_horizon(df: DataFrame, value: str, entity: list[str], period: list[str
         return fitted.predict(rows.where(F.col(year) > train_until)).select(F.lit(h).alias("horizon"), "target", "prediction")
 
     out = regression_metrics(reduce(DataFrame.unionByName, at_once(one, horizons)), "target", "prediction", ["horizon"])
-    return out.withColumn("rmse_ratio", F.try_divide("rmse", F.first("rmse").over(Window.partitionBy(F.lit(0)).orderBy("horizon"))))
+    return with_ratios(out, limit)
+
+
+def with_ratios(horizons: DataFrame, limit: float = 2.0) -> DataFrame:
+    """A small table of horizons and rmse with each rmse over the first one's, and 1 where that is below the limit."""
+    out = horizons.withColumn("rmse_ratio", F.try_divide("rmse", F.first("rmse").over(Window.partitionBy(F.lit(0)).orderBy("horizon"))))
+    return out.withColumn("within_limit", (F.col("rmse_ratio") < limit).cast("int"))
 
 
 def folds(years: list[int], first_after: int = 5, step: int = 3) -> list[dict]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tails import t_tail
 from .ranks import running_counts
 
 
@@ -35,6 +36,13 @@ def class_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return out.select("class", precision.alias("precision"), recall.alias("recall"), F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)).alias("f1"), "support")
 
 
+def with_macro(classes: DataFrame) -> DataFrame:
+    """class_metrics with a last row of null class: the plain means of precision, recall and f1, and all support."""
+    means = [F.avg(c).alias(c) for c in ("precision", "recall", "f1")]
+    whole = classes.agg(*means, F.sum("support").alias("support"))
+    return classes.unionByName(whole.withColumn("class", F.lit(None).cast(classes.schema["class"].dataType)))
+
+
 def macro_auc(df: DataFrame, truth: str, scores: dict) -> DataFrame:
     """One-vs-rest AUC of each class from its score, with tied ranks averaged, and their mean in the row of null class.
 
@@ -52,6 +60,7 @@ def macro_auc(df: DataFrame, truth: str, scores: dict) -> DataFrame:
 
 
 def paired_t(df: DataFrame, first: str, second: str) -> DataFrame:
-    """t of the mean difference of two columns, with its count."""
+    """t of the mean difference of two columns, its two-sided p-value, and the count."""
     d = F.col(first) - F.col(second)
-    return df.agg(F.avg(d).alias("mean_difference"), F.try_divide(F.avg(d), F.stddev_samp(d) / F.sqrt(F.count(d))).alias("t"), F.count(d).alias("n"))
+    out = df.agg(F.avg(d).alias("mean_difference"), F.try_divide(F.avg(d), F.stddev_samp(d) / F.sqrt(F.count(d))).alias("t"), F.count(d).alias("n"))
+    return out.withColumn("p_value", t_tail(F.col("t"), F.col("n") - 1))

@@ -120,6 +120,13 @@ def entity_coverage(reference: DataFrame, df: DataFrame, entity: str, week: str,
     return out.withColumn("observed", F.col("n_rows").isNotNull().cast("int")).fillna({"n_rows": 0, "total": 0})
 
 
+def coverage_summary(coverage: DataFrame) -> DataFrame:
+    """Of entity_coverage in all: members of the reference, those observed and not, and the share observed in percent (0 of none)."""
+    n, seen = F.count(F.lit(1)), F.coalesce(F.sum("observed"), F.lit(0))
+    share = F.coalesce(F.round(F.try_divide(100.0 * seen, n), 4), F.lit(0.0))
+    return coverage.agg(n.alias("entities"), seen.alias("observed"), (n - seen).alias("unobserved"), share.alias("coverage_pct"))
+
+
 def join_coverage(df: DataFrame, year: str, joined: str) -> DataFrame:
     """Per year: rows, rows where a joined column is known, and their percentage."""
     n, hit = F.count(F.lit(1)), F.count(joined)

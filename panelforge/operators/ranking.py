@@ -7,18 +7,20 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tails import f_tail
 from .profile import melted
 from .ranks import key_quantiles
 
 
 def anova_f(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
-    """F statistic of each column between the classes: one aggregation of counts, sums and squares."""
+    """F statistic of each column between the classes and its p-value: one aggregation of counts, sums and squares."""
     g = melted(df, columns, [label]).where(F.col("value").isNotNull()).groupBy("feature", label).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     n, k = F.sum("n"), F.count(F.lit(1))
     mean = F.sum(F.col("n") * F.col("m")) / n
     between = F.sum(F.col("n") * F.col("m") * F.col("m")) - n * mean * mean
     within = F.sum(F.col("n") * F.col("v"))
-    return g.groupBy("feature").agg(F.try_divide(between / (k - 1), within / (n - k)).alias("anova_f"))
+    out = g.groupBy("feature").agg(F.try_divide(between / (k - 1), within / (n - k)).alias("anova_f"), (k - 1).alias("between"), (n - k).alias("within"))
+    return out.withColumn("p_value", f_tail(F.col("anova_f"), F.col("between"), F.col("within"))).drop("between", "within")
 
 
 def mutual_information(df: DataFrame, label: str, columns: list[str], bins: int = 10) -> DataFrame:

@@ -74,5 +74,20 @@ def rolling_with_current(df: DataFrame, values: list[str], entity: list[str], pe
     return df.withColumns({f"{v}_roll_{span}": F.when(F.count(v).over(w) >= least, F.avg(v).over(w)) for v in values})
 
 
+def lags_apart(df: DataFrame, value: str, entity: list[str], number: str, steps: Iterable[int] = LAGS, prefix: str | None = None) -> DataFrame:
+    """The value of the period ``k`` numbers before, null where there is none: gaps don't shift it.
+
+    number: a running number of the period, one row each.
+    """
+    w = ordered(entity, [number])
+    return df.withColumns({f"{prefix or value}_lag_{k}": F.first(value).over(w.rangeBetween(-k, -k)) for k in steps})
+
+
+def rolling_apart(df: DataFrame, values: list[str], entity: list[str], number: str, span: int = 4, least: int = 2) -> DataFrame:
+    """Mean over the current and the ``span - 1`` numbers before, null with fewer than ``least`` known values there."""
+    w = ordered(entity, [number]).rangeBetween(-(span - 1), 0)
+    return df.withColumns({f"{v}_roll_{span}": F.when(F.count(v).over(w) >= least, F.avg(v).over(w)) for v in values})
+
+
 def is_zero(c: Column) -> Column:
     return (c == 0).cast("int")

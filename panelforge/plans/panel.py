@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.weeks import season
+from ..functions.weeks import season, week_number
 from ..operators import labels, panel, windows
 
 
@@ -33,11 +33,20 @@ def with_climate(dense: DataFrame, climate: DataFrame, keys: list[str], values:
     return panel.left_once(dense, climate.select(*keys, *values), keys, [F.col(v).asc_nulls_last() for v in values])
 
 
-def climate_features(weeks: DataFrame, entity: list[str], period: list[str]) -> DataFrame:
-    """Lags of rain, temperature and humidity, of heavy days and temperature range, and rolling means with the current week."""
+def climate_features(weeks: DataFrame, entity: list[str], period: list[str], by_week: bool = False) -> DataFrame:
+    """Lags of rain, temperature and humidity, of heavy days and temperature range, and rolling means with the current week.
+
+    Lags and means go by rows, so that a missing week shifts them; with by_week they go by the weeks' own distance (the
+    first of period is a week YYYYWW), and a missing week leaves what would come from it unknown.
+    """
+    wanted = {"rain_sum": (1, 2, 4, 8), "temp_mean": (1, 2, 4, 8), "humidity_mean": (1, 2, 4, 8), "rain_heavy_days": (2, 4), "temp_range": (2,)}
+    rolled = ["rain_sum", "temp_mean", "humidity_mean"]
+    if by_week:
+        out = weeks.withColumn("__week", week_number(F.col(period[0])).cast("int"))
+        for name, steps in wanted.items():
+            out = windows.lags_apart(out, name, entity, "__week", steps)
+        return windows.rolling_apart(out, rolled, entity, "__week").drop("__week")
     out = weeks
-    for name in ("rain_sum", "temp_mean", "humidity_mean"):
-        out = windows.lags(out, name, entity, period, (1, 2, 4, 8), fill="null")
-    out = windows.lags(out, "rain_heavy_days", entity, period, (2, 4), fill="null")
-    out = windows.lags(out, "temp_range", entity, period, (2,), fill="null")
-    return windows.rolling_with_current(out, ["rain_sum", "temp_mean", "humidity_mean"], entity, period)
+    for name, steps in wanted.items():
+        out = windows.lags(out, name, entity, period, steps, fill="null")
+    return windows.rolling_with_current(out, rolled, entity, period)

@@ -114,6 +114,14 @@ def duck_week(d: str) -> str:
     return f"printf('%04d%02d', {year}, ({start} - ({jan4} - dayofweek({jan4})::int)) // 7 + 1)"
 
 
+def tail_sql(a: str, b: str, odds: str) -> str:
+    """The regularised incomplete beta function of x = 1 / (1 + odds) by numerical integration (Simpson's rule over the
+    angle whose squared sine is x, from where the integrand is next to nothing)."""
+    return f"""(select sum(case when i = 0 or i = 20000 then 1 when i % 2 = 1 then 4 else 2 end * exp((2 * a - 1) * ln(greatest(sin(lo + i * h), 1e-300)) + (2 * b - 1) * ln(greatest(cos(lo + i * h), 1e-300))
+      + lgamma(a + b) - lgamma(a) - lgamma(b) + ln(2.0))) * any_value(h) / 3 from (select a, b, lo, (top - lo) / 20000 as h from (select a, b, top, greatest(0.0, top - 60 / sqrt(2 * a)) as lo
+      from (select {a} as a, {b} as b, atan(1 / sqrt({odds})) as top) z0) z1) z2, (select unnest(range(20001)) as i) z3)"""
+
+
 CASES_SQL = twin(CASES)
 #: Common table expressions: cases with week and flags; the observed panel; the dense panel.
 OBSERVED_CTE = f"""

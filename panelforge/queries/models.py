@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, forecast, ranking, sampling, windows
+from ..operators import attribution, boosting, cluster, forecast, labels, ranking, sampling, windows
 from ..sources.shared import cut_lineage
 from .base import query, table
 from .panels import dense, weekly
@@ -68,20 +68,20 @@ def forest_importance(spark, sf_dir):
 @query()
 def forecast_counts(spark, sf_dir):
     rows = _with_target(spark, sf_dir)
-    fitted = forecast.fit_counts(rows.where("split <> 'test'"), "target", _FEATURES, F.col("split") == "validation")
+    fitted = boosting.boost(rows.where("split <> 'test'"), "target", _FEATURES, F.col("split") == "validation")
     return fitted.predict(rows.where("split = 'test'")).select("nation", "week", "target", "prediction")
 
 
 @query()
 def training_curve(spark, sf_dir):
     rows = _with_target(spark, sf_dir)
-    fitted = forecast.fit_counts(rows.where("split = 'train'"), "target", _FEATURES)
-    return forecast.training_curve(fitted, rows.where("split = 'validation'"), "target")
+    fitted = boosting.boost(rows.where("split <> 'test'"), "target", _FEATURES, F.col("split") == "validation")
+    return forecast.training_curve(fitted, spark)
 
 
 @query()
 def risk_classifier(spark, sf_dir):
-    rows = _with_target(spark, sf_dir).withColumn("risk", F.when(F.col("target") > 3, 3).when(F.col("target") > 2, 2).when(F.col("target") > 1, 1).otherwise(0))
+    rows = labels.risk_class(_with_target(spark, sf_dir), "target", "cases", ["nation"], F.col("split") == "train")
     out = forecast.classify_risk(rows.where("split <> 'test'"), rows.where("split = 'test'"), "risk", _FEATURES, F.col("split") == "validation")
     return out.select("nation", "week", "risk", "predicted", "p_0", "p_1", "p_2", "p_3")
 
@@ -116,6 +116,40 @@ def parameter_search(spark, sf_dir):
     return forecast.search(rows.where("split = 'train'"), rows.where("split = 'validation'"), "target", _FEATURES)
 
 
+def _attributed(spark, sf_dir):
+    """Shapley values of a linear score of order columns, which SQL can tell: each column's weight times its distance from
+    the references' mean."""
+    rows = _orders(spark, sf_dir)
+    line = lambda df: df.withColumn("prediction", F.col("quantity") * 0.5 - F.col("price") * 0.001 + F.col("discount") * 100.0)
+    return attribution.shapley_values(line, rows, ["quantity", "price", "discount"], ["l_orderkey"], permutations=1, references=4)
+
+
+_LINEAR = """with o as (select l_orderkey, sum(l_quantity)::double as quantity, sum(l_extendedprice)::double as price, avg(l_discount)::double as discount from lineitem group by l_orderkey)"""
+
+
+@query("n:bigint off:r6", "select 3 * count(distinct l_orderkey) as n, 0.0 as off from lineitem")
+def attribution_adds_up(spark, sf_dir):
+    """Attributions of all orders add up to prediction less base: the largest gap is 0."""
+    by = _attributed(spark, sf_dir).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.abs(F.sum("attribution") - F.max("prediction") + F.max("base")).alias("gap"))
+    return by.agg(F.sum("n").alias("n"), F.round(F.max("gap"), 5).alias("off"))
+
+
+@query("feature:string spread:r6", f"""{_LINEAR} select 'quantity' as feature, 0.5 * stddev_pop(quantity) as spread from o union all select 'price', 0.001 * stddev_pop(price) from o union all select 'discount', 100 * stddev_pop(discount) from o""")
+def linear_attribution(spark, sf_dir):
+    """Of a linear score, a column's attributions spread as its weighted values do."""
+    return _attributed(spark, sf_dir).groupBy("feature").agg(F.stddev_pop("attribution").alias("spread"))
+
+
+@query()
+def attribution_ranks(spark, sf_dir):
+    """Shapley values of boosted trees on a sample of test rows, ranked, with the climate columns as the family."""
+    rows = _with_target(spark, sf_dir)
+    fitted = forecast.fit_counts(rows.where("split = 'train'"), "target", _FEATURES)
+    sample = sampling.hash_sample(rows.where("split = 'test'"), ["nation", "week"], 200)
+    values = attribution.shapley_values(fitted.predict, sample, _FEATURES, ["nation", "week"], rows.where("split = 'train'"))
+    return attribution.attribution_ranking(values, ["climate"])
+
+
 @query()
 def permutation_importance(spark, sf_dir):
     rows = _with_target(spark, sf_dir)

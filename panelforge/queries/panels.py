@@ -204,6 +204,25 @@ def climate_lags(spark, sf_dir):
     return plans.climate_features(weekly(spark, sf_dir), ["station"], ["week"])
 
 
+_GAPS = f"""with {_WEEKLY}, g as (select *, datediff('day', date '1970-01-04', make_date(substr(week, 1, 4)::int, 1, 4) - dayofweek(make_date(substr(week, 1, 4)::int, 1, 4))::int) // 7 + substr(week, 5, 2)::int as num from sw
+    where (station + substr(week, 5, 2)::int) % 3 <> 0)"""
+
+
+def _apart(c: str, k: int) -> str:
+    return f"(select any_value(b.{c}) from g b where b.station = g.station and b.num = g.num - {k}) as {c}_lag_{k}"
+
+
+def _roll(c: str) -> str:
+    return f"(select case when count(b.{c}) >= 2 then avg(b.{c}) end from g b where b.station = g.station and b.num between g.num - 3 and g.num) as {c}_roll_4"
+
+
+@query("station:int week:string rain_sum_lag_1:r6 rain_sum_lag_8:r6 temp_mean_lag_2:r6 rain_heavy_days_lag_4:bigint temp_range_lag_2:r6 rain_sum_roll_4:r6 temp_mean_roll_4:r6", f"""{_GAPS} select station, week, {_apart('rain_sum', 1)}, {_apart('rain_sum', 8)}, {_apart('temp_mean', 2)}, {_apart('rain_heavy_days', 4)}, {_apart('temp_range', 2)}, {_roll('rain_sum')}, {_roll('temp_mean')} from g""")
+def climate_lags_by_week(spark, sf_dir):
+    """A third of each station's weeks is missing; lags and means go by the weeks' distance."""
+    some = weekly(spark, sf_dir).where((F.col("station") + F.substring("week", 5, 2).cast("int")) % 3 != 0)
+    return plans.climate_features(some, ["station"], ["week"], by_week=True)
+
+
 def _km(a: str, b: str) -> str:
     return f"12742.0 * asin(least(sqrt(sin(radians({b}.latitude - {a}.latitude) / 2) * sin(radians({b}.latitude - {a}.latitude) / 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * sin(radians({b}.longitude - {a}.longitude) / 2) * sin(radians({b}.longitude - {a}.longitude) / 2)), 1.0))"
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cluster, forecast, metrics, panel, profile, query as panel_query, ranking, sampling
-from .base import CASES_SQL, DENSE_CTE, OBSERVED_CTE, cases, duck_week, query, table
+from .base import CASES_SQL, DENSE_CTE, OBSERVED_CTE, cases, duck_week, query, table, tail_sql
 from .panels import dense, flagged, observed
 
 _YEAR = "substr(week, 1, 4)::int"
 
 
 def _f_sql(c: str) -> str:
-    return f"""select '{c}' as feature, (sum(n * m * m) - sum(n) * pow(sum(n * m) / sum(n), 2)) / (count(*) - 1) / (sum(n * v) / (sum(n) - count(*))) as anova_f
-      from (select l_returnflag, count({c})::double as n, avg({c}) as m, var_pop({c}) as v from lineitem group by all) g"""
+    return f"""select feature, anova_f, {tail_sql('within / 2', 'between / 2', 'anova_f * between / within')} as p_value from (select '{c}' as feature, count(*) - 1.0::double as between, sum(n) - count(*) as within, (sum(n * m * m) - sum(n) * pow(sum(n * m) / sum(n), 2)) / (count(*) - 1) / (sum(n * v) / (sum(n) - count(*))) as anova_f
+      from (select l_returnflag, count({c})::double as n, avg({c}) as m, var_pop({c}) as v from lineitem group by all) g) f"""
 
 
 def _yearly(spark, sf_dir):
@@ -35,10 +35,20 @@ def temporal_coverage(spark, sf_dir):
     s as (select custkey, count(*) as n_rows, min(week) as first_week, max(week) as last_week, sum(cases) as total from p group by custkey)
     select r.c_custkey as custkey, coalesce(n_rows, 0) as n_rows, first_week, last_week, coalesce(total, 0) as total, (n_rows is not null)::int as observed from customer r left join s on s.custkey = r.c_custkey""")
 def entity_coverage(spark, sf_dir):
+    return entity_coverage_rows(spark, sf_dir)
+
+
+def entity_coverage_rows(spark, sf_dir):
     p = panel.case_panel(flagged(spark, sf_dir), ["custkey", "week"], [], [])
     return profile.entity_coverage(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey")), p, "custkey", "week", "cases")
 
 
+@query("entities:bigint observed:bigint unobserved:bigint coverage_pct:r6", f"""with s as (select distinct custkey from ({CASES_SQL}) z)
+    select count(*) as entities, count(custkey) as observed, count(*) - count(custkey) as unobserved, round(100.0 * count(custkey) / count(*), 4) as coverage_pct from customer left join s on c_custkey = custkey""")
+def coverage_summary(spark, sf_dir):
+    return profile.coverage_summary(entity_coverage_rows(spark, sf_dir))
+
+
 _STATS = "count(x) as n, avg(x) as mean, stddev_samp(x) as std, min(x) as min, quantile_cont(x, 0.25) as p25, quantile_cont(x, 0.5) as p50, quantile_cont(x, 0.75) as p75, max(x) as max, 100.0 * count(*) filter (x is null) / count(*) as missing_pct"
 
 
@@ -172,7 +182,7 @@ def walk_forward_folds(spark, sf_dir):
     return forecast.fold_rows(_yearly(spark, sf_dir), "ano", first_after=4)
 
 
-@query("feature:string anova_f:r6", "select * from (" + " union all ".join(_f_sql(c) for c in ("l_quantity", "l_discount", "l_tax")) + ") t order by anova_f desc, feature limit 2")
+@query("feature:string anova_f:r6 p_value:r6", "select * from (" + " union all ".join(_f_sql(c) for c in ("l_quantity", "l_discount", "l_tax")) + ") t order by anova_f desc, feature limit 2")
 def top_features(spark, sf_dir):
     return panel_query.top_features(ranking.anova_f(table(spark, sf_dir, "lineitem"), "l_returnflag", ["l_quantity", "l_discount", "l_tax"]), "anova_f", 2)
 
@@ -260,9 +270,10 @@ def confusion_matrix(spark, sf_dir):
 
 
 @query("class:int precision:r6 recall:r6 f1:r6 support:bigint".replace("class", "label"), f"""with {_CLASSES}, a as (select truth as label, count(*) as support, count(*) filter (truth = guess) as hit from k group by truth), b as (select guess as label, count(*) as said from k group by guess)
-    select label, hit / said as precision, hit / support as recall, 2 * (hit / said) * (hit / support) / ((hit / said) + (hit / support)) as f1, support from a join b using (label)""")
+    , m as (select label, hit / said as precision, hit / support as recall, 2 * (hit / said) * (hit / support) / ((hit / said) + (hit / support)) as f1, support from a join b using (label))
+    select * from m union all select null, avg(precision), avg(recall), avg(f1), sum(support) from m""")
 def class_metrics(spark, sf_dir):
-    return metrics.class_metrics(_classified(spark, sf_dir), "truth", "guess").withColumnRenamed("class", "label")
+    return metrics.with_macro(metrics.class_metrics(_classified(spark, sf_dir), "truth", "guess")).withColumnRenamed("class", "label")
 
 
 def _auc_sql(label: int, s: str) -> str:
@@ -275,6 +286,18 @@ def macro_auc(spark, sf_dir):
     return metrics.macro_auc(_classified(spark, sf_dir), "truth", {0: "s2", 3: "s"}).withColumnRenamed("class", "label")
 
 
-@query("mean_difference:r6 t:r6 n:bigint", "select avg(d) as mean_difference, avg(d) / (stddev_samp(d) / sqrt(count(d))) as t, count(d) as n from (select l_discount - l_tax as d from lineitem) x")
+def _t_sql(d: str) -> str:
+    return f"""select *, {tail_sql('(n - 1) / 2.0', '0.5', 't * t / (n - 1)')} as p_value from (
+      select avg(d) as mean_difference, avg(d) / (stddev_samp(d) / sqrt(count(d))) as t, count(d) as n from (select {d} as d from lineitem) x) y"""
+
+
+@query("mean_difference:r6 t:r6 n:bigint p_value:r6", _t_sql("l_discount - l_tax"))
 def paired_t(spark, sf_dir):
     return metrics.paired_t(_predictions(spark, sf_dir), "l_discount", "l_tax")
+
+
+@query("mean_difference:r6 t:r6 n:bigint p_value:r6", _t_sql("l_discount - (0.05 + (l_orderkey % 7 - 3) / 100.0)"))
+def paired_t_close(spark, sf_dir):
+    """Two columns whose means are near one another, so that p is neither 0 nor 1."""
+    rows = table(spark, sf_dir, "lineitem").select("l_discount", (F.lit(0.05) + (F.col("l_orderkey") % 7 - 3) / 100.0).alias("other"))
+    return metrics.paired_t(rows, "l_discount", "other")
