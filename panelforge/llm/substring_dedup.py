@@ -120,8 +120,47 @@ def starts_table(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray) -> tuple
     return pa.array(i[new]), pa.array(t[new]), pa.ListArray.from_arrays(pa.array(np.append(new, len(i)).astype(np.int32)), pa.array(s.astype(np.int32)))
 
 
-#: A group's part from one block of texts (docs, runs and prints are packed), or (group below 0) settled starts of a document.
-_PACKED = "group int, docs binary, runs binary, prints binary, id bigint, tag int, starts array<int>"
+def packed_marks(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Windows to remove, packed by part (a hash of the document's id): numbers of documents and windows, the documents'
+    ids, tags and counts, and the windows' starts, as columns of bytes, whose many equal high ones compress."""
+    part = (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((starts, tags, ids, part))
+    part, ids, tags, starts = part[order], ids[order], tags[order], starts[order].astype(np.uint32)
+    changes = np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])) if len(ids) else np.zeros(0, bool)
+    doc = np.flatnonzero(changes)
+    count = np.diff(np.append(doc, len(ids))).astype(np.uint32)
+    cut = np.flatnonzero(np.append(True, part[doc][1:] != part[doc][:-1])) if len(doc) else doc
+    out = []
+    for a, b in zip(cut, [*cut[1:], len(doc)], strict=False):
+        own, first = doc[a:b], doc[a]
+        windows_ = starts[first : doc[b] if b < len(doc) else len(starts)]
+        columns = (ids[own], tags[own], count[a:b], windows_)
+        out.append((int(part[first]), np.array([b - a, len(windows_)], "<u4").tobytes() + b"".join(planes(x, x.itemsize).T.tobytes() for x in columns)))
+    return out
+
+
+def unpacked_marks(data: bytes) -> tuple[np.ndarray, ...]:
+    """Id, tag and start of each window."""
+    docs, n = np.frombuffer(data, "<u4", 2).tolist()
+    at, out = 8, []
+    for kind, rows in ((np.int64, docs), (np.int32, docs), (np.uint32, docs), (np.uint32, n)):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, rows * size, at).reshape(size, rows).T).view(kind).ravel())
+        at += rows * size
+    ids, tags, count, starts = out
+    return np.repeat(ids, count), np.repeat(tags, count), starts
+
+
+#: A group's part from one block of texts (docs, runs and prints are packed), or (group below 0) packed marks of a part.
+_PACKED = [("group", pa.int32()), ("docs", pa.binary()), ("runs", pa.binary()), ("prints", pa.binary()), ("part", pa.int32()), ("marks", pa.binary())]
+
+
+def marks_batch(found: list[tuple[int, bytes]], more: bool) -> pa.RecordBatch:
+    part, marks = pa.array([p for p, _ in found], pa.int32()), pa.array([m for _, m in found], pa.binary())
+    if not more:
+        return pa.RecordBatch.from_arrays([part, marks], names=["part", "marks"])
+    none = pa.nulls(len(found), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([-1 - p for p, _ in found], pa.int32()), none, none, none, part, marks], schema=pa.schema(_PACKED))
 
 
 def packed(ids: np.ndarray, tags: np.ndarray, codes: list[np.ndarray], size: int, groups: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -131,11 +170,8 @@ def packed(ids: np.ndarray, tags: np.ndarray, codes: list[np.ndarray], size: int
     if not len(text):
         return
     gone = later(prefix, print_, ids[text])
-    schema = pa.schema([("group", pa.int32()), ("docs", pa.binary()), ("runs", pa.binary()), ("prints", pa.binary()), ("id", pa.int64()), ("tag", pa.int32()), ("starts", pa.list_(pa.int32()))])
     if gone.any():
-        own, tag, starts = starts_table(ids[text[gone]], tags[text[gone]], start[gone])
-        none = pa.nulls(len(own), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - (own.to_numpy() % groups), pa.int32()), none, none, none, own, tag, starts], schema=schema)
+        yield marks_batch(packed_marks(ids[text[gone]], tags[text[gone]], start[gone], groups), more=True)
     left = ~gone
     text, start, anchor, prefix, print_ = (x[left] for x in (text, start, anchor, prefix, print_))
     hot = np.isin(prefix, frequent)
@@ -159,7 +195,7 @@ def packed(ids: np.ndarray, tags: np.ndarray, codes: list[np.ndarray], size: int
         out[2].append(runs[a:b].tobytes())
         out[3].append(prints[to[a - 1] if a else 0 : to[b - 1]].tobytes())
     n = len(out[0])
-    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
+    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=pa.schema(_PACKED))
 
 
 def unpacked(docs: bytes, runs: bytes, prints: bytes) -> tuple[np.ndarray, ...]:
@@ -216,7 +252,7 @@ def frequent_prefixes(docs: DataFrame, size: int, n: int, text_col: str, id_col:
 
 
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, tag, starts: the windows of each document that also start in a document with a smaller id; several rows a document."""
+    """id, tag, starts: the windows of each document that also start in a document with a smaller id; a row a document."""
     if not 1 <= min_words <= 255:
         raise ValueError("min_words must be 1 to 255")
     spark = docs.sparkSession
@@ -231,14 +267,14 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str
     def settled(parts: list[tuple]) -> pa.RecordBatch:
         prefix, print_, ids, tags, start = (np.concatenate(x) for x in zip(*parts, strict=True))
         gone = later(prefix, print_, ids)
-        return pa.RecordBatch.from_arrays(list(starts_table(ids[gone], tags[gone], start[gone])), names=["id", "tag", "starts"])
+        return marks_batch(packed_marks(ids[gone], tags[gone], start[gone], groups), more=False)
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, group = [], 0, None
         for batch in batches:
             known = batch.column("group").to_numpy()
             if (known < 0).any():
-                yield batch.filter(pa.array(known < 0)).select(["id", "tag", "starts"])
+                yield batch.filter(pa.array(known < 0)).select(["part", "marks"])
             for i in np.flatnonzero(known >= 0):
                 if known[i] != group and held >= GROUP_WINDOWS:
                     yield settled(parts)
@@ -249,8 +285,25 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str
         if parts:
             yield settled(parts)
 
-    rows = docs.select(*keyed(docs, text_col, id_col)).mapInArrow(cut, _PACKED)
-    return rows.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(grow, "id bigint, tag int, starts array<int>")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(list(starts_table(*(np.concatenate(x) for x in zip(*held, strict=True)))), names=["id", "tag", "starts"])
+
+        for batch in batches:
+            for p, marks in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and p != part:
+                    yield whole()
+                    held = []
+                part = p
+                held.append(unpacked_marks(marks.as_py()))
+        if held:
+            yield whole()
+
+    rows = docs.select(*keyed(docs, text_col, id_col)).mapInArrow(cut, "group int, docs binary, runs binary, prints binary, part int, marks binary")
+    marks = rows.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(grow, "part int, marks binary")
+    return marks.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(gather, "id bigint, tag int, starts array<int>")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -269,8 +322,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str =
     kept = [c for c in docs.columns if c.lower() not in added]
     key, mark, r_key, r_mark, starts = unused(docs, "key", "mark", "r_key", "r_mark", "starts")
     # A table of its own, so that Spark can split the join at ids that repeat.
-    found = repeated_windows(docs, min_words, text_col, id_col).groupBy("id", "tag").agg(F.flatten(F.collect_list("starts")).alias(starts))
-    found = cut_lineage(found).withColumnsRenamed({"id": r_key, "tag": r_mark})
+    found = cut_lineage(repeated_windows(docs, min_words, text_col, id_col)).withColumnsRenamed({"id": r_key, "tag": r_mark, "starts": starts})
     own_id, tag, _ = keyed(docs, text_col, id_col)
     rows = docs.select(*kept, own_id.alias(key), tag.alias(mark))
     rows = rows.join(found, (rows[key] == found[r_key]) & (rows[mark] == found[r_mark]), "left").select(*kept, starts)
