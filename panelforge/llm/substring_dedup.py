@@ -31,8 +31,8 @@ from .common import cut_lineage, unit_hash, unused
 MIN_WORDS = 13
 PREFIX_WORDS = 5
 #: Words that are cut into windows at once, and windows whose subtrees are built at once, if groups allow.
-BLOCK_WORDS, GROUP_WINDOWS = 2_000_000, 2_000_000
-MAX_CACHED = 500_000
+BLOCK_WORDS, GROUP_WINDOWS = 400_000, 400_000
+MAX_CACHED = 200_000
 #: Documents sampled for frequent prefixes, and the number of times that makes one frequent there. These only lay out the
 #: groups; results don't depend on them. At most 2 * 10^5 prefixes (1.6 MB) are broadcast.
 SAMPLE_DOCS, FREQUENT, MAX_FREQUENT = 20_000, 200, 200_000
