@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.refresh import YearlyPanel
 from ..sources import ingest, publish
+from ..sources.keyed import KeyedTable
 from ..sources.shared import cut_lineage, new_folder, remove_folder, rename_parts
 from .base import CASES_SQL, DENSE_CTE, PLACES, READINGS, TERRITORY, cases, proxy, query, table, twin
-from .panels import dense
+from .panels import dense, observed
 
 _RECORDS = ("case_id", "flag_a", "week_text", "sex")
 
@@ -148,15 +150,82 @@ def refreshed_table(spark, sf_dir):
     return _read_back(spark, "refresh", work)
 
 
-@query("source_year:int records:bigint status:string", f"select source_year, count(*) as records, 'ok' as status from ({CASES_SQL}) c group by source_year")
+_ODD = "p_partkey % 3 <> 0"
+
+
+@query("p_partkey:bigint p_name:string p_size:int", "select p_partkey, p_name, p_size from part where p_partkey % 3 <> 0 union all select p_partkey, p_name, p_size + 1 from part where p_partkey % 3 = 0 union all select null, 'none', 1")
+def published_insert(spark, sf_dir):
+    """A table published, published again with rows of new and known keys, and read: known keys keep their rows."""
+
+    def work(folder):
+        p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+        t = KeyedTable.create(spark, folder, p.schema, ["p_partkey"])
+        none = p.limit(1).select(F.lit(None).cast("bigint").cast(p.schema["p_partkey"].dataType).alias("p_partkey"), F.lit("none").alias("p_name"), F.lit(1).cast(p.schema["p_size"].dataType).alias("p_size"))
+        t.insert(p.where(_ODD).unionByName(none))
+        again = p.withColumn("p_size", F.col("p_size") + 1)
+        t.insert(again.unionByName(again.withColumn("p_size", F.col("p_size") + 1)).unionByName(none))
+        return t.read()
+
+    return _read_back(spark, "published", work)
+
+
+@query("p_partkey:bigint p_name:string p_size:int", "select p_partkey, p_name, p_size from part where p_partkey % 3 <> 0 union all select p_partkey, p_name, p_size + 1 from part where p_partkey % 3 = 0")
+def published_replace(spark, sf_dir):
+    """A table published, some of its keys published again with other values, and read."""
+
+    def work(folder):
+        p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+        t = KeyedTable.create(spark, folder, p.schema, ["p_partkey"])
+        t.insert(p)
+        changed = p.where(f"not ({_ODD})").withColumn("p_size", F.col("p_size") + 1)
+        t.replace(changed.unionByName(changed.withColumn("p_size", F.col("p_size") + 5)))
+        return t.read()
+
+    return _read_back(spark, "published", work)
+
+
+_LINES = f"select source_year, case_id % 2 as half, string_agg(case_id::varchar || chr(10), '' order by case_id) as body, count(*) as n from ({CASES_SQL}) c group by all"
+
+
+@query(
+    "source_year:int files:bigint file_size_bytes:bigint sha256:string records:bigint status:string",
+    f"""with f as ({_LINES}), d as (select source_year, half, case half when 0 then 'A' else 'B' end || source_year || '.txt' as name, length(body) as size, sha256(body) as digest, n from f where half = 0 or source_year % 2 = 0)
+    select source_year, count(*) as files, sum(size) as file_size_bytes, case when count(*) = 1 then any_value(digest) else sha256(string_agg(digest || '  ' || name || chr(10), '' order by name)) end as sha256, sum(n) as records, 'ok' as status from d group by source_year""",
+)
 def file_inventory(spark, sf_dir):
-    """Size and digest of real files beside the counts of their records."""
+    """Size and digest of real files, one or two a source year, beside the counts of their records."""
 
     def work(folder):
-        _year_files(cases(spark, sf_dir).select("source_year", F.col("case_id").cast("string").alias("case_id")), folder, "json")
+        rows = cases(spark, sf_dir).select("source_year", "case_id").where("case_id % 2 = 0 or source_year % 2 = 0")
+        for half, name in ((0, "A"), (1, "B")):
+            own = rows.where(F.col("case_id") % 2 == half).repartition("source_year").sortWithinPartitions("source_year", "case_id")
+            own.select("source_year", F.col("case_id").cast("string").alias("line")).write.partitionBy("source_year").text(f"{folder}/{name}")
+            rename_parts(spark, f"{folder}/{name}", name + "{}.txt")
         files = ingest.read_files(spark, folder)
-        records = ingest.read_cases_json(spark, folder, ["case_id"], lines=True).withColumn("reason", F.lit(None).cast("string"))
-        out = ingest.file_inventory(files, records, records.select("source_year").distinct())
-        return out.where((F.col("file_size_bytes") > 0) & (F.length("sha256") == 64))
+        line = spark.read.text([f"{folder}/A", f"{folder}/B"])
+        records = line.select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})\D*$", 1).cast("int").alias("source_year"), F.lit(None).cast("string").alias("reason"))
+        return ingest.file_inventory(files, records, rows.select("source_year").distinct())
 
     return _read_back(spark, "inventory", work)
+
+
+_REFRESHED = f"""{DENSE_CTE},
+    lim as (select nation, quantile_cont(cases, 0.75) as q75 from dense group by nation),
+    ch as (select nation, week, case when substr(week, 1, 4) = '1996' then cases * 2 + (cases > 0)::int else cases end as cases from dense),
+    ft as (select *, coalesce(lag(cases, 12) over w, 0) as lag12, coalesce(lag(cases, 1) over w, 0) as b from ch window w as (partition by nation order by week)),
+    mm as (select *, avg(b) over (partition by nation order by week rows between 11 preceding and current row) as mean12 from ft)"""
+
+
+@query("nation:int week:string cases:double cases_lag_12:double cases_mean_12:r6 alert_q75:int", f"with {_REFRESHED} select mm.nation, week, cases, lag12 as cases_lag_12, mean12 as cases_mean_12, (cases >= q75 and cases > 0)::int as alert_q75 from mm join lim using (nation)")
+def refreshed_year(spark, sf_dir):
+    """A panel by year built as a whole, and one year of it made anew from changed records; the others keep their files."""
+
+    def work(folder):
+        o = observed(spark, sf_dir).select("nation", "week", "cases", "severe")
+        yearly = YearlyPanel(spark, folder, ["nation"], "week", "cases", "severe")
+        yearly.build(o, o.select("nation"), o.select("week"))
+        changed = o.withColumn("cases", F.when(F.substring("week", 1, 4) == "1996", F.col("cases") * 2 + (F.col("cases") > 0).cast("int")).otherwise(F.col("cases")))
+        yearly.refresh(changed, 1996)
+        return yearly.read()
+
+    return _read_back(spark, "yearly", work)

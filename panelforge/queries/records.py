@@ -230,7 +230,7 @@ def discard_examples(spark, sf_dir):
     select e.source_year, case when a.records is null then 'missing' else 'ok' end as status, coalesce(records, 0) as records, coalesce(duplicates, 0) as duplicates, coalesce(invalid, 0) as invalid, coalesce(valid, 0) as valid from e left join a on a.source_year = e.source_year""")
 def record_inventory(spark, sf_dir):
     judged = _judged(spark, sf_dir).withColumnRenamed("discard_reason", "reason")
-    files = judged.groupBy("source_year").agg(F.count(F.lit(1)).alias("length")).withColumn("content", F.col("source_year").cast("string").cast("binary"))
+    files = judged.groupBy("source_year").agg(F.count(F.lit(1)).alias("length")).withColumns({"file": F.col("source_year").cast("string"), "sha256": F.sha2(F.col("source_year").cast("string").cast("binary"), 256)})
     return ingest.file_inventory(files, judged, spark.range(1990, 2005).select(F.col("id").cast("int").alias("source_year")))
 
 

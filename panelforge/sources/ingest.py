@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.codes import decimal_comma, looks_dated, without_sentinel
+from .digests import file_digests
 
 #: The station files' columns by position.
 STATION_COLUMNS = [
@@ -125,11 +126,15 @@ def drop_exact_duplicates(rows: DataFrame) -> DataFrame:
 
 
 def file_inventory(files: DataFrame, records: DataFrame, expected: DataFrame) -> DataFrame:
-    """Per expected source year: file size, sha256, record counts and status (ok, missing, error).
+    """Per expected source year: files, their size, sha256, record counts and status (ok, missing, error).
 
-    files: source_year, length, content; records: source_year, reason (null: valid) with ``duplicate`` for duplicates.
+    files: source_year, file, length, sha256. A year of one file has that file's digest; of several, the digest of the
+    lines ``digest  file`` in the order of the names. records: source_year, reason (null: valid) with ``duplicate`` for
+    duplicates.
     """
-    seen = files.groupBy("source_year").agg(F.sum("length").alias("file_size_bytes"), F.max(F.sha2("content", 256)).alias("sha256"))
+    line = F.concat("sha256", F.lit("  "), "file", F.lit("\n"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", line.alias("line")))), lambda x: x["line"]), "")  # a year's files
+    seen = files.groupBy("source_year").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("file_size_bytes"), F.when(F.count(F.lit(1)) == 1, F.max("sha256")).otherwise(F.sha2(lines.cast("binary"), 256)).alias("sha256"))
     counts = records.groupBy("source_year").agg(
         F.count(F.lit(1)).alias("records"),
         F.count_if(F.col("reason").eqNullSafe("duplicate")).alias("duplicates"),
@@ -138,10 +143,10 @@ def file_inventory(files: DataFrame, records: DataFrame, expected: DataFrame) ->
     )
     out = expected.join(seen, "source_year", "left").join(counts, "source_year", "left")
     status = F.when(F.col("file_size_bytes").isNull(), "missing").when(F.col("records").isNull(), "error").otherwise("ok")
-    zero = {c: 0 for c in ("records", "duplicates", "invalid", "valid")}
+    zero = {c: 0 for c in ("files", "records", "duplicates", "invalid", "valid")}
     return out.withColumn("status", status).fillna(zero)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files with source_year from their names, for the inventory."""
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"(\d{4})\D*$", 1).try_cast("int").alias("source_year"), "length", "content")
+    """source_year (from the name), file, length and sha256 of each file, of any size."""
+    return file_digests(spark, path).select(F.regexp_extract("file", _YEAR, 1).try_cast("int").alias("source_year"), "file", "length", "sha256")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,15 +21,33 @@ def write_report(df: DataFrame, path: str, order: list[str], kind: str = "csv")
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
 
 
+def one_a_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key, the first in the order of the other columns; null keys are a key."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(*keys, "__r.*").select(*rows.columns)
+
+
+def _without(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose key other lacks; null keys meet null keys."""
+    known = other.select(*[F.col(k).alias(f"__r_{k}") for k in keys])
+    return rows.join(known, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]), "left_anti")
+
+
+def absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Of new one row for each key that existing lacks, the first in the order of its columns."""
+    return _without(one_a_key(new, keys), existing, keys)
+
+
 def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """existing with those rows of new whose key it lacks; one row a key, the first in the order of all columns."""
-    first = new.groupBy(*keys).agg(F.min(F.struct(*[c for c in new.columns if c not in keys])).alias("r")).select(*keys, "r.*")
-    return existing.unionByName(first.join(existing.select(*keys), keys, "left_anti"))
+    """existing with those rows of new whose key it lacks; of new one row a key, the first in the order of its columns."""
+    return existing.unionByName(absent(existing, new, keys))
 
 
 def replace_by_key(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of existing whose key new lacks, and all of new."""
-    return existing.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+    """Rows of existing whose key new lacks, and of new one row a key, the first in the order of its columns."""
+    return _without(existing, new, keys).unionByName(one_a_key(new, keys))
 
 
 def full_refresh(df: DataFrame, path: str) -> None:

@@ -46,6 +46,50 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it doesn't exist."""
+    fs, where = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Full paths and sizes of the files below a path, in order, without hidden ones."""
+    fs, where = _file_system(spark, path)
+    found, out = fs.listFiles(where, True), []
+    while found.hasNext():
+        status = found.next()
+        name = status.getPath().getName()
+        if not name.startswith((".", "_")):
+            address = status.getPath().toUri()
+            out.append((f"file://{address.getPath()}" if address.getScheme() in (None, "file") else address.toString(), status.getLen()))
+    return sorted(out)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    fs, where = _file_system(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears as a whole, by one rename; an error where there is one of that name."""
+    jvm, draft = spark._jvm, f"{path}.{uuid.uuid4().hex}.draft"
+    fs, where = _file_system(spark, path)
+    fs.mkdirs(where.getParent())
+    stream = fs.create(jvm.org.apache.hadoop.fs.Path(draft))
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(jvm.org.apache.hadoop.fs.Path(fs.makeQualified(jvm.org.apache.hadoop.fs.Path(draft)).toString()), fs.makeQualified(where), none)
+
+
 def rename_parts(spark: SparkSession, folder: str, name: str) -> None:
     """Give the part files of folder/<column>=<value> directories, one each, names of their own: name with {} for the value."""
     fs, where = _file_system(spark, folder)
