@@ -87,9 +87,10 @@ def boost(df: DataFrame, target: str, columns: list[str], validation: Column | N
         labels, total = sorted(counts), sum(counts.values())
         start = [math.log(counts[k] / total) for k in labels]
     else:
-        labels, start = [], [own.agg(F.avg("__y")).first()[0] or 0.0]
+        mean = own.agg(F.avg("__y")).first()[0]
+        labels, start = [], [mean or 0.0]
     fitted = Boosted(columns, labels, start, step)
-    if classes and len(labels) < 2:
+    if len(labels) < 2 if classes else mean is None:
         return fitted
     names = [f"__s{k}" for k in range(len(start))]
     rows = cut_lineage(rows.withColumns({n: F.lit(s) for n, s in zip(names, start, strict=True)}))

@@ -19,8 +19,12 @@ from .windows import leads
 
 #: Last years of the training and of the validation split.
 TRAIN_UNTIL, VALIDATE_UNTIL = 2019, 2022
-#: Search ranges: (low, high, kind).
-SPACE = {"maxDepth": (3, 8, "int"), "stepSize": (0.01, 0.3, "log"), "subsamplingRate": (0.5, 1.0, "real"), "minInstancesPerNode": (1, 50, "int"), "maxIter": (10, 60, "int")}
+#: Search ranges: (low, high, kind). The surveyed search draws eight parameters; Spark's trees have no penalties of leaf
+#: weights, so the least gain of a split stands for the first and the number of bins takes the place of the second.
+SPACE = {
+    "maxDepth": (3, 8, "int"), "stepSize": (0.01, 0.3, "log"), "maxIter": (10, 60, "int"), "subsamplingRate": (0.6, 1.0, "real"),
+    "featureSubsetStrategy": (0.6, 1.0, "share"), "minInstancesPerNode": (1, 20, "int"), "minInfoGain": (1e-8, 1e-1, "log"), "maxBins": (16, 64, "int"),
+}
 
 
 def split_by_year(year: Column, train_until: int = TRAIN_UNTIL, validate_until: int = VALIDATE_UNTIL) -> Column:
@@ -159,6 +163,8 @@ def draws(trials: int, space: dict = SPACE, seed: int = 42) -> list[dict]:
                 one[name] = rng.randint(low, high)
             elif kind == "log":
                 one[name] = math.exp(rng.uniform(math.log(low), math.log(high)))
+            elif kind == "share":
+                one[name] = f"{rng.uniform(low, high):.4f}"
             else:
                 one[name] = rng.uniform(low, high)
         out.append(one)

@@ -72,9 +72,16 @@ def discard_examples(rows: DataFrame, order: list[str], by: str = "source_year",
 
 
 def mark_duplicates(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """rows with is_duplicate: all but the first of those that agree in the columns."""
-    w = Window.partitionBy(*columns).orderBy(*order)
-    return rows.withColumn("is_duplicate", F.row_number().over(w) > 1)
+    """rows with is_duplicate: all but the first of those that agree in the columns.
+
+    The first of each group comes from an aggregation, so no task holds all copies of a record.
+    """
+    group = F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"))
+    kept = cut_lineage(rows.withColumns({"__group": group, "__place": F.monotonically_increasing_id()}))
+    first = F.min(F.struct(*order, "__place"))["__place"].alias("__first")
+    several = kept.groupBy(F.col("__group").alias("__r")).agg(first, F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    out = kept.join(cut_lineage(several), F.col("__group") == F.col("__r"), "left")
+    return out.select(*rows.columns, F.coalesce(F.col("__place") != F.col("__first"), F.lit(False)).alias("is_duplicate"))
 
 
 def keep_one(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -37,35 +37,39 @@ def resolve_place(records: DataFrame, territory: DataFrame, codes: list[tuple[st
 
     codes: (name, column) in order of precedence. A code resolves by its first seven digits (direct_7d), else by its
     first six (prefix_6d_to_7d), else, if it starts with the fallback's prefix and a state column names its state, to the
-    fallback's code (df_prefix_fallback). territory: code, code6, name, uf, region; broadcast if it has at most
-    broadcast_rows rows.
+    fallback's code (df_prefix_fallback). territory: code, code6, name, uf, region.
+
+    The keys that a record's codes may meet stand in one list, in order; the first that the territory knows decides. A
+    territory of at most broadcast_rows rows has its keys in the plan as a set, so that one broadcast join by the key found
+    is all; a larger one is met key by key.
     """
     prefix, state, target = fallback
-    small = F.broadcast if territory.limit(broadcast_rows + 1).count() <= broadcast_rows else (lambda d: d)
-    exact = territory.select(F.col("code").alias("t_key"), F.col("code").alias("t_code"))
-    by_six = territory.groupBy("code6").agg(F.max("code").alias("t_code")).select(F.col("code6").alias("t_key"), "t_code")
     is_state = F.lit(False)
     for s in states:
         is_state = is_state | canonical(F.col(s)).isin(state, prefix)
-    out, picks = records, []
+    exact = territory.select(F.concat(F.lit("7:"), "code").alias("key"), F.col("code").alias("place_code"))
+    six = territory.groupBy("code6").agg(F.max("code").alias("place_code")).select(F.concat(F.lit("6:"), "code6").alias("key"), "place_code")
+    # The fallback's code stands whether the territory has it or not.
+    whole = territory.sparkSession.createDataFrame([("fallback", target)], "key string, place_code string")
+    names = territory.select(F.col("code").alias("__code"), F.col("name").alias("place_name"), *[F.col(c).alias(f"place_{c}" if c in records.columns else c) for c in ("uf", "region")])
+    lookup = exact.unionByName(six).unionByName(whole).where("key is not null").join(names, F.col("place_code") == F.col("__code"), "left").drop("__code")
+    out = records.drop("place_name")
+    keys, candidates = [], []
     for name, column in codes:
-        digits = only_digits(F.col(column))
-        out = out.withColumn(f"__d_{name}", digits)
-        for kind, size, table in (("7", 7, exact), ("6", 6, by_six)):
-            hit = table.select(F.col("t_key").alias(f"__k{kind}_{name}"), F.col("t_code").alias(f"__c{kind}_{name}"))
-            # A code that is too short meets nothing: as a null it does not gather rows under one key.
-            start = F.when(F.length(f"__d_{name}") >= size, F.substring(f"__d_{name}", 1, size))
-            out = out.join(small(hit), start == F.col(f"__k{kind}_{name}"), "left")
-        d = F.col(f"__d_{name}")
-        rule = (
-            F.when(F.col(f"__c7_{name}").isNotNull(), F.struct(F.col(f"__c7_{name}").alias("c"), F.lit("direct_7d").alias("r"), F.lit(name).alias("f")))
-            .when(F.col(f"__c6_{name}").isNotNull(), F.struct(F.col(f"__c6_{name}").alias("c"), F.lit("prefix_6d_to_7d").alias("r"), F.lit(name).alias("f")))
-            .when(F.startswith(d, F.lit(prefix)) & is_state, F.struct(F.lit(target).alias("c"), F.lit("df_prefix_fallback").alias("r"), F.lit(name).alias("f")))
-        )
-        picks.append(rule)
-    out = out.withColumn("__pick", F.coalesce(*picks))
-    out = out.select(*records.columns, F.col("__pick.c").alias("place_code"), F.col("__pick.r").alias("place_rule"), F.col("__pick.f").alias("place_field"))
-    names = territory.select(F.col("code").alias("place_code"), F.col("name").alias("place_name"), "uf", "region")
-    clash = [c for c in ("uf", "region", "place_name") if c in records.columns]
-    names = names.withColumnsRenamed({c: f"place_{c}" for c in clash if c != "place_name"})
-    return out.join(small(names), "place_code", "left")
+        out = out.withColumn(f"__d_{name}", only_digits(F.col(column)))
+        digits = F.col(f"__d_{name}")
+        start = lambda n, d=digits: F.when(F.length(d) >= n, F.concat(F.lit(f"{n}:"), F.substring(d, 1, n)))
+        keys += [start(7), start(6), F.when(F.startswith(digits, F.lit(prefix)) & is_state, "fallback")]
+        candidates += [(rule, name) for rule in ("direct_7d", "prefix_6d_to_7d", "df_prefix_fallback")]
+    picked = lambda k, i: F.struct(k.alias("key"), F.lit(candidates[i][0]).alias("rule"), F.lit(candidates[i][1]).alias("field"))
+    if territory.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        known = [r[0] for r in lookup.select("key").collect()]  # two rows a place, within the bound
+        out = out.withColumn("__pick", F.coalesce(*[F.when(k.isin(known), picked(k, i)) for i, k in enumerate(keys)]))
+    else:
+        for i, k in enumerate(keys):
+            hit = lookup.select(F.col("key").alias(f"__k{i}"))
+            out = out.join(hit, k == F.col(f"__k{i}"), "left")
+        out = out.withColumn("__pick", F.coalesce(*[F.when(F.col(f"__k{i}").isNotNull(), picked(F.col(f"__k{i}"), i)) for i in range(len(keys))]))
+    out = out.select(*[c for c in records.columns if c != "place_name"], F.col("__pick.key").alias("__key"), F.col("__pick.rule").alias("place_rule"), F.col("__pick.field").alias("place_field"))
+    small = F.broadcast if territory.limit(broadcast_rows + 1).count() <= broadcast_rows else (lambda d: d)
+    return out.join(small(lookup.withColumnRenamed("key", "__r")), F.col("__key") == F.col("__r"), "left").drop("__key", "__r")

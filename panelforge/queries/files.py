@@ -48,6 +48,19 @@ def read_json_records(spark, sf_dir):
     return _read_back(spark, "json", work)
 
 
+@query(_RECORDS_SPEC, _RECORDS_SQL)
+def read_json_arrays(spark, sf_dir):
+    """One array a file, as the records are published; such a file is one task's work, whatever its size."""
+
+    def work(folder):
+        rows = cases(spark, sf_dir).select("source_year", F.struct(*[F.col(c).cast("string").alias(c) for c in _RECORDS]).alias("r"))
+        rows.groupBy("source_year").agg(F.to_json(F.collect_list("r")).alias("value")).repartition("source_year").write.partitionBy("source_year").text(folder)
+        rename_parts(spark, folder, "RECORDS{}.json")
+        return _record_counts(ingest.read_cases_json(spark, folder, [*_RECORDS, "absent"]))
+
+    return _read_back(spark, "arrays", work)
+
+
 @query(_RECORDS_SPEC, _RECORDS_SQL.replace("count(distinct sex)", "count(distinct nullif(trim(sex), ''))"))
 def read_csv_records(spark, sf_dir):
     """Blanks around values and empty texts don't survive the format: they read as trimmed and null."""

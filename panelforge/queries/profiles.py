@@ -110,8 +110,16 @@ def class_shares_by_split(spark, sf_dir):
     return profile.class_shares(o, "o_orderstatus", "split")
 
 
-@query("position:int name:string nullable:int in_key:int", """select * from (values (0, 'nation', 0, 1), (1, 'week', 0, 1), (2, 'cases', 0, 0), (3, 'severe', 1, 0), (4, 'price', 0, 0)) t(position, name, nullable, in_key)""")
+_CATALOG = "select row_number() over () - 1 as position, column_name as name, (null_percentage > 0)::int as nullable, (column_name in ('o_orderkey'))::int as in_key from (summarize orders)"
+
+
+@query("position:int name:string nullable:int in_key:int", _CATALOG)
 def schema_document(spark, sf_dir):
+    return profile.schema_document(table(spark, sf_dir, "orders"), ["o_orderkey"], "order")
+
+
+@query("position:int name:string nullable:int in_key:int", """select * from (values (0, 'nation', 0, 1), (1, 'week', 0, 1), (2, 'cases', 0, 0), (3, 'severe', 1, 0), (4, 'price', 0, 0)) t(position, name, nullable, in_key)""")
+def panel_schema_document(spark, sf_dir):
     return profile.schema_document(observed(spark, sf_dir), ["nation", "week"], "entity x week")
 
 
