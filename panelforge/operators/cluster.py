@@ -46,12 +46,20 @@ class Clusters:
 
     def assign(self, df: DataFrame) -> DataFrame:
         """df with cluster_id, in one pass over all of it."""
-        return self.model.transform(self.vectors(df)).drop("__x").withColumnRenamed("__cluster", "cluster_id")
+        return nearest_center(df, self.columns, self.stats, [list(map(float, c)) for c in self.model.clusterCenters()])
 
     def evaluation(self, df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame(self.sweep, "k int, silhouette double, inertia double")
 
 
+def nearest_center(df: DataFrame, columns: list[str], stats: dict[str, tuple], centers: list[list[float]]) -> DataFrame:
+    """df with cluster_id: the nearest of given centers in standardised columns (unknown values count as 0 before), of equally
+    near ones the first."""
+    z = [scaled(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), *stats[c]) for c in columns]
+    near = [F.struct(sum(((x - F.lit(v)) ** 2 for x, v in zip(z, center, strict=True)), F.lit(0.0)).alias("d"), F.lit(i).alias("i")) for i, center in enumerate(centers)]
+    return df.withColumn("cluster_id", F.array_min(F.array(*near))["i"])
+
+
 def fit(sample: DataFrame, columns: list[str], k_min: int = 2, k_max: int = 6, seed: int = 42) -> Clusters:
     """Fit for each k (capped by the rows) and keep the best silhouette, the smallest k of equals."""
     filled = sample.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])

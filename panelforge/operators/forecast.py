@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -80,6 +81,30 @@ def classify_risk(train: DataFrame, test: DataFrame, target: str, columns: list[
     return fitted.probabilities(test, classes)
 
 
+@dataclass
+class Means:
+    """The simplest forecast: the mean target of the training rows that agree in the keys."""
+
+    keys: list[str]
+    table: DataFrame
+
+    def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        """df with the mean of its keys; null where the training rows had none."""
+        return df.join(self.table.withColumnRenamed("__mean", name), self.keys, "left")
+
+
+def fit_means(df: DataFrame, target: str, keys: list[str]) -> Means:
+    return Means(keys, df.where(F.col(target).isNotNull()).groupBy(*keys).agg(F.avg(F.col(target).cast("double")).alias("__mean")))
+
+
+def compared(df: DataFrame, target: str, without: str, full: str, alpha: float = 0.05) -> DataFrame:
+    """Errors of two predictions of the same rows, the change in percent, and the paired t test of the squared errors."""
+    errors = df.select(((F.col(target) - F.col(without)) ** 2).alias("e0"), ((F.col(target) - F.col(full)) ** 2).alias("e1")).dropna()
+    scores = errors.agg(F.sqrt(F.avg("e0")).alias("rmse_without"), F.sqrt(F.avg("e1")).alias("rmse_full"))
+    both = scores.crossJoin(paired_t(errors, "e0", "e1"))
+    return both.withColumns({"delta_pct": F.try_divide(F.lit(100.0) * (F.col("rmse_full") - F.col("rmse_without")), F.col("rmse_without")), "improvement": ((F.col("t") > 0) & (F.col("p_value") < alpha)).cast("int")})
+
+
 def ablation(df: DataFrame, target: str, columns: list[str], family: str, split: str = "split", alpha: float = 0.05, **params) -> DataFrame:
     """Errors with and without the columns of a family (by prefix), the change in percent, and t of the squared errors.
 
@@ -89,18 +114,19 @@ def ablation(df: DataFrame, target: str, columns: list[str], family: str, split:
     train, test = df.where(F.col(split) == "train"), df.where(F.col(split) == "test")
     out = fit_counts(train, target, rest, **params).predict(test, "without")
     out = fit_counts(train, target, columns, **params).predict(out, "full")
-    errors = out.select(((F.col(target) - F.col("without")) ** 2).alias("e0"), ((F.col(target) - F.col("full")) ** 2).alias("e1"))
-    scores = errors.agg(F.sqrt(F.avg("e0")).alias("rmse_without"), F.sqrt(F.avg("e1")).alias("rmse_full"))
-    both = scores.crossJoin(paired_t(errors, "e0", "e1"))
-    return both.withColumns({"delta_pct": F.try_divide(F.lit(100.0) * (F.col("rmse_full") - F.col("rmse_without")), F.col("rmse_without")), "improvement": ((F.col("t") > 0) & (F.col("p_value") < alpha)).cast("int")})
+    return compared(out, target, "without", "full", alpha)
+
 
+def multi_horizon(df: DataFrame, value: str, entity: list[str], period: list[str], columns: list[str], year: str, horizons: tuple = (1, 2, 4, 8), train_until: int = TRAIN_UNTIL, limit: float = 2.0, fit: Callable | None = None, **params) -> DataFrame:
+    """Test metrics of one fit a horizon, each rmse over that of the first, and whether that stays below ``limit``.
 
-def multi_horizon(df: DataFrame, value: str, entity: list[str], period: list[str], columns: list[str], year: str, horizons: tuple = (1, 2, 4, 8), train_until: int = TRAIN_UNTIL, limit: float = 2.0, **params) -> DataFrame:
-    """Test metrics of one fit a horizon, each rmse over that of the first, and whether that stays below ``limit``."""
+    fit: from training rows with ``target`` to what predicts (default: boosted trees of the columns).
+    """
+    make = fit or (lambda rows: fit_counts(rows, "target", columns, **params))
 
     def one(h: int) -> DataFrame:
         rows = leads(df, value, entity, period, h)
-        fitted = fit_counts(rows.where(F.col(year) <= train_until), "target", columns, **params)
+        fitted = make(rows.where(F.col(year) <= train_until))
         return fitted.predict(rows.where(F.col(year) > train_until)).select(F.lit(h).alias("horizon"), "target", "prediction")
 
     out = regression_metrics(reduce(DataFrame.unionByName, at_once(one, horizons)), "target", "prediction", ["horizon"])
@@ -133,12 +159,17 @@ def fold_rows(df: DataFrame, year: str, first_after: int = 5, step: int = 3) ->
     return met.groupBy(*plan.columns).agg(part(y <= F.col("train_until")).alias("n_train"), part(y == F.col("validation_year")).alias("n_validation"), part(y == F.col("test_year")).alias("n_test"))
 
 
-def walk_forward(df: DataFrame, target: str, columns: list[str], year: str, first_after: int = 5, step: int = 3, **params) -> DataFrame:
-    """Metrics of each fold's test year."""
+def walk_forward(df: DataFrame, target: str, columns: list[str], year: str, first_after: int = 5, step: int = 3, fit: Callable | None = None, **params) -> DataFrame:
+    """Metrics of each fold's test year.
+
+    fit: from the rows up to the validation year and the condition that marks that year's rows to what predicts (default:
+    boosted trees of the columns).
+    """
+    make = fit or (lambda rows, validation: fit_counts(rows, target, columns, validation, **params))
     years = [r[0] for r in df.select(year).distinct().collect()]
 
     def one(f: dict) -> DataFrame:
-        fitted = fit_counts(df.where(F.col(year) <= f["validation_year"]), target, columns, F.col(year) == f["validation_year"], **params)
+        fitted = make(df.where(F.col(year) <= f["validation_year"]), F.col(year) == f["validation_year"])
         return fitted.predict(df.where(F.col(year) == f["test_year"])).select(F.lit(f["test_year"]).alias("test_year"), target, "prediction")
 
     chosen = folds(years, first_after, step)
