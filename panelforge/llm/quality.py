@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import unit_hash
 
-#: Bounds of the sample that the dictionaries and the curve are fitted on: rows of each class, and for the dictionaries
-#: pieces of a row, spread evenly over the whole text, and characters of a piece.
+#: Bounds of the sample that the dictionaries and the curve are fitted on: rows of each class; characters of a piece of
+#: text, and of all pieces that the dictionaries are trained on together. Pieces are whole texts cut up; where they are more
+#: than that, they are drawn by a hash, each with the same chance.
 SAMPLE_ROWS = 2500
-PIECES, PIECE_CHARS = 8, 512
+PIECE_CHARS, DICTIONARY_CHARS = 512, 64_000_000
 DICTIONARY_BYTES = 16 << 10
 CHUNK_BYTES = 256
 LEVEL = 3
@@ -86,11 +87,8 @@ def dictionary(samples: list[bytes]) -> bytes:
 
 
 def pieces_of(text: Column) -> Column:
-    """Up to PIECES stretches of PIECE_CHARS characters, evenly spread over the text: all of it where it is short."""
-    n = F.ceil(F.length(text) / PIECE_CHARS)
-    taken = F.least(n, F.lit(PIECES)).cast("int")
-    at = lambda k: (F.floor(k * n / taken) * PIECE_CHARS + 1).cast("int")
-    return F.transform(F.sequence(F.lit(0), taken - 1), lambda k: F.substring(text, at(k), F.lit(PIECE_CHARS)))
+    """The text in stretches of PIECE_CHARS characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))
 
 
 def differences_of(text: Column, model: CompressionModel, spark) -> Column:
@@ -122,7 +120,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "t
     chosen = marks.where(drawn < 1).select("id", "y", (unit_hash(F.col("id"), seed=80) < 0.5).alias("builds"))
     text = F.col(text_col).cast("string")
     sample = docs.where(F.length(text) > 0).select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")
-    pieces = sample.where("builds").select("id", "y", F.explode(pieces_of(F.col("text"))).alias("piece")).distinct().toPandas().sort_values(["id", "piece"])
+    building = sample.where("builds")
+    chars = building.agg(F.sum(F.length("text"))).first()[0] or 0
+    pieces = building.select("id", "y", F.posexplode(pieces_of(F.col("text"))).alias("pos", "piece"))
+    if chars > DICTIONARY_CHARS:
+        pieces = pieces.where(unit_hash(F.col("id"), F.col("pos"), seed=81) < DICTIONARY_CHARS / chars)
+    pieces = pieces.select("id", "y", "piece").distinct().toPandas().sort_values(["id", "piece"])
     if pieces["y"].nunique() < 2:
         return nothing
     good, bad = ([t.encode() for t in pieces["piece"][pieces["y"] == k]] for k in (1, 0))
