@@ -5,7 +5,8 @@ Equal texts get equal integers and different texts different ones, without trust
 1. Length and head tell most texts apart. Only texts that share both with another one are named.
 2. These are cut into fixed-size blocks. The distinct blocks are sorted within hash partitions; a block's place, counted
    over all partitions, is its name.
-3. Adjacent names pair up, the distinct pairs are sorted and named in turn, until each text has one name.
+3. Adjacent names pair up, the distinct pairs are sorted and named in turn, until each text has one name; a text leaves as
+   soon as it has one.
 
 A level's names are checkpointed as soon as they are given, so a lost executor can't change them. DataFrame operations
 only; the largest group of copies passes through partial aggregation and skew-splittable joins.
@@ -13,6 +14,8 @@ only; the largest group of copies passes through partial aggregation and skew-sp
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,18 +46,25 @@ def same(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inne
 
 
 def block_names(texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """texts: id, sha, norm. Returns id, sha and ``name``: equal for rows of equal norm, else different."""
+    """texts: id, sha, norm. Returns id, sha and ``name``: equal for rows of equal norm, else different.
+
+    A text leaves at the level where it is one block; its name is that level and the block's name there.
+    """
     cut = F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
-    blocks = cut_lineage(texts.select("id", "sha", F.posexplode_outer(cut).alias("pos", "block")).select("id", "sha", F.coalesce("pos", F.lit(0)).cast("long").alias("pos"), F.coalesce("block", F.lit("")).alias("block")))
-    level = same(blocks, named(blocks, ["block"]), ["block"]).select("id", "sha", "pos", "name")
-    longest = blocks.agg(F.max("pos")).first()[0]
-    while longest:
+    blocks = texts.select("id", "sha", F.greatest(F.size(cut), F.lit(1)).cast("long").alias("parts"), F.posexplode_outer(cut).alias("pos", "block"))
+    blocks = cut_lineage(blocks.select("id", "sha", "parts", F.coalesce("pos", F.lit(0)).cast("long").alias("pos"), F.coalesce("block", F.lit("")).alias("block")))
+    level = same(blocks, named(blocks, ["block"]), ["block"]).select("id", "sha", "parts", "pos", "name")
+    longest, depth, out = blocks.agg(F.max("parts")).first()[0] or 1, 0, []
+    while True:
+        out.append(level.where("parts = 1").select("id", "sha", F.struct(F.lit(depth).alias("level"), "name").alias("name")))
+        if longest == 1:
+            return reduce(DataFrame.unionByName, out)
         first = F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a")
         second = F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b")
-        pairs = cut_lineage(level.groupBy("id", "sha", F.floor(F.col("pos") / 2).alias("pos")).agg(first, second))
-        level = same(pairs, named(pairs, ["a", "b"]), ["a", "b"]).select("id", "sha", "pos", "name")
-        longest //= 2
-    return level.select("id", "sha", "name")
+        half = F.ceil(F.col("parts") / 2).alias("parts"), F.floor(F.col("pos") / 2).alias("pos")
+        pairs = cut_lineage(level.where("parts > 1").groupBy("id", "sha", *half).agg(first, second))
+        level = same(pairs, named(pairs, ["a", "b"]), ["a", "b"]).select("id", "sha", "parts", "pos", "name")
+        longest, depth = (longest + 1) // 2, depth + 1
 
 
 def find_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
