@@ -62,8 +62,8 @@ def smallest(df: DataFrame, strata: list[Column], keys: list[str], most: int, se
 
 
 def hash_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
-    """n rows, spread evenly over the keys."""
-    return smallest(df, [], keys, n, seed)
+    """n rows, spread evenly over the keys, in hash order."""
+    return smallest(df, [], keys, n, seed).orderBy(hash_order(keys, seed), *keys)
 
 
 def stratified_cap(df: DataFrame, strata: list[Column | str], keys: list[str], most: int, seed: int = 42) -> DataFrame:
