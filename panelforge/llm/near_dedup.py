@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, cut_lineage, unused
@@ -42,6 +42,8 @@ UNITS = PLACES // UNIT
 #: Nodes that union-find holds in a task before it passes on what it has.
 MAX_NODES = 500_000
 MAX_CACHED = 500_000
+#: Shingles whose sets a task holds at once to confirm links, or those of two texts: 64 MB. Blocks that a block is cut into.
+GROUP_SHINGLES, SUBS = 1 << 23, 1024
 MAX_BROADCAST_IDS = 200_000
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -286,6 +288,30 @@ def dealt_anew(members: DataFrame, buckets: DataFrame, sigs: DataFrame) -> DataF
     return rows.select("u.key", "band", "u.unit", "id", "component")
 
 
+def by_weight(blocks: DataFrame, most: int) -> DataFrame:
+    """Block pairs whose sets are together larger than ``most`` shingles, cut into pairs of lighter blocks.
+
+    Block b becomes blocks b * SUBS, b * SUBS + 1 and so on, each of about half of most; a pair of blocks becomes all pairs of
+    theirs, so every two rows that met meet once again. Groups have at most 2 * BLOCK_MEMBERS rows.
+    """
+    order = ["key", "i", "j"]
+    heavy = blocks.groupBy(*order).agg(F.sum("n").alias("weight")).where(F.col("weight") > most)
+    if not heavy.limit(1).count():
+        return blocks
+    ahead = Window.partitionBy(*order, "own").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    sub = F.floor(F.coalesce(F.sum("n").over(ahead), F.lit(0)) / (most // 2)).cast("int")
+    rows = blocks.join(heavy.select(*order), order).withColumn("sub", F.least(sub, F.lit(SUBS - 1)))
+    subs = rows.groupBy(*order).agg(F.max(F.when(F.col("own") == F.col("i"), F.col("sub"))).alias("subs_i"), F.max(F.when(F.col("own") == F.col("j"), F.col("sub"))).alias("subs_j"))
+    rows = rows.join(subs, order)
+    other = F.when(F.col("own") == F.col("i"), F.col("subs_j")).otherwise(F.col("subs_i"))
+    rows = rows.withColumn("met", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(0)))))
+    first, same = F.col("own") == F.col("i"), F.col("i") == F.col("j")
+    i = F.when(same, F.least("sub", "met")).when(first, F.col("sub")).otherwise(F.col("met"))
+    j = F.when(same, F.greatest("sub", "met")).when(first, F.col("met")).otherwise(F.col("sub"))
+    cut = rows.withColumns({"own": F.col("own") * SUBS + F.col("sub"), "i": F.col("i") * SUBS + i, "j": F.col("j") * SUBS + j}).select(*blocks.columns)
+    return blocks.join(heavy.select(*order), order, "left_anti").unionByName(cut)
+
+
 def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Tables of the rows that agree in the first three columns (key, i, j), from batches sorted by them."""
     held = None
@@ -422,7 +448,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text_col
         if large.limit(1).count():
             anew = keep(dealt_anew(placed, large, reps))
             blocks = blocks.unionByName(blocks_of(anew, keep(mixed_buckets(anew)), reps))
-        close = keep(close_members(blocks, percent))
+        close = keep(by_weight(keep(close_members(blocks, percent)), GROUP_SHINGLES))
         sets = single_sets(keep, full_sets(docs, keep(close.select("id").distinct()), words, text_col, id_col))
         links = keep(links_within(close, sets, percent))
         if links.limit(1).count():

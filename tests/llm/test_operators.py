@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeats and clashing names."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -238,6 +239,15 @@ def test_line_removal(spark, edge_docs, no_docs):
         line_dedup.spread_lines(df, 1)
 
 
+def test_many_removed_lines(spark):
+    """A text of 100,000 spread lines, and rows of one id with different texts."""
+    many = [f"line {i}" for i in range(100_000)]
+    rows = [(1, "\n".join(many), "a"), (2, "\n".join(["own", *many[::-1]]), "b"), (3, "own text\nline 7", "c"), (3, "line 7\nother\n\nline 8", "d"), (3, "line 7\nother\n\nline 8", "d")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.remove_spread_lines(df, 2).collect())
+    assert got == [(1, "", 100_000, 100_000), (2, "own", 100_001, 100_000), (3, "other\n", 4, 2), (3, "other\n", 4, 2), (3, "own text", 2, 1)]
+
+
 def test_lines_near_a_high_threshold(spark):
     """Below the threshold by one, at it and far above it, and a line that most rows of few sites have."""
     lines = [(f"s{i}", f"at {k}") for k in (299, 300, 301, 400) for i in range(k)] + [(f"s{i % 7}", "hot") for i in range(5000)]
@@ -358,6 +368,24 @@ def test_near_copies_by_other_ids(spark, kind):
         near_dedup.near_components(df.withColumn("doc_id", F.col("doc_id").cast("double")))
 
 
+@pytest.mark.parametrize("most", [2, 60, 400])
+def test_near_copies_of_heavy_texts(spark, monkeypatch, most):
+    """Block pairs whose sets are too large to hold at once are cut, and no link is lost."""
+    monkeypatch.setattr(near_dedup, "GROUP_SHINGLES", most)
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 8)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(df, words=2).collect()}
+    assert got == brute_components([{"doc_id": i, "text": t} for i, t in rows], 2)[0] and 1 < len(set(got.values())) < 60
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101)], "a bigint, b bigint").repartition(7)
     got = {r["id"]: r["component"] for r in near_dedup.components(edges).collect()}
@@ -571,6 +599,29 @@ def brute_targets(sizes, weights, most):
     return target
 
 
+def test_mix_of_rows_that_share_an_id(spark):
+    """Rows of one id stand in a fixed order by their texts, and each keeps its own passes."""
+    rows = [(i // 4, " ".join(f"w{i}" for _ in range(1 + i % 7)), "ab"[i % 2]) for i in range(200)] + [(None, f"no id {i}", "b") for i in range(30)] + [(7, "twice the same row", "a")] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["mark"], r["passes"]) for r in mixing.mix(df).collect())
+    assert got == sorted((r["doc_id"] is None, r["doc_id"] or 0, r["mark"], r["passes"]) for r in mixing.mix(df.repartition(7, "text")).collect())
+    assert len({(a, b, c) for a, b, c, _ in got}) == len(got) - 1
+    taken = Counter((r["doc_id"], r["text"]) for r in mixing.take(df).collect())
+    marks = {r["m"]: r["text"] for r in df.select("text", mixing.text_mark(F.col("text")).alias("m")).collect()}
+    want = Counter()
+    for none, i, mark, passes in got:
+        want[None if none else i, marks[mark]] += passes
+    assert taken == +want
+
+
+def test_water_filling_of_many_sources(spark):
+    sizes = [(f"s{i:04d}" if i else None, (i * 7919) % 1000 + (i % 3 == 0) * 10**6) for i in range(700)]
+    df = spark.createDataFrame(sizes, "source string, source_size bigint").repartition(6)
+    got = {r["source"]: r["target"] for r in mixing.water_fill(df).collect()}
+    want = brute_targets(dict(sizes), mixing.WEIGHTS, 3)
+    assert all(abs(got[k] - want[k]) <= 1e-6 * max(1, want[k]) for k in want) and len(got) == len(want)
+
+
 def test_water_filling(spark):
     for sizes in ({"a": 10, "b": 500, "c": 40, None: 7, "B": 90}, {"a": 5}, {"a": 0, "b": 10}, {"a": 10, "b": 10, "c": 1000, "d": 20}):
         df = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
