@@ -23,6 +23,8 @@ from .common import unit_hash
 #: than that, they are drawn by a hash, each with the same chance.
 SAMPLE_ROWS = 2500
 PIECE_CHARS, DICTIONARY_CHARS = 512, 64_000_000
+#: Pieces of a short look at a text.
+PIECES = 8
 DICTIONARY_BYTES = 16 << 10
 CHUNK_BYTES = 256
 LEVEL = 3
@@ -86,9 +88,15 @@ def dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
-def pieces_of(text: Column) -> Column:
-    """The text in stretches of PIECE_CHARS characters."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))
+def pieces_of(text: Column, most: int | None = PIECES) -> Column:
+    """Up to ``most`` stretches of PIECE_CHARS characters, evenly spread over the text; all of it where it is short, or
+    where most is None."""
+    if most is None:
+        return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))
+    n = F.ceil(F.length(text) / PIECE_CHARS)
+    taken = F.least(n, F.lit(most)).cast("int")
+    at = lambda k: (F.floor(k * n / taken) * PIECE_CHARS + 1).cast("int")
+    return F.transform(F.sequence(F.lit(0), taken - 1), lambda k: F.substring(text, at(k), F.lit(PIECE_CHARS)))
 
 
 def differences_of(text: Column, model: CompressionModel, spark) -> Column:
@@ -122,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "t
     sample = docs.where(F.length(text) > 0).select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")
     building = sample.where("builds")
     chars = building.agg(F.sum(F.length("text"))).first()[0] or 0
-    pieces = building.select("id", "y", F.posexplode(pieces_of(F.col("text"))).alias("pos", "piece"))
+    pieces = building.select("id", "y", F.posexplode(pieces_of(F.col("text"), most=None)).alias("pos", "piece"))
     if chars > DICTIONARY_CHARS:
         pieces = pieces.where(unit_hash(F.col("id"), F.col("pos"), seed=81) < DICTIONARY_CHARS / chars)
     pieces = pieces.select("id", "y", "piece").distinct().toPandas().sort_values(["id", "piece"])
