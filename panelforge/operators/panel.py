@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,11 +78,11 @@ def mark_duplicates(rows: DataFrame, columns: list[str], order: list[str]) -> Da
 
     The first of each group comes from an aggregation, so no task holds all copies of a record.
     """
-    group = F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"))
-    kept = cut_lineage(rows.withColumns({"__group": group, "__place": F.monotonically_increasing_id()}))
+    kept = cut_lineage(rows.withColumn("__place", F.monotonically_increasing_id()))
     first = F.min(F.struct(*order, "__place"))["__place"].alias("__first")
-    several = kept.groupBy(F.col("__group").alias("__r")).agg(first, F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    out = kept.join(cut_lineage(several), F.col("__group") == F.col("__r"), "left")
+    several = kept.groupBy(*[F.col(c).alias(f"__r_{c}") for c in columns]).agg(first, F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in columns])
+    out = kept.join(several, same, "left")
     return out.select(*rows.columns, F.coalesce(F.col("__place") != F.col("__first"), F.lit(False)).alias("is_duplicate"))
 
 

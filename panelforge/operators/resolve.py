@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import canonical, only_digits
+from ..sources.shared import cut_lineage
 
 
 def in_scope(codes: list[Column], states: list[Column], name: Column, code_prefix: str | None = None, state: str | None = None, state_code: str | None = None, target_name: str | None = None, whole_state: str = "DF") -> Column:
@@ -62,14 +63,17 @@ def resolve_place(records: DataFrame, territory: DataFrame, codes: list[tuple[st
         keys += [start(7), start(6), F.when(F.startswith(digits, F.lit(prefix)) & is_state, "fallback")]
         candidates += [(rule, name) for rule in ("direct_7d", "prefix_6d_to_7d", "df_prefix_fallback")]
     picked = lambda k, i: F.struct(k.alias("key"), F.lit(candidates[i][0]).alias("rule"), F.lit(candidates[i][1]).alias("field"))
-    if territory.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    few = territory.limit(broadcast_rows + 1).count() <= broadcast_rows
+    if few:
+        lookup = cut_lineage(lookup)
         known = [r[0] for r in lookup.select("key").collect()]  # two rows a place, within the bound
-        out = out.withColumn("__pick", F.coalesce(*[F.when(k.isin(known), picked(k, i)) for i, k in enumerate(keys)]))
+        out = out.withColumns({f"__k{i}": k for i, k in enumerate(keys)})
+        out = out.withColumn("__pick", F.coalesce(*[F.when(F.col(f"__k{i}").isin(known), picked(F.col(f"__k{i}"), i)) for i in range(len(keys))]))
     else:
         for i, k in enumerate(keys):
             hit = lookup.select(F.col("key").alias(f"__k{i}"))
             out = out.join(hit, k == F.col(f"__k{i}"), "left")
         out = out.withColumn("__pick", F.coalesce(*[F.when(F.col(f"__k{i}").isNotNull(), picked(F.col(f"__k{i}"), i)) for i in range(len(keys))]))
     out = out.select(*[c for c in records.columns if c != "place_name"], F.col("__pick.key").alias("__key"), F.col("__pick.rule").alias("place_rule"), F.col("__pick.field").alias("place_field"))
-    small = F.broadcast if territory.limit(broadcast_rows + 1).count() <= broadcast_rows else (lambda d: d)
+    small = F.broadcast if few else (lambda d: d)
     return out.join(small(lookup.withColumnRenamed("key", "__r")), F.col("__key") == F.col("__r"), "left").drop("__key", "__r")
