@@ -76,10 +76,12 @@ def discard_examples(rows: DataFrame, order: list[str], by: str = "source_year",
 def mark_duplicates(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """rows with is_duplicate: all but the first of those that agree in the columns.
 
-    The first of each group comes from an aggregation, so no task holds all copies of a record.
+    The first of each group comes from an aggregation, so no task holds all copies of a record. Order columns that are
+    among the columns are the same for a whole group and don't count; without others a plain number is aggregated.
     """
     kept = cut_lineage(rows.withColumn("__place", F.monotonically_increasing_id()))
-    first = F.min(F.struct(*order, "__place"))["__place"].alias("__first")
+    left = [c for c in order if c not in columns]
+    first = (F.min(F.struct(*left, "__place"))["__place"] if left else F.min("__place")).alias("__first")
     several = kept.groupBy(*[F.col(c).alias(f"__r_{c}") for c in columns]).agg(first, F.count(F.lit(1)).alias("__n")).where("__n > 1")
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in columns])
     out = kept.join(several, same, "left")

@@ -33,47 +33,51 @@ def in_scope(codes: list[Column], states: list[Column], name: Column, code_prefi
     return hit | state_match & (by_name | by_state)
 
 
+def lookup_of(territory: DataFrame) -> DataFrame:
+    """key (7: and a code, 6: and six digits) and place (code, name, uf, region), each key once.
+
+    Of rows with one code the least by name, uf and region counts, of codes with the same six digits the greatest.
+    """
+    texts = territory.select(*[F.col(c).cast("string").alias(c) for c in ("code", "code6", "name", "uf", "region")]).where("code is not null")
+    least = F.struct(*[x for c in ("name", "uf", "region") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c).alias(c))])
+    one = texts.groupBy("code").agg(F.min(least).alias("n"), F.collect_set("code6").alias("six")).select("code", "n.name", "n.uf", "n.region", "six")
+    place = F.struct("code", "name", "uf", "region")
+    six = one.select(F.explode("six").alias("code6"), place.alias("place")).groupBy("code6").agg(F.max("place").alias("place"))
+    return one.select(F.concat(F.lit("7:"), "code").alias("key"), place.alias("place")).unionByName(six.select(F.concat(F.lit("6:"), "code6").alias("key"), "place"))
+
+
 def resolve_place(records: DataFrame, territory: DataFrame, codes: list[tuple[str, str]], states: list[str], fallback: tuple[str, str, str] = ("53", "DF", "5300108"), broadcast_rows: int = 50_000) -> DataFrame:
     """records with place_code, place_name, uf, region, place_rule and place_field; all null where nothing matches.
 
     codes: (name, column) in order of precedence. A code resolves by its first seven digits (direct_7d), else by its
     first six (prefix_6d_to_7d), else, if it starts with the fallback's prefix and a state column names its state, to the
-    fallback's code (df_prefix_fallback). territory: code, code6, name, uf, region.
+    fallback's code (df_prefix_fallback), whether the territory has it or not. territory: code, code6, name, uf, region.
 
-    The keys that a record's codes may meet stand in one list, in order; the first that the territory knows decides. A
-    territory of at most broadcast_rows rows has its keys in the plan as a set, so that one broadcast join by the key found
-    is all; a larger one is met key by key.
+    The territory is read once. A lookup of at most broadcast_rows keys is one broadcast that all of a record's codes
+    probe; a larger one is met by shuffles.
     """
     prefix, state, target = fallback
     is_state = F.lit(False)
     for s in states:
         is_state = is_state | canonical(F.col(s)).isin(state, prefix)
-    exact = territory.select(F.concat(F.lit("7:"), "code").alias("key"), F.col("code").alias("place_code"))
-    six = territory.groupBy("code6").agg(F.max("code").alias("place_code")).select(F.concat(F.lit("6:"), "code6").alias("key"), "place_code")
-    # The fallback's code stands whether the territory has it or not.
-    whole = territory.sparkSession.createDataFrame([("fallback", target)], "key string, place_code string")
-    names = territory.select(F.col("code").alias("__code"), F.col("name").alias("place_name"), *[F.col(c).alias(f"place_{c}" if c in records.columns else c) for c in ("uf", "region")])
-    lookup = exact.unionByName(six).unionByName(whole).where("key is not null").join(names, F.col("place_code") == F.col("__code"), "left").drop("__code")
-    out = records.drop("place_name")
-    keys, candidates = [], []
-    for name, column in codes:
-        out = out.withColumn(f"__d_{name}", only_digits(F.col(column)))
-        digits = F.col(f"__d_{name}")
-        start = lambda n, d=digits: F.when(F.length(d) >= n, F.concat(F.lit(f"{n}:"), F.substring(d, 1, n)))
-        keys += [start(7), start(6), F.when(F.startswith(digits, F.lit(prefix)) & is_state, "fallback")]
-        candidates += [(rule, name) for rule in ("direct_7d", "prefix_6d_to_7d", "df_prefix_fallback")]
-    picked = lambda k, i: F.struct(k.alias("key"), F.lit(candidates[i][0]).alias("rule"), F.lit(candidates[i][1]).alias("field"))
-    few = territory.limit(broadcast_rows + 1).count() <= broadcast_rows
-    if few:
-        lookup = cut_lineage(lookup)
-        known = [r[0] for r in lookup.select("key").collect()]  # two rows a place, within the bound
-        out = out.withColumns({f"__k{i}": k for i, k in enumerate(keys)})
-        out = out.withColumn("__pick", F.coalesce(*[F.when(F.col(f"__k{i}").isin(known), picked(F.col(f"__k{i}"), i)) for i in range(len(keys))]))
-    else:
-        for i, k in enumerate(keys):
-            hit = lookup.select(F.col("key").alias(f"__k{i}"))
-            out = out.join(hit, k == F.col(f"__k{i}"), "left")
-        out = out.withColumn("__pick", F.coalesce(*[F.when(F.col(f"__k{i}").isNotNull(), picked(F.col(f"__k{i}"), i)) for i in range(len(keys))]))
-    out = out.select(*[c for c in records.columns if c != "place_name"], F.col("__pick.key").alias("__key"), F.col("__pick.rule").alias("place_rule"), F.col("__pick.field").alias("place_field"))
-    small = F.broadcast if few else (lambda d: d)
-    return out.join(small(lookup.withColumnRenamed("key", "__r")), F.col("__key") == F.col("__r"), "left").drop("__key", "__r")
+    lookup = cut_lineage(lookup_of(territory))
+    size = lookup.agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("key") == f"7:{target}", F.col("place"))).alias("place")).first()
+    known = size["place"] or (target, None, None, None)
+    capital = F.struct(*[F.lit(v).cast("string").alias(c) for v, c in zip(known, ("code", "name", "uf", "region"), strict=True)])
+    small = F.broadcast if size["n"] <= broadcast_rows else (lambda d: d)
+    out, found = records.drop("place_name"), []
+    for i, (name, column) in enumerate(codes):
+        out = out.withColumn(f"__d{i}", only_digits(F.col(column)))
+        digits = F.col(f"__d{i}")
+        hits = []
+        for n, rule in ((7, "direct_7d"), (6, "prefix_6d_to_7d")):
+            key = F.when(F.length(digits) >= n, F.concat(F.lit(f"{n}:"), F.substring(digits, 1, n)))
+            out = out.withColumn(f"__k{i}{n}", key).join(small(lookup.select(F.col("key").alias(f"__r{i}{n}"), F.col("place").alias(f"__p{i}{n}"))), F.col(f"__k{i}{n}") == F.col(f"__r{i}{n}"), "left")
+            hits.append((F.col(f"__r{i}{n}").isNotNull(), F.col(f"__p{i}{n}"), rule))
+        hits.append((F.startswith(digits, F.lit(prefix)) & is_state, capital, "df_prefix_fallback"))
+        found += [F.when(hit, F.struct(place.alias("place"), F.lit(rule).alias("rule"), F.lit(name).alias("field"))) for hit, place, rule in hits]
+    place = F.col("__pick.place")
+    added = {"place_code": place["code"], "place_name": place["name"]} | {f"place_{c}" if c in records.columns else c: place[c] for c in ("uf", "region")}
+    added |= {"place_rule": F.col("__pick.rule"), "place_field": F.col("__pick.field")}
+    kept = [c for c in records.columns if c != "place_name"]
+    return out.withColumn("__pick", F.coalesce(*found)).select(*kept, *[v.alias(c) for c, v in added.items()])

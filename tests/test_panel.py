@@ -73,6 +73,36 @@ def test_resolution(spark):
     assert out[4] == ("5300108", "df_prefix_fallback", "a") and out[5] == (None, None, None) and out[6] == ("3550308", "direct_7d", "b")
 
 
+def test_resolution_both_ways(spark):
+    names = "code string, code6 string, name string, uf string, region string"
+    some = [(f"{1100000 + 7 * i}", f"{1100000 + 7 * i}"[:6], f"N{i}", "RO", "N") for i in range(5000)]
+    t = spark.createDataFrame([*some, ("1100007", "110000", "A", "RO", "N"), (None, "999999", "Z", "RO", "N"), ("9999999", None, None, "RO", "N")], names)
+    rec = spark.createDataFrame([(i, f"{1100000 + i}", f"{1099000 + i}"[:6], "AC", "old") for i in range(3000)] + [(-1, "999999", "5300000", "DF", "old")], "i int, a string, b string, uf string, place_name string")
+    few, many = (resolve.resolve_place(rec, t, [("a", "a"), ("b", "b")], ["uf"], broadcast_rows=n) for n in (50_000, 10))
+    assert few.columns == ["i", "a", "b", "uf", "place_code", "place_name", "place_uf", "region", "place_rule", "place_field"]
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "InSet" not in plan and "SortMergeJoin" not in plan
+    rows = few.orderBy("i").collect()
+    assert rows == many.orderBy("i").collect() and len(rows) == 3001
+    codes = {}
+    for code, code6, *_ in some:
+        codes[code] = code
+        codes[code6] = max(code, codes.get(code6, ""))
+    for r in rows[1:]:
+        want = codes.get(r["a"]) or codes.get(r["a"][:6]) or codes.get(r["b"])
+        assert r["place_code"] == want, r
+    assert {r["place_name"] for r in rows if r["place_code"] == "1100007"} == {"A"}
+    assert tuple(rows[0])[4:] == ("5300108", None, None, None, "df_prefix_fallback", "b")
+
+
+def test_duplicates_by_order(spark):
+    df = spark.createDataFrame([(1, 5, "x"), (1, 3, "y"), (1, 3, "z"), (None, 2, "n"), (None, 1, "m"), (2, None, "s")], "k int, o int, v string")
+    out = {r["v"]: r["is_duplicate"] for r in panel.mark_duplicates(df, ["k"], ["o"]).collect()}
+    assert out["x"] and out["y"] + out["z"] == 1 and out["n"] and not out["m"] and not out["s"]
+    whole = panel.mark_duplicates(df.unionByName(df), ["k", "o", "v"], ["o", "k"])
+    assert whole.where("is_duplicate").count() == 6 and whole.count() == 12
+
+
 def test_spatial(spark):
     places = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0), (3, 60.0, 100.0), (4, 0.0, 1.0)], "place int, latitude double, longitude double")
     sites = spark.createDataFrame([(10, 0.0, 0.2), (11, 0.0, -0.2), (12, 0.0, 179.95), (13, 0.0, 1.8)], "site int, latitude double, longitude double")
