@@ -10,24 +10,36 @@ from pyspark.sql import functions as F
 from ..sources.shared import cut_lineage
 
 
-def _attached(left: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """left with the other columns of small (a row a key, broadcast); null keys meet null keys."""
-    other = small.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+#: Rows of a small table that is broadcast; beyond it the join is left to Spark.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def attached(left: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left with the other columns of small, a row a key; null keys meet null keys.
+
+    small is made once and counted; it is broadcast up to MAX_BROADCAST_ROWS rows.
+    """
+    other = cut_lineage(small.withColumnsRenamed({k: f"__r_{k}" for k in keys}))
     same = reduce(Column.__and__, [left[k].eqNullSafe(other[f"__r_{k}"]) for k in keys])
-    return left.join(F.broadcast(other), same).drop(*[f"__r_{k}" for k in keys])
+    few = other.count() <= MAX_BROADCAST_ROWS
+    return left.join(F.broadcast(other) if few else other, same, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def running_counts(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
+def running_counts(counts: DataFrame, keys: list[str], value: str, n: str = "n", total: str | None = None) -> DataFrame:
     """counts (one row a key and value, n rows each) with ``before``: the rows of the key with smaller values.
 
-    Spark deals the values out by range; sums over the ranges come from a small table (a row for each key and range that
-    it has values in), those inside a range from a window.
+    total: a name for the number of all rows of the key, if wanted. Spark deals the values out by range; sums over the
+    ranges come from a small table (a row for each key and range that it has values in), those inside a range from a
+    window.
     """
     dealt = cut_lineage(counts.repartitionByRange(*keys, value).withColumn("__part", F.spark_partition_id()))
-    ahead = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy(*keys, "__part").agg(F.sum(n).alias("__n")).withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).drop("__n")
+    of_key = Window.partitionBy(*keys)
+    ahead = of_key.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*keys, "__part").agg(F.sum(n).alias("__n")).withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0)))
+    if total:
+        parts = parts.withColumn(total, F.sum("__n").over(of_key))
     inside = Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = _attached(dealt, parts, [*keys, "__part"])
+    out = attached(dealt, parts.drop("__n"), [*keys, "__part"])
     return out.withColumn("before", F.col("__ahead") + F.coalesce(F.sum(n).over(inside), F.lit(0))).drop("__part", "__ahead")
 
 
@@ -37,8 +49,7 @@ def key_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float
     Meant for few keys with many values; many keys with few values each want F.percentile.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    rows = running_counts(counts, keys, value)
-    rows = _attached(rows, rows.groupBy(*keys).agg(F.max(F.col("before") + F.col("n")).alias("__total")), keys)
+    rows = running_counts(counts, keys, value, total="__total")
 
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("before") + F.col("n") > rank, F.col(value).cast("double")))
@@ -51,6 +62,5 @@ def key_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float
 
 def with_medians(stats: DataFrame, df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """stats (a row a key) with ``median`` of a value of df; null where the key has no known value."""
-    found = key_quantiles(df, keys, value, [0.5]).select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col("q")[0].alias("median"))
-    same = reduce(Column.__and__, [stats[k].eqNullSafe(found[f"__r_{k}"]) for k in keys])
-    return stats.join(F.broadcast(found), same, "left").drop(*[f"__r_{k}" for k in keys])
+    found = key_quantiles(df, keys, value, [0.5]).select(*keys, F.col("q")[0].alias("median"))
+    return attached(stats, found, keys, "left")

@@ -103,6 +103,18 @@ def test_duplicates_by_order(spark):
     assert whole.where("is_duplicate").count() == 6 and whole.count() == 12
 
 
+def test_quantiles_of_many_keys(spark, monkeypatch):
+    df = spark.range(3000).select(F.when(F.col("id") % 40 > 0, F.col("id") % 40).alias("k"), ((F.col("id") * 37) % 501).cast("double").alias("v"))
+    want = {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("v", [0.1, 0.5, 0.9]).alias("q")).collect()}
+    for bound in (ranks.MAX_BROADCAST_ROWS, 0):
+        monkeypatch.setattr(ranks, "MAX_BROADCAST_ROWS", bound)
+        got = {r["k"]: r["q"] for r in ranks.key_quantiles(df, ["k"], "v", [0.1, 0.5, 0.9]).collect()}
+        assert got.keys() == want.keys() and all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k], strict=True))
+        stats = df.groupBy("k").agg(F.count("v").alias("n")).unionByName(spark.createDataFrame([(999, 0)], "k long, n long"))
+        out = {r["k"]: r["median"] for r in ranks.with_medians(stats, df, ["k"], "v").collect()}
+        assert out == {999: None} | {k: q[1] for k, q in want.items()}
+
+
 def test_spatial(spark):
     places = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0), (3, 60.0, 100.0), (4, 0.0, 1.0)], "place int, latitude double, longitude double")
     sites = spark.createDataFrame([(10, 0.0, 0.2), (11, 0.0, -0.2), (12, 0.0, 179.95), (13, 0.0, 1.8)], "site int, latitude double, longitude double")
