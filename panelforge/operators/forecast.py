@@ -68,13 +68,18 @@ def training_curve(fitted: Boosted, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "round int, train_rmse double, val_rmse double, kept boolean")
 
 
+#: Parameters of ``boosting.boost`` by the names of Spark's boosting.
+_OWN_NAMES = {"maxIter": "rounds", "maxDepth": "depth", "stepSize": "step", "subsamplingRate": "subsample", "minInstancesPerNode": "least_rows"}
+
+
 def classify_risk(train: DataFrame, test: DataFrame, target: str, columns: list[str], validation: Column | None = None, classes: int = 4, **params) -> DataFrame:
     """test with the predicted class and the probability of each class, of one model of all classes.
 
-    validation marks the rows of train that stop it early; params: rounds, patience and more of ``boosting.boost``. A class
-    that train lacks has probability 0; with one class only, that one has 1.
+    validation marks the rows of train that stop it early; params: rounds, patience and more of ``boosting.boost``, or the
+    names that Spark's boosting has for them, as in ``fit_counts``. A class that train lacks has probability 0; with one
+    class only, that one has 1.
     """
-    fitted = boost(train, target, columns, validation, classes=True, **params)
+    fitted = boost(train, target, columns, validation, classes=True, **{_OWN_NAMES.get(k, k): v for k, v in params.items()})
     if len(fitted.labels) < 2:
         only = fitted.labels[0] if fitted.labels else 0
         return test.withColumns({f"p_{k}": F.lit(float(k in fitted.labels)) for k in range(classes)} | {"predicted": F.lit(only)})
