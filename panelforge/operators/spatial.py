@@ -89,8 +89,18 @@ def nearest_values(mapping: DataFrame, readings: DataFrame) -> DataFrame:
 
 
 def inverse_distance(places: DataFrame, sites: DataFrame, readings: DataFrame, periods: list[str], values: list[str], within_km: float = 50, power: float = 2) -> DataFrame:
-    """Mean of the readings of all sites within a distance, weighted by 1 / distance ** power (a metre at least)."""
-    w = F.lit(1.0) / F.pow(F.greatest("km", F.lit(0.001)), F.lit(float(power)))
-    rows = pairs(places, sites, within_km).withColumn("__w", w).join(readings, "site")
-    means = [F.try_divide(F.sum(F.col(v) * F.col("__w")), F.sum(F.when(F.col(v).isNotNull(), F.col("__w")))).alias(v) for v in values]
-    return rows.groupBy("place", *periods).agg(*means)
+    """Mean of the readings of all sites within a distance, weighted by 1 / distance ** power (a metre at least).
+
+    Places and sites of one position are one row in the join of positions: its sites' readings are summed and counted by
+    period before, its places get the sums after.
+    """
+    at, site_at, n = ["latitude", "longitude"], ["s_lat", "s_lon"], range(len(values))
+    p, s = places.dropna(subset=at).select("place", *at), _sites(sites)
+    known = [x for i, v in enumerate(values) for x in (F.sum(F.col(v).cast("double")).alias(f"__s{i}"), F.count(v).alias(f"__n{i}"))]
+    read = s.join(readings, "site").groupBy(*site_at, *periods).agg(*known)
+    near = grid_pairs(p.select(*at).distinct(), s.select(*site_at).distinct(), within_km).withColumn("__km", _km()).where(F.col("__km") <= within_km)
+    w = F.lit(1.0) / F.pow(F.greatest("__km", F.lit(0.001)), F.lit(float(power)))
+    weighed = [x for i in n for x in (F.sum(F.col(f"__s{i}") * F.col("__w")).alias(f"__s{i}"), F.sum(F.when(F.col(f"__n{i}") > 0, F.col(f"__n{i}") * F.col("__w"))).alias(f"__n{i}"))]
+    spots = near.withColumn("__w", w).join(read, site_at).groupBy(*at, *periods).agg(*weighed)
+    means = [F.try_divide(F.sum(f"__s{i}"), F.sum(f"__n{i}")).alias(v) for i, v in enumerate(values)]
+    return p.join(spots, at).groupBy("place", *periods).agg(*means)

@@ -163,6 +163,37 @@ def test_nearest_site_on_the_grid(spark):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_inverse_distance_joins_positions(spark, monkeypatch):
+    """Many places and sites of few positions meet once a pair of positions; the means are those of all pairs."""
+    met, grid_pairs = [], spatial.grid_pairs
+
+    def counted(*args):
+        out = grid_pairs(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "grid_pairs", counted)
+    places = spark.range(300).selectExpr("id as place", "-10 + id % 3 * 0.1D as latitude", "-50D as longitude").unionByName(spark.createDataFrame([(7, 0.0, 0.0), (8, None, 1.0)], "place long, latitude double, longitude double"))
+    sites = spark.range(40).selectExpr("id as site", "-10 + id % 2 * 0.3D as latitude", "-50.1D as longitude")
+    readings = sites.selectExpr("site", "explode(array('a', 'b', null)) as w").selectExpr("site", "w", "case when site % 5 > 1 or w = 'b' then site * 1.5D end as v", "cast(null as int) as u")
+    got = spatial.inverse_distance(places, sites, readings, ["w"], ["v", "u"], within_km=40).collect()
+    assert met == [6]
+    monkeypatch.undo()
+    pairs = spatial.pairs(places, sites, 40).collect()
+    by_site = {}
+    for r in readings.collect():
+        by_site.setdefault(r["site"], []).append(r)
+    sums = {}
+    for q in pairs:
+        for r in by_site[q["site"]]:
+            a = sums.setdefault((q["place"], r["w"]), [0.0, 0.0])
+            if r["v"] is not None:
+                a[0] += r["v"] / max(q["km"], 0.001) ** 2
+                a[1] += 1 / max(q["km"], 0.001) ** 2
+    assert {(r["place"], r["w"]) for r in got} == set(sums) and len(got) == len(sums) == 900
+    assert all(r["u"] is None and r["v"] == pytest.approx(sums[r["place"], r["w"]][0] / sums[r["place"], r["w"]][1]) for r in got)
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(0.0, 1.0), (2.0, 2.0), (4.0, 2.0)], "y double, p double")
     r = metrics.regression_metrics(df, "y", "p").first()
