@@ -89,8 +89,8 @@ def read_station_data(spark, sf_dir):
         wrong = ["2024/01/01;0000 UTC;5" + ";" * 20, "total;x;1;2;3", "2024/01/01;1"]
         texts = [k if not isinstance(k, str) else F.lit(k) for k in [*keys, *wrong]]
         head = r.select("station").distinct().select("station", F.posexplode(F.array(*texts)).alias("pos", "line"))
-        rows = head.unionByName(body).repartition("station").sortWithinPartitions("station", "pos").select("station", "line")
-        rows.write.partitionBy("station").text(f"{folder}/files")
+        rows = head.unionByName(body).withColumn("file", F.concat("station", F.lit(".csv")))
+        publish.write_text_files(rows, f"{folder}/files", "file", ["pos"], "line", "latin-1")
         hourly, stations = ingest.read_station_files(spark, f"{folder}/files")
         by = hourly.groupBy(F.col("codigo_wmo").alias("station")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("data").alias("days"), F.sum("precipitacao_mm").alias("rain"), F.count("precipitacao_mm").alias("rain_known"), F.sum("umidade_inst_pct").alias("humidity"))
         return by.join(stations.select(F.col("codigo_wmo").alias("station"), "latitude", F.col("data_fundacao").alias("founded")), "station")

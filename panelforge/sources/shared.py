@@ -52,6 +52,18 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
 
+def _address(uri: object) -> str:
+    """An address that Spark and Arrow both read."""
+    return f"file://{uri.getPath()}" if uri.getScheme() in (None, "file") else uri.toString()
+
+
+def make_folder(spark: SparkSession, path: str) -> str:
+    """Make a folder where there is none; its full address."""
+    fs, where = _file_system(spark, path)
+    fs.mkdirs(where)
+    return _address(fs.makeQualified(where).toUri())
+
+
 def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """Full paths and sizes of the files below a path, in order, without hidden ones."""
     fs, where = _file_system(spark, path)
@@ -60,8 +72,7 @@ def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
         status = found.next()
         name = status.getPath().getName()
         if not name.startswith((".", "_")):
-            address = status.getPath().toUri()
-            out.append((f"file://{address.getPath()}" if address.getScheme() in (None, "file") else address.toString(), status.getLen()))
+            out.append((_address(status.getPath().toUri()), status.getLen()))
     return sorted(out)
 
 

@@ -1,6 +1,10 @@
 """Publishing by key: versions, interrupted runs, null keys and untouched buckets."""
 
+import os
+import pathlib
+
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.sources import keyed, publish
 from panelforge.sources.shared import list_folder
@@ -70,3 +74,37 @@ def test_frames_with_null_and_repeated_keys(spark):
     assert rows(publish.insert_if_absent(old, new, ["k"])) == [(1, "a"), (2, "d"), (None, "b")]
     assert rows(publish.replace_by_key(old, new, ["k"])) == [(1, "a"), (2, "d"), (None, "c")]
     assert rows(publish.insert_if_absent(old.select("k"), new.select("k"), ["k"])) == [(1,), (2,), (None,)]
+
+
+def test_many_text_files(spark, tmp_path):
+    """A file a name, its lines in order, written by several tasks however few bytes there are, without drafts left."""
+    rows = spark.createDataFrame([(f"f{i}.csv", j, f"{i};é{j}" if j else None) for i in range(40) for j in (2, 0, 1)], "name string, pos int, line string")
+    folder = tmp_path / "many" / "files"
+    assert publish.write_text_files(rows, str(folder), "name", ["pos"], "line", "latin-1") == 40
+    assert sorted(p.name for p in folder.iterdir()) == sorted(f"f{i}.csv" for i in range(40))
+    assert all((folder / f"f{i}.csv").read_bytes() == f"\n{i};é1\n{i};é2\n".encode("latin-1") for i in range(40))
+    # A second run replaces the files.
+    assert publish.write_text_files(rows.where("name = 'f7.csv' and pos = 1"), str(folder), "name", ["pos"], "line") == 1
+    assert (folder / "f7.csv").read_text("utf-8") == "7;é1\n" and len(list(folder.iterdir())) == 40
+    assert publish.write_text_files(rows.limit(0), str(tmp_path / "none"), "name", ["pos"], "line") == 0
+    with pytest.raises(Exception, match="lines without a file"):
+        publish.write_text_files(rows.withColumn("name", F.lit(None).cast("string")), str(folder), "name", ["pos"], "line")
+
+
+def test_station_files_have_no_folders(spark, monkeypatch):
+    """Station files lie beside each other: a directory each, made and moved one by one, took most of the time."""
+    from panelforge.queries import QUERIES, files
+
+    seen, remove = [], files.remove_folder
+
+    def looked_at(session, folder):
+        at = pathlib.Path(folder.removeprefix("file:")) / "files"
+        seen.extend(p.is_file() for p in at.iterdir() if not p.name.startswith((".", "_")))
+        remove(session, folder)
+
+    monkeypatch.setattr(files, "remove_folder", looked_at)
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("driver tables are absent")
+    n = QUERIES["read_station_data"](spark, data).count()
+    assert n == len(seen) and all(seen)
