@@ -5,11 +5,11 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut_lineage
-from .sampling import hash_order, hash_sample
+from .sampling import hash_sample
 
 
 def shapley_values(predict: Callable[[DataFrame], DataFrame], df: DataFrame, columns: list[str], keys: list[str], background: DataFrame | None = None, permutations: int = 4, references: int = 8, seed: int = 42) -> DataFrame:
@@ -21,8 +21,12 @@ def shapley_values(predict: Callable[[DataFrame], DataFrame], df: DataFrame, col
     average over walks is unbiased, and its shares add up to prediction less base, the mean prediction of the references,
     whatever the number of walks: a walk's changes are a telescoping sum.
 
-    keys name a row of df; columns are numbers. df times 2 * permutations * references * (columns + 1) rows are scored,
-    dealt out by Spark; the references are a bounded sample that is broadcast. Empty tables give no rows.
+    Walks share what they score: each set of columns that some walk has taken from the row meets each reference once and
+    counts for a column as often as walks come to the set by it, less as often as they leave it by it. The set of none is
+    scored for the references alone, that of all columns once a row.
+
+    keys name a row of df; columns are numbers. df times at most references * 2 * permutations * (columns - 1) + 1 rows are
+    scored, dealt out by Spark; the references are a bounded sample that is broadcast. Empty tables give no rows.
     """
     rng = random.Random(seed)
     orders = []
@@ -30,33 +34,43 @@ def shapley_values(predict: Callable[[DataFrame], DataFrame], df: DataFrame, col
         order = list(range(len(columns)))
         rng.shuffle(order)
         orders += [order, order[::-1]]
+    # Of each set of columns: how often walks come to it by a column, less how often they leave it by one.
+    counts: dict[frozenset, list[int]] = {}
+    for order in orders:
+        for step, c in enumerate(order):
+            for taken, sign in ((order[:step], -1), (order[: step + 1], 1)):
+                counts.setdefault(frozenset(taken), [0] * len(columns))[c] += sign
+    none, every = counts.pop(frozenset(), [0] * len(columns)), counts.pop(frozenset(range(len(columns))), [0] * len(columns))
     numbers = [F.col(c).cast("double").alias(c) for c in columns]
     # References in hash order of their own values, so that they don't depend on the table's layout.
-    drawn = hash_sample((df if background is None else background).select(*numbers), columns, references, seed)
-    drawn = cut_lineage(drawn.select(F.struct(*columns).alias("__b"), hash_order(columns, seed).alias("__r")))
-    rows = df.select(F.struct(*keys).alias("__key"), F.struct(*numbers).alias("__row"))
-    # Of walk w, step s has the columns of its first s places from the row and the others from the reference.
-    first = [[order.index(c) for c in range(len(columns))] for order in orders]
-    walks = F.array(*[F.array(*map(F.lit, places)) for places in first])
-    met = rows.crossJoin(F.broadcast(drawn)).select("__key", "__row", "__b", "__r", F.posexplode(walks).alias("__walk", "__place"))
-    steps = met.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(columns)))).alias("__step"))
-    mixed = [F.when(F.col("__place")[i] < F.col("__step"), F.col(f"__row.{c}")).otherwise(F.col(f"__b.{c}")).alias(c) for i, c in enumerate(columns)]
-    scored = predict(steps.select("__key", "__row", "__r", "__walk", "__place", "__step", *mixed)).select("__key", "__row", "__r", "__walk", "__place", "__step", "prediction")
-    # Changes of neighbouring steps, without a window: each score counts for the column that came and against the next one.
-    came = lambda step: F.array_position(F.col("__place"), F.lit(0) + step)
-    shares = F.array(
-        F.struct(came(F.col("__step") - 1).alias("c"), F.col("prediction").alias("d")),
-        F.struct(came(F.col("__step")).alias("c"), (-F.col("prediction")).alias("d")),
-    )
-    walked = scored.select("__key", "__row", "__r", "__walk", F.when(F.col("__step") == len(columns), F.col("prediction")).alias("full"), F.when(F.col("__step") == 0, F.col("prediction")).alias("none"), F.explode(shares).alias("s"))
-    # c is 0 where no column came (before the first step) or none comes (after the last): those rows carry the ends.
-    by = walked.groupBy("__key", "__row", F.col("s.c").cast("int").alias("c")).agg(F.sum("s.d").alias("d"), F.avg("full").alias("full"), F.avg("none").alias("none"))
-    walks_each = 2 * permutations * drawn.count()
-    ends = by.groupBy("__key", "__row").agg(F.max("full").alias("prediction"), F.max("none").alias("base"), F.collect_list(F.when(F.col("c") > 0, F.struct("c", "d"))).alias("parts"))  # a part a column
-    out = ends.select("__key", "__row", "prediction", "base", F.explode("parts").alias("p"))
-    name = F.element_at(F.array(*map(F.lit, columns)), F.col("p.c"))
-    value = F.element_at(F.array(*[F.col(f"__row.{c}") for c in columns]), F.col("p.c"))
-    return out.select("__key.*", name.alias("feature"), value.alias("value"), (F.col("p.d") / F.lit(float(max(1, walks_each)))).alias("attribution"), "prediction", "base")
+    drawn = cut_lineage(hash_sample((df if background is None else background).select(*numbers), columns, references, seed))
+    met = drawn.count()
+    n, at = range(len(columns)), [f"__sv_k{i}" for i in range(len(keys))]
+    own = [f"__sv_v{i}" for i in n]
+    alone = predict(drawn).agg(F.avg("prediction").alias("__sv_base"), F.sum("prediction").alias("__sv_bases"), F.count(F.lit(1)).alias("__sv_met")).where("__sv_met > 0")
+    # A small table of what a row meets: of each column whether it comes from the row, the reference's value and the count.
+    sets = [F.struct(*[F.lit(i in taken).alias(f"__sv_t{i}") for i in n], *[F.lit(float(w[i])).alias(f"__sv_w{i}") for i in n], F.lit(False).alias("__sv_full")) for taken, w in counts.items()]
+    whole = F.struct(*[F.lit(True).alias(f"__sv_t{i}") for i in n], *[F.lit(float(every[i] * met)).alias(f"__sv_w{i}") for i in n], F.lit(True).alias("__sv_full"))
+    mixes = drawn.sparkSession.range(1).select(F.inline(F.array(whole)), *[F.lit(None).cast("double").alias(f"__sv_b{i}") for i in n])
+    if sets:
+        mixes = mixes.unionByName(drawn.select(*[F.col(c).alias(f"__sv_b{i}") for i, c in enumerate(columns)], F.inline(F.array(*sets))))
+    mixes = mixes.crossJoin(F.broadcast(alone))
+    # Flat keys, so that rows that already lie by key are summed where they are.
+    rows = df.select(*[F.col(k).alias(a) for k, a in zip(keys, at, strict=True)], *[F.col(c).cast("double").alias(v) for c, v in zip(columns, own, strict=True)])
+    mixed = [F.when(F.col(f"__sv_t{i}"), F.col(own[i])).otherwise(F.col(f"__sv_b{i}")).alias(c) for i, c in enumerate(columns)]
+    kept = [*at, *own, *[f"__sv_w{i}" for i in n], "__sv_full", "__sv_base", "__sv_bases"]
+    scored = predict(rows.crossJoin(F.broadcast(cut_lineage(mixes))).select(*kept, *mixed)).select(*kept, "prediction")
+    sums = [F.sum(F.when(F.col(f"__sv_w{i}") != 0, F.col(f"__sv_w{i}") * F.col("prediction"))).alias(f"__sv_d{i}") for i in n]
+    by = scored.groupBy(*at, *own).agg(*sums, F.max(F.when(F.col("__sv_full"), F.col("prediction"))).alias("prediction"), F.max("__sv_base").alias("base"), F.max("__sv_bases").alias("__sv_bases"))
+
+    def share(i: int) -> Column:
+        first = F.col("__sv_bases") * float(none[i]) if none[i] else F.lit(None).cast("double")
+        total = F.coalesce(F.col(f"__sv_d{i}") + first, F.col(f"__sv_d{i}"), first)
+        return (total / F.lit(float(max(1, len(orders) * met)))).alias("attribution")
+
+    parts = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(own[i]).alias("value"), share(i)) for i, c in enumerate(columns)])
+    out = by.select(*[F.col(a).alias(k) for k, a in zip(keys, at, strict=True)], F.inline(parts), "prediction", "base")
+    return out.select(*keys, "feature", "value", "attribution", "prediction", "base")
 
 
 def attribution_ranking(values: DataFrame, family: list[str]) -> DataFrame:

@@ -14,6 +14,8 @@ from ..sources.shared import cut_lineage
 
 #: Hex digits by which a histogram is finer than the one before, and rows around a stratum's cut that are sorted.
 DIGITS, CUT_ROWS = 3, 10_000
+#: Rows of a sample that tasks keep the first of in one pass.
+FEW_ROWS = 100
 HASH_DIGITS = 32
 
 
@@ -63,7 +65,8 @@ def smallest(df: DataFrame, strata: list[Column], keys: list[str], most: int, se
 
 def hash_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     """n rows, spread evenly over the keys, in hash order."""
-    return smallest(df, [], keys, n, seed).orderBy(hash_order(keys, seed), *keys)
+    order = [hash_order(keys, seed), *keys]
+    return df.orderBy(*order).limit(max(0, n)) if n <= FEW_ROWS else smallest(df, [], keys, n, seed).orderBy(*order)
 
 
 def stratified_cap(df: DataFrame, strata: list[Column | str], keys: list[str], most: int, seed: int = 42) -> DataFrame:

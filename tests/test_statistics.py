@@ -123,6 +123,48 @@ def test_attribution_is_exact_for_sums(noisy):
         assert r["attribution"] == pytest.approx(own - mean[r["feature"]], abs=1e-9)
 
 
+def test_attribution_shares_walks(spark):
+    """The walks' own answer where columns interact, from few scored rows: each set of columns meets a reference once."""
+    import random
+
+    names, scored = ["x", "y", "z"], []
+    f = lambda x, y, z: x * y + z * z * x - 2 * y * z
+
+    def score(df):
+        scored.append(df.count())
+        return df.withColumn("prediction", f(*map(F.col, names)))
+
+    background = [(0.5, 1.0, 2.0), (3.0, -1.0, 0.0), (1.0, 1.0, -4.0)]
+    rows = {(i, "k"): (i * 1.5, 2.0 - i, i * i * 0.25) for i in range(6)} | {(None, "k"): (1.0, 2.0, 3.0)}
+    df = spark.createDataFrame([(*k, *v) for k, v in rows.items()], "i int, j string, x double, y double, z double")
+    got = attribution.shapley_values(score, df, names, ["i", "j"], spark.createDataFrame(background, "x double, y double, z double"), permutations=1, references=3).collect()
+    assert sum(scored) <= len(rows) * (3 * 4 + 1) + 3  # all steps of all walks would be 7 * 3 * 2 * 4
+    rng, order = random.Random(42), [0, 1, 2]
+    rng.shuffle(order)
+    want = {}
+    for k, row in rows.items():
+        for ref in background:
+            for walk in (order, order[::-1]):
+                at = list(ref)
+                for c in walk:
+                    before, at[c] = f(*at), row[c]
+                    want[k, names[c]] = want.get((k, names[c]), 0) + (f(*at) - before) / 6
+    assert len(got) == len(want) == 21
+    base = sum(f(*b) for b in background) / 3
+    for r in got:
+        own = rows[r["i"], r["j"]]
+        assert r["attribution"] == pytest.approx(want[(r["i"], r["j"]), r["feature"]]) and r["value"] == own[names.index(r["feature"])]
+        assert r["prediction"] == pytest.approx(f(*own)) and r["base"] == pytest.approx(base)
+    assert attribution.shapley_values(score, df, names, ["i", "j"], df.where("false")).count() == 0
+
+
+def test_small_samples_in_one_pass(spark):
+    df = spark.range(3000).select(F.col("id").cast("int").alias("i"))
+    for n in (0, 7, 100, 101):
+        assert sorted(r["i"] for r in sampling.hash_sample(df, ["i"], n).collect()) == (by_sorting(df, [], n) if n else [])
+    assert "TakeOrdered" in sampling.hash_sample(df, ["i"], 7)._jdf.queryExecution().executedPlan().toString()
+
+
 def by_sorting(df, strata, most, seed=42):
     order = sampling.hash_order(["i"], seed)
     rows = df.withColumn("h", order).collect()
