@@ -14,6 +14,9 @@ from .profile import numeric_columns
 from .ranks import key_quantiles
 from .together import at_once
 
+#: Rows of a sample that one task of a fit holds, where the sample has as many.
+TASK_ROWS = 10_000
+
 
 def feature_columns(df: DataFrame, without: tuple, profile: bool = False, volume: str = "notificacoes") -> list[str]:
     """Numeric columns but keys, labels and the cluster id; profile: also without the volume's own columns."""
@@ -66,7 +69,8 @@ def fit(sample: DataFrame, columns: list[str], k_min: int = 2, k_max: int = 6, s
     row = filled.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     stats = {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
     shell = Clusters(columns, stats, None)
-    data = shell.vectors(sample).select("__x").cache()
+    # Each pass of a fit is a job: its tasks go by the rows, not by the shuffle's setting.
+    data = shell.vectors(sample).select("__x").coalesce(-(-max(1, row["n"]) // TASK_ROWS)).cache()
 
     def one(k: int) -> tuple:
         model = KMeans(featuresCol="__x", predictionCol="__cluster", k=k, seed=seed).fit(data)

@@ -35,6 +35,14 @@ def smallest(df: DataFrame, strata: list[Column], keys: list[str], most: int, se
     rows = df.withColumns(dict(zip(names, strata, strict=True)) | {"__h": hash_order(keys, seed)})
     same = lambda left, right: reduce(Column.__and__, [left[c].eqNullSafe(right[f"r{c}"]) for c in names], F.lit(True))
     renamed = lambda t: t.withColumnsRenamed({c: f"r{c}" for c in names})
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        """left with the cuts of its stratum; the one cut of all rows is a literal, by which Spark can filter before it aggregates or joins."""
+        if names:
+            return left.join(right, same(left, right))
+        row = right.first()
+        return (left if row else left.where("false")).withColumns({c: F.lit(row[c] if row else None).cast(right.schema[c].dataType) for c in right.columns})
+
     # cut: the prefix of the bar with the last row wanted; ahead: rows before it; bar: rows in it.
     cuts, depth = None, 0
     while depth < HASH_DIGITS:
@@ -42,7 +50,7 @@ def smallest(df: DataFrame, strata: list[Column], keys: list[str], most: int, se
         bars = rows.select(*names, F.substring("__h", 1, depth).alias("__bar"), "__h")
         if cuts is not None:
             open_ = renamed(cuts.where(F.col("__n") > cut_rows))
-            bars = bars.join(open_, same(bars, open_)).where(F.col("__h").startswith(F.col("__cut"))).select(*names, "__bar", F.col("__ahead").alias("__base"))
+            bars = met(bars, open_).where(F.col("__h").startswith(F.col("__cut"))).select(*names, "__bar", F.col("__ahead").alias("__base"))
         else:
             bars = bars.select(*names, "__bar", F.lit(0).cast("long").alias("__base"))
         bars = bars.groupBy(*names, "__bar").agg(F.count(F.lit(1)).alias("__n"), F.first("__base").alias("__base"))
@@ -55,7 +63,7 @@ def smallest(df: DataFrame, strata: list[Column], keys: list[str], most: int, se
             break
     cuts = renamed(cuts.withColumnsRenamed({"__n": "__bar_rows"}))
     at = F.substr(F.col("__h"), F.lit(1), F.length("__cut"))
-    near = cut_lineage(rows.join(cuts, same(rows, cuts)).where(at <= F.col("__cut")).withColumn("__before", at < F.col("__cut")))
+    near = cut_lineage(met(rows, cuts).where(at <= F.col("__cut")).withColumn("__before", at < F.col("__cut")))
     # Only bars that hold more rows than are wanted have to be sorted.
     whole = F.col("__before") | (F.col("__ahead") + F.col("__bar_rows") <= most)
     place = F.row_number().over(Window.partitionBy(*names).orderBy("__h", *keys))

@@ -165,6 +165,35 @@ def test_small_samples_in_one_pass(spark):
     assert "TakeOrdered" in sampling.hash_sample(df, ["i"], 7)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_the_cut_of_all_rows_is_a_filter(spark, monkeypatch):
+    """Without strata no row waits for a join with the cut: it is pushed below an aggregation by key."""
+    plans, cut = [], sampling.cut_lineage
+    monkeypatch.setattr(sampling, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    df = spark.range(30_000).selectExpr("id % 9000 as i", "id as v").groupBy("i").agg(F.sum("v").alias("v"))
+    got = sampling.smallest(df, [], ["i"], 500, 42, 20)
+    assert sorted(r["i"] for r in got.collect()) == by_sorting(df, [], 500)
+    assert len(plans) >= 2 and not any("Join" in p for p in plans)
+    assert plans[-1].index("Aggregate") < plans[-1].index("Filter")
+
+
+def test_tasks_of_fits_go_by_rows(spark, monkeypatch):
+    """However many parts the sample comes in, a pass over it takes a task for each so many rows."""
+    from panelforge.operators import cluster
+
+    seen = []
+
+    class Counted(cluster.KMeans):
+        def fit(self, data):
+            seen.append(data.rdd.getNumPartitions())
+            return super().fit(data)
+
+    monkeypatch.setattr(cluster, "KMeans", Counted)
+    monkeypatch.setattr(cluster, "TASK_ROWS", 100)
+    sample = spark.range(0, 150, 1, 12).selectExpr("id", "cast(id % 2 * 9 + id % 5 * 0.1 as double) as x")
+    fitted = cluster.fit(sample, ["x"], 2, 3)
+    assert seen == [2, 2] and len(fitted.sweep) == 2 and sorted(round(c[0]) for c in cluster.fit(sample, ["x"], 2, 2).model.clusterCenters()) == [-1, 1]
+
+
 def by_sorting(df, strata, most, seed=42):
     order = sampling.hash_order(["i"], seed)
     rows = df.withColumn("h", order).collect()
