@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kmeans
 from .profile import numeric_columns
 from .ranks import key_quantiles
 from .together import at_once
@@ -51,9 +52,6 @@ class Clusters:
         """df with cluster_id, in one pass over all of it."""
         return nearest_center(df, self.columns, self.stats, [list(map(float, c)) for c in self.model.clusterCenters()])
 
-    def evaluation(self, df: DataFrame) -> DataFrame:
-        return df.sparkSession.createDataFrame(self.sweep, "k int, silhouette double, inertia double")
-
 
 def nearest_center(df: DataFrame, columns: list[str], stats: dict[str, tuple], centers: list[list[float]]) -> DataFrame:
     """df with cluster_id: the nearest of given centers in standardised columns (unknown values count as 0 before), of equally
@@ -63,14 +61,37 @@ def nearest_center(df: DataFrame, columns: list[str], stats: dict[str, tuple], c
     return df.withColumn("cluster_id", F.array_min(F.array(*near))["i"])
 
 
+def _filled(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+
+
+def _stats(filled: DataFrame, columns: list[str]) -> tuple[int, dict[str, tuple]]:
+    """Rows, and the mean and population deviation of each column."""
+    row = filled.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    return row["n"], {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
+
+
+def _sizes(n: int, k_min: int, k_max: int) -> list[int]:
+    return list(range(k_min, max(k_min, min(k_max, n - 1)) + 1))
+
+
+def sweep(df: DataFrame, columns: list[str], k_min: int = 2, k_max: int = 6) -> DataFrame:
+    """Silhouette and inertia of a fit on all rows for each k (capped by the rows); no rows of no rows."""
+    rows = _filled(df, columns).cache()
+    try:
+        n, stats = _stats(rows, columns)
+        found = kmeans.sweep(rows, n, list(stats.values()), _sizes(n, k_min, k_max)) if n else []
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame([f[:3] for f in found], "k int, silhouette double, inertia double")
+
+
 def fit(sample: DataFrame, columns: list[str], k_min: int = 2, k_max: int = 6, seed: int = 42) -> Clusters:
     """Fit for each k (capped by the rows) and keep the best silhouette, the smallest k of equals."""
-    filled = sample.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    row = filled.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
-    stats = {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
+    n, stats = _stats(_filled(sample, columns), columns)
     shell = Clusters(columns, stats, None)
     # Each pass of a fit is a job: its tasks go by the rows, not by the shuffle's setting.
-    data = shell.vectors(sample).select("__x").coalesce(-(-max(1, row["n"]) // TASK_ROWS)).cache()
+    data = shell.vectors(sample).select("__x").coalesce(-(-max(1, n) // TASK_ROWS)).cache()
 
     def one(k: int) -> tuple:
         model = KMeans(featuresCol="__x", predictionCol="__cluster", k=k, seed=seed).fit(data)
@@ -80,7 +101,7 @@ def fit(sample: DataFrame, columns: list[str], k_min: int = 2, k_max: int = 6, s
         return k, float(score), float(model.summary.trainingCost), model
 
     data.count()  # the cache is filled once, before the fits share it
-    done = at_once(one, range(k_min, max(k_min, min(k_max, row["n"] - 1)) + 1))
+    done = at_once(one, _sizes(n, k_min, k_max))
     data.unpersist()
     shell.sweep = [d[:3] for d in done]
     shell.model = max(done, key=lambda d: (d[1], -d[0]))[3]

@@ -42,9 +42,8 @@ def _with_target(spark, sf_dir):
 
 @query()
 def kmeans_sweep(spark, sf_dir):
-    sample = sampling.hash_sample(_orders(spark, sf_dir), ["l_orderkey"], 60_000)
-    fitted = cluster.fit(sample, ["lines", "quantity", "price", "discount"])
-    return fitted.evaluation(sample)
+    """Fits on all orders."""
+    return cluster.sweep(_orders(spark, sf_dir), ["lines", "quantity", "price", "discount"])
 
 
 @query()

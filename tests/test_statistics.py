@@ -194,6 +194,58 @@ def test_tasks_of_fits_go_by_rows(spark, monkeypatch):
     assert seen == [2, 2] and len(fitted.sweep) == 2 and sorted(round(c[0]) for c in cluster.fit(sample, ["x"], 2, 2).model.clusterCenters()) == [-1, 1]
 
 
+def test_the_sweep_fits_on_all_orders(spark, tmp_path):
+    """Beyond 60,000 orders too: with two clusters only the discount, of deviation 1, is left to the inertia."""
+    from panelforge import queries
+
+    n = 70_000
+    spark.range(n).selectExpr("id as l_orderkey", "id % 2 * 40.0D + 10 as l_quantity", "id % 2 * 4000.0D + 1000 as l_extendedprice", "id % 7 * 0.01D as l_discount").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["k"]: r for r in queries.QUERIES["kmeans_sweep"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [2, 3, 4, 5, 6] and got[2]["inertia"] == pytest.approx(n)
+    assert all(got[k]["inertia"] > got[k + 1]["inertia"] for k in range(2, 6))
+
+
+def test_the_sweep_equals_brute_force(spark, monkeypatch):
+    """Silhouette by its definition over pairs, inertia by the nearest center, however the rows are dealt."""
+    from panelforge.operators import cluster, kmeans
+
+    draw = random.Random(5)
+    rows = [(draw.gauss(g * 6, 1), None if i % 9 == 0 else draw.gauss(g % 2 * 5, 1), 7.0) for g in range(3) for i in range(25)] + [(400.0, 0.0, 7.0)]
+    seen, real = [], kmeans.sweep
+    monkeypatch.setattr(kmeans, "sweep", lambda *a: seen.append(real(*a)) or seen[-1])
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = cluster.sweep(df, ["a", "b", "c"]).collect()
+    monkeypatch.setattr(kmeans, "TASK_ROWS", 10)
+    again = cluster.sweep(df.repartition(9), ["a", "b", "c"]).collect()
+    assert [tuple(r) for r in again] == [pytest.approx(tuple(r)) for r in got]
+    x = np.array([[v or 0.0 for v in r] for r in rows])
+    x = (x - x.mean(0)) / np.where(x.std(0) == 0, 1, x.std(0))
+    between = ((x[:, None] - x) ** 2).sum(2)
+    for k, silhouette, inertia, centers in seen[0]:
+        apart = ((x[:, None] - centers) ** 2).sum(2)
+        at = apart.argmin(1)
+        assert len(set(at)) == k and inertia == pytest.approx(apart.min(1).sum())
+        scores = []
+        for i, own in enumerate(at):
+            mates = (at == own).sum() - 1
+            a, b = between[i, at == own].sum() / max(1, mates), min(between[i, at == j].mean() for j in set(at) - {own})
+            scores.append((b - a) / max(a, b) if mates else 0.0)
+        assert silhouette == pytest.approx(np.mean(scores))
+    assert [r["k"] for r in got] == [2, 3, 4, 5, 6]
+
+
+def test_the_sweep_of_few_rows(spark):
+    """No more centers than different rows; k is capped by the rows; a far row doesn't hide how near ones differ."""
+    from panelforge.operators import cluster
+
+    swept = lambda values: [tuple(r) for r in cluster.sweep(spark.createDataFrame([(v,) for v in values], "x double"), ["x"], 2, 4).collect()]
+    assert swept([]) == [] and swept([3.0]) == swept([3.0] * 3) == [(2, -1.0, 0.0)]
+    assert swept([1.0, 1.0, 2.0, 2.0, 2.0]) == [(k, pytest.approx(1.0), pytest.approx(0.0, abs=1e-12)) for k in (2, 3, 4)]
+    far = [0.0, 1.0, 10.0, 11.0, 1e9]
+    mean, deviation = sum(far) / 5, (sum((v - sum(far) / 5) ** 2 for v in far) / 5) ** 0.5
+    assert mean > 0 and swept(far)[1] == (3, pytest.approx(0.8 * 0.99, abs=0.01), pytest.approx(1.0 / deviation**2, rel=1e-6))
+
+
 def by_sorting(df, strata, most, seed=42):
     order = sampling.hash_order(["i"], seed)
     rows = df.withColumn("h", order).collect()
